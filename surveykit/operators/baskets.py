@@ -208,3 +208,20 @@ def cooccurrence(df: DataFrame, cols: Sequence[str], names: Sequence[str]) -> Da
 def cooccurrence_matrix(co: DataFrame, names: Sequence[str]) -> DataFrame:
     """Long co-occurrence → square view (item_a, one column per item)."""
     return co.groupBy("item_a").pivot("item_b", list(names)).agg(F.first("n"))
+
+
+def rules_view(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, segment_label: str | None = None,
+               min_confidence: float = 0.45, min_lift: float = MIN_LIFT, k: int | None = 12,
+               all_support: float = MIN_SUPPORT, segment_support: float = 0.08) -> DataFrame:
+    """F4 + B5: the rule list a user browses. ``segment_label=None`` ("All Segments") mines
+    every respondent at ``all_support``; a label is mapped back to its key (P4), its
+    respondents are mined alone at ``segment_support``. Then confidence/lift filter and top-k."""
+    from ..functions.columns import reverse_lookup
+    if segment_label is None:
+        rules = survey_rules(df, spec, all_support, MIN_LIFT)
+    else:
+        key = reverse_lookup(spec.segment_labels, segment_label)
+        rules = survey_rules(df.where(F.col(spec.segment_col) == F.lit(key)), spec,
+                             segment_support, MIN_LIFT)
+    out = filter_rules(rules, min_confidence, min_lift)
+    return top_rules(out, k) if k else rule_text(out)

@@ -177,3 +177,12 @@ def cross_validate(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = 5,
     finally:
         data.unpersist()
     return spark.createDataFrame(rows, "fold int, auc double")
+
+
+def predict_profile(model, spark, profile: dict, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame:
+    """Live predictor (S5 + M13): one literal respondent profile → class, probability, band.
+    ``profile`` maps model feature columns to values (0/1 flags, score, four prices)."""
+    from ..sources.survey import survey_rows
+    cols = [spec.id_col, *spec.model_features, spec.target_col]
+    row = [0, *[profile[c] for c in spec.model_features], None]
+    return score(model, feature_vectors(survey_rows(spark, [row], cols), spec))

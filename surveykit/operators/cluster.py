@@ -18,20 +18,29 @@ from ..spec import DEFAULT_SPEC, SEED, SurveySpec
 from .describe import group_mode, segment_profile, crosstab_rates
 
 
+def column_stats(df: DataFrame, cols: Sequence[str]) -> list[tuple[float | None, float | None]]:
+    """(mean, population std) of each column from ONE aggregation (2·d numbers)."""
+    r = df.agg(*[F.avg(c).alias(f"mu{i}") for i, c in enumerate(cols)],
+               *[F.stddev_pop(c).alias(f"sd{i}") for i, c in enumerate(cols)]).first()
+    return [(r[f"mu{i}"], r[f"sd{i}"]) for i in range(len(cols))]
+
+
 def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
-                suffix: str = "") -> DataFrame:
+                suffix: str = "", stats: Sequence | None = None) -> DataFrame:
     """M1: (x - mean) / population std per column; a constant column becomes 0.
 
-    Nulls stay null. The 2·d statistics come from one aggregation, attached once.
+    Like an ML fit/transform: the statistics come from one aggregation job (a bounded
+    2·d numbers), the transform is a literal projection inside whole-stage codegen.
+    Nulls stay null.
     """
-    stats = df.agg(F.struct(*[F.avg(c).alias(f"mu{i}") for i, c in enumerate(cols)],
-                            *[F.stddev_pop(c).alias(f"sd{i}") for i, c in enumerate(cols)]).alias("s"))
-    s = stats.scalar()
+    stats = stats if stats is not None else column_stats(df, cols)
     out = []
-    for i, c in enumerate(cols):
-        mu, sd = s.getField(f"mu{i}"), s.getField(f"sd{i}")
-        z = F.when(sd > 0, (F.col(c).cast("double") - mu) / sd).otherwise(
-            F.when(F.col(c).isNotNull(), F.lit(0.0)))
+    for (mu, sd), c in zip(stats, cols):
+        x = F.col(c).cast("double")
+        if sd is not None and sd > 0:
+            z = (x - F.lit(float(mu))) / F.lit(float(sd))
+        else:
+            z = F.when(x.isNotNull(), F.lit(0.0))
         out.append(z.alias(f"{c}{suffix}"))
     return df.select(*keep, *out)
 
@@ -69,15 +78,16 @@ def inertia(assigned: DataFrame) -> DataFrame:
 
 
 def total_sum_of_squares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """M3 at k = 1: inertia of one cluster = Σ over columns of Σ (x - mean)²."""
-    terms = [F.sum((F.col(c) - F.col(f"_m{i}")) * (F.col(c) - F.col(f"_m{i}")))
-             for i, c in enumerate(cols)]
-    means = df.agg(F.struct(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)])).scalar()
-    centred = df.select(*cols, *[means.getField(f"m{i}").alias(f"_m{i}") for i in range(len(cols))])
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return centred.agg(F.lit(1).alias("k"), total.alias("inertia"), F.count(F.lit(1)).alias("n"))
+    """M3 at k = 1: inertia of one cluster = Σ over columns of Σ (x - mean)².
+
+    The means come from one aggregation; the sum of squares is a second one."""
+    means = [mu for mu, _ in column_stats(df, cols)]
+    total = None
+    for c, mu in zip(cols, means):
+        d = F.col(c).cast("double") - F.lit(float(mu) if mu is not None else 0.0)
+        t = F.sum(d * d)
+        total = t if total is None else total + t
+    return df.agg(F.lit(1).alias("k"), total.alias("inertia"), F.count(F.lit(1)).alias("n"))
 
 
 def silhouette_sq(df: DataFrame, cols: Sequence[str], cluster_col: str = "cluster",
@@ -96,9 +106,11 @@ def silhouette_sq(df: DataFrame, cols: Sequence[str], cluster_col: str = "cluste
         norm = t if norm is None else norm + t
     per_cluster = df.groupBy(F.col(cluster_col).alias("k")).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)],
-        F.sum(norm).alias("q"))
-    stats = per_cluster.agg(F.collect_list(F.struct(
-        "k", "n", F.array(*[F.col(f"s{i}") for i in range(d)]).alias("s"), "q")).alias("all")).scalar()
+        F.sum(norm).alias("q")).collect()   # k rows × (d + 3) numbers: bounded by k
+    stats = F.array(*[F.struct(F.lit(r["k"]).alias("k"), F.lit(r["n"]).alias("n"),
+                               F.array(*[F.lit(float(r[f"s{i}"])) for i in range(d)]).alias("s"),
+                               F.lit(float(r["q"])).alias("q")) for r in per_cluster
+                      if r["k"] is not None])
     x = F.array(*[F.col(c).cast("double") for c in cols])
 
     def mean_d2(e: Column) -> Column:

@@ -237,6 +237,11 @@ def q_rule_bands(spark, sf):
         "antecedents_text", "consequents_text", "lift", "lift_band")
 
 
+@query("rules_view_segment")
+def q_rules_view_segment(spark, sf):
+    return _rule_cols(B.rules_view(S(spark, sf), segment_label="Tech Purist"))
+
+
 @query("cooccurrence")
 def q_cooccurrence(spark, sf):
     return B.cooccurrence(S(spark, sf), SPEC.module_cols, SPEC.module_names)
@@ -467,6 +472,13 @@ def q_tree_rules(spark, sf):
     return C.tree_rules(model, train)
 
 
+@query("tree_rules_by_class", rows_only=True)
+def q_tree_rules_by_class(spark, sf):
+    data = _train_test(spark, sf)
+    train = data.where(F.col("split") == "train")
+    return C.first_rules_per_class(C.tree_rules(C.fit_tree(train), train), 5)
+
+
 @query("cv_auc", rows_only=True)
 def q_cv_auc(spark, sf):
     return C.cross_validate(S(spark, sf), num_trees=30, max_depth=CONTRACT_DEPTH)

@@ -296,6 +296,13 @@ SQL["rule_bands"] = with_survey(_RULE_CTES + f", r AS ({_rules_select()})\n"
                                 "SELECT antecedents_text, consequents_text, lift, CASE WHEN lift >= 1.3 THEN 'strong' "
                                 "WHEN lift >= 1.1 THEN 'moderate' ELSE 'weak' END AS lift_band FROM r")
 
+SQL["rules_view_segment"] = with_survey(
+    ", seg AS (SELECT * FROM survey WHERE Segment = 'Tech_Purist'), "
+    + _itemsets_cte(_ITEMS, "seg", _flag, 80000) + ", " + _pairs_values(len(_ITEMS))
+    + f", r AS ({_rules_select()})\n"
+    "SELECT * FROM r WHERE confidence >= 0.45 AND lift >= 1.0 "
+    "ORDER BY lift DESC, antecedents_text, consequents_text LIMIT 12")
+
 
 def _cooc():
     sel = []

@@ -39,7 +39,7 @@ def test_folds_disjoint_and_complete(spark, survey_small):
 def test_single_leaf_tree_gives_one_rule(spark):
     rows = [(float(i % 2), 1.0) for i in range(10)]
     from pyspark.ml.linalg import Vectors
-    df = spark.createDataFrame([(Vectors.dense([x]), y) for x, y in rows], "features vector, label double")
+    df = spark.createDataFrame([(Vectors.dense([x]), y) for x, y in rows], ["features", "label"])
     model = C.fit_tree(df, max_depth=4, min_leaf=20)
     from surveykit.operators.classify import _rules_from_nodes, tree_nodes
     rules = _rules_from_nodes(tree_nodes(model), ["Q5_Rattle_Severity_Scale"])
