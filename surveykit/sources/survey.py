@@ -32,6 +32,10 @@ def read_survey(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 def survey_rows(spark: SparkSession, rows: Sequence[Sequence], columns: Sequence[str]) -> DataFrame:
     """Literal respondent rows (e.g. a live-predictor profile) typed like the survey."""
-    schema = {f.name: f.dataType for f in survey_schema().fields}
-    df = spark.createDataFrame([tuple(r) for r in rows], list(columns))
-    return df.select(*[F.col(c).cast(schema[c]).alias(c) if c in schema else F.col(c) for c in columns])
+    from pyspark.sql import types as T
+    known = {f.name: f.dataType for f in survey_schema().fields}
+    schema = T.StructType([T.StructField(c, known.get(c, T.StringType()), True) for c in columns])
+    conv = [(float if isinstance(f.dataType, T.DoubleType) else
+             int if isinstance(f.dataType, (T.IntegerType, T.LongType)) else str) for f in schema.fields]
+    typed = [tuple(None if v is None else cv(v) for v, cv in zip(r, conv)) for r in rows]
+    return spark.createDataFrame(typed, schema)
