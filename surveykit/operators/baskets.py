@@ -225,3 +225,13 @@ def rules_view(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, segment_label: st
                              segment_support, MIN_LIFT)
     out = filter_rules(rules, min_confidence, min_lift)
     return top_rules(out, k) if k else rule_text(out)
+
+
+def long_to_baskets(df: DataFrame, basket_col: str, item_col: str) -> DataFrame:
+    """B1 (long form): (basket, item) rows → (basket_id, items sorted, distinct).
+
+    Rows are de-duplicated per (basket, item) first (a partial aggregation), so a basket
+    holding a third of all rows still reaches its task as at most one row per item."""
+    pairs = df.where(F.col(item_col).isNotNull()).select(
+        F.col(basket_col).alias("basket_id"), F.col(item_col).alias("item")).distinct()
+    return pairs.groupBy("basket_id").agg(F.array_sort(F.collect_list("item")).alias("items"))

@@ -20,7 +20,8 @@ from ..operators import decide as D
 from ..operators import describe as A
 from ..operators import metrics as M
 from ..operators import pricing as V
-from ..sources.fixture import fixed_centres, order_baskets, rule_scores, survey_frame
+from ..sources.fixture import (event_baskets, fixed_centres, order_baskets, rule_scores,
+                               survey_frame)
 from ..spec import DEFAULT_SPEC as SPEC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,6 +266,22 @@ def q_order_rules(spark, sf):
     return _rule_cols(B.association_rules(its, 1.0))
 
 
+def _event_itemsets(spark, sf):
+    ev = event_baskets(spark, sf)
+    return B.frequent_itemsets(B.long_to_baskets(ev, "basket_id", "item"), 0.10)
+
+
+@query("event_itemsets")
+def q_event_itemsets(spark, sf):
+    its = _event_itemsets(spark, sf)
+    return its.select(F.array_join("items", " + ").alias("items_text"), "size", "freq", "n", "support")
+
+
+@query("event_rules")
+def q_event_rules(spark, sf):
+    return _rule_cols(B.association_rules(_event_itemsets(spark, sf), 1.0))
+
+
 # ---- clustering on fixed centres -----------------------------------------------------------
 FEATS = SPEC.kmeans_features
 

@@ -330,6 +330,15 @@ _ORDER_CTES = ", " + _ORDER_SRC + ", " + _itemsets_cte(_ORDER_ITEMS, "ob", lambd
 SQL["order_itemsets"] = "WITH " + _ORDER_CTES[2:] + "\nSELECT items_text, size, freq, n, support FROM fi"
 SQL["order_rules"] = "WITH " + _ORDER_CTES[2:] + ", " + _pairs_values(len(_ORDER_ITEMS)) + "\n" + _rules_select()
 
+# event baskets: every user with at least one event is a basket of its distinct event types
+_ETYPES = ["click", "error", "purchase", "signup", "view"]
+_EVENT_ITEMS = [(t, f"has_{t}") for t in _ETYPES]
+_EVENT_SRC = ("eb AS (SELECT user_id, " + ", ".join(f"bool_or(event_type = {_q(t)}) AS {c}" for t, c in _EVENT_ITEMS)
+              + " FROM events WHERE event_type IS NOT NULL GROUP BY user_id)")
+_EVENT_CTES = _EVENT_SRC + ", " + _itemsets_cte(_EVENT_ITEMS, "eb", lambda x: x[1], 100000)
+SQL["event_itemsets"] = "WITH " + _EVENT_CTES + "\nSELECT items_text, size, freq, n, support FROM fi"
+SQL["event_rules"] = "WITH " + _EVENT_CTES + ", " + _pairs_values(len(_EVENT_ITEMS)) + "\n" + _rules_select()
+
 # ---- clustering on fixed centres ------------------------------------------------------------
 F_ = KMEANS_FEATURES
 _CENTRES = fixed_centres(len(F_), 4)

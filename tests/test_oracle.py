@@ -23,3 +23,12 @@ def test_query_matches_twin(spark, duck_small, name):
     assert stored == [[f.name, f.dataType.simpleString()] for f in df.schema.fields]
     res = compare(df, wrap_rounding(name, SQL[name]), duck_small)
     assert res["match"], res
+
+
+@pytest.mark.parametrize("name", ["vw_curves", "vw_points", "rules", "silhouette_fixed", "roc_points",
+                                  "auc", "assign_fixed_centroids", "order_rules", "event_rules"])
+def test_plans_stay_in_the_jvm(spark, name):
+    """No Python UDF in any plan; the pricing histogram never windows raw rows."""
+    df = QUERIES[name](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
