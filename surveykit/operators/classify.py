@@ -186,3 +186,8 @@ def predict_profile(model, spark, profile: dict, spec: SurveySpec = DEFAULT_SPEC
     cols = [spec.id_col, *spec.model_features, spec.target_col]
     row = [0, *[profile[c] for c in spec.model_features], None]
     return score(model, feature_vectors(survey_rows(spark, [row], cols), spec))
+
+
+def rules_for_class(rules: DataFrame, prediction: int) -> DataFrame:
+    """the tree rules that predict one class."""
+    return rules.where(F.col("prediction") == prediction)

@@ -176,3 +176,13 @@ def score_stats(scores: DataFrame, col: str = "auc") -> DataFrame:
     """Mean and population standard deviation of per-fold scores."""
     return scores.agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"),
                       F.count(col).alias("n_folds"))
+
+
+def confusion_matrix(scored: DataFrame, label: str = "label", pred: str = "prediction",
+                     by: Sequence[str] = ()) -> DataFrame:
+    """Square view of the confusion matrix: one row per actual class, columns
+    ``pred_0`` / ``pred_1`` (counts)."""
+    cm = confusion(scored, label, pred, by)
+    rows = F.array(F.struct(F.lit(0).alias("actual"), F.col("tn").alias("pred_0"), F.col("fp").alias("pred_1")),
+                   F.struct(F.lit(1).alias("actual"), F.col("fn").alias("pred_0"), F.col("tp").alias("pred_1")))
+    return cm.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")

@@ -379,6 +379,11 @@ def q_binary_metrics(spark, sf):
     return M.binary_metrics(_scored(spark, sf), by=["split"])
 
 
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    return M.confusion_matrix(_scored(spark, sf), by=["split"])
+
+
 @query("class_report")
 def q_class_report(spark, sf):
     return M.class_report(_scored(spark, sf), by=["split"])

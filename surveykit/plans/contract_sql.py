@@ -461,6 +461,9 @@ SQL["stratified_split"] = with_survey(f"SELECT respondent_id, Q12_Reserve_Slot_I
 SQL["fold_sizes"] = with_survey(f"SELECT {_FOLD} AS fold, Q12_Reserve_Slot_Intent AS label, CAST(count(*) AS BIGINT) AS n "
                                 "FROM survey GROUP BY 1, 2")
 SQL["confusion"] = with_survey(_scored_cte() + f"\nSELECT split, {_CM} FROM sc GROUP BY split")
+SQL["confusion_matrix"] = with_survey(_scored_cte() + f", cm AS (SELECT split, {_CM} FROM sc GROUP BY split)\n"
+                                      "SELECT split, 0 AS actual, tn AS pred_0, fp AS pred_1 FROM cm UNION ALL "
+                                      "SELECT split, 1, fn, tp FROM cm")
 SQL["binary_metrics"] = with_survey(_scored_cte() + "\n" + _metrics_select("sc"))
 SQL["class_report"] = with_survey(_scored_cte() + f", m AS ({_metrics_select('sc')})\n"
                                   f"SELECT split, 0 AS class, {_ratio('tn', 'tn + fn')} AS precision, {_ratio('tn', 'tn + fp')} AS recall, "

@@ -96,3 +96,12 @@ def test_cooccurrence_zero_diagonal(spark, survey_small):
     assert all(r["n"] == 0 for r in co if r["item_a"] == r["item_b"])
     d = {(r["item_a"], r["item_b"]): r["n"] for r in co}
     assert all(d[(a, b)] == d[(b, a)] for a, b in d)
+
+
+def test_lift_exactly_one_is_kept(spark):
+    # A and B independent: f(AB)·n == f(A)·f(B) -> lift exactly 1.0, kept by ">= 1.0"
+    rows = [(1, 1, 0), (1, 0, 0), (0, 1, 0), (0, 0, 0)]
+    its = B.frequent_itemsets_flags(flags_frame(spark, rows), ["a", "b", "c"], ["A", "B", "C"], 0.1)
+    rules = B.association_rules(its, 1.0).collect()
+    assert {(tuple(r["antecedents"]), tuple(r["consequents"])) for r in rules} == {(("A",), ("B",)), (("B",), ("A",))}
+    assert all(r["lift"] == 1.0 for r in rules)

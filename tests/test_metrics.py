@@ -65,3 +65,17 @@ def test_class_balance_one_class(spark):
     df = spark.createDataFrame([(1,), (1,)], "Q12_Reserve_Slot_Intent int")
     r = class_balance(df, SurveySpec()).first()
     assert r["ratio"] is None and r["balanced"] is False
+
+
+def test_class_difference_exactly_20_is_flagged(spark):
+    from surveykit.operators.describe import class_balance
+    from surveykit.spec import SurveySpec
+    df = spark.createDataFrame([(1,)] * 6 + [(0,)] * 4, "Q12_Reserve_Slot_Intent int")
+    r = class_balance(df, SurveySpec()).first()
+    assert r["abs_diff"] == 20.0 and r["balanced"] is False
+
+
+def test_confusion_matrix_square(spark):
+    rows = [(1, 0.9, 1), (0, 0.8, 1), (1, 0.4, 0), (0, 0.1, 0), (0, 0.2, 0)]
+    cm = {r["actual"]: (r["pred_0"], r["pred_1"]) for r in M.confusion_matrix(frame(spark, rows)).collect()}
+    assert cm == {0: (2, 1), 1: (1, 1)}
