@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import membership_class, recode, strip_prefix
@@ -60,8 +60,10 @@ def kpis(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame:
 def freq(df: DataFrame, col: str, label_map: dict | None = None,
          label_col: str = "label") -> DataFrame:
     """A2: value counts, null keys dropped, with share of non-null rows; optional label."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    out = counts.select(col, "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+    keyed = df.where(F.col(col).isNotNull())
+    counts = keyed.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    total = keyed.agg(F.count(F.lit(1))).scalar()   # one-row aggregate, no global window
+    out = counts.select(col, "n", (F.col("n") / total).alias("share"))
     if label_map is not None:
         out = out.withColumn(label_col, recode(F.col(col), label_map))
     return out
@@ -185,10 +187,10 @@ def top_item(df: DataFrame, cols: Sequence[str], names: Sequence[str]) -> DataFr
 
 def class_distribution(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame:
     """A3: share (%) of each target class among non-null targets."""
-    counts = df.where(F.col(spec.target_col).isNotNull()).groupBy(
-        F.col(spec.target_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("label", "n",
-                         (F.col("n") / F.sum("n").over(Window.partitionBy()) * 100).alias("pct"))
+    keyed = df.where(F.col(spec.target_col).isNotNull())
+    counts = keyed.groupBy(F.col(spec.target_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    total = keyed.agg(F.count(F.lit(1))).scalar()
+    return counts.select("label", "n", (F.col("n") / total * 100).alias("pct"))
 
 
 def class_balance(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC,

@@ -43,6 +43,7 @@ STYLE_ELSE = "Enthusiast/Builder"
 INTENT_AVG_CENTS = 24_000_000      # average order price >= 240,000
 INTENT_URGENT = 3
 NOISE_MODULUS = 33                 # intent flipped where custkey % 33 = 0
+ORDER_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]  # TPC-H domain
 # ---- end of fixed values ------------------------------------------------------------
 
 
@@ -57,6 +58,21 @@ def _segment_key(c: Column) -> Column:
     return expr.otherwise(c)
 
 
+_DEC = "decimal(38,0)"
+
+
+def _top_order_key(cents: Column) -> Column:
+    """One exact decimal(38,0) per order whose maximum identifies the customer's top order
+    (highest price, then highest order key) and carries its year and priority:
+    cents·10^20 + orderkey·10^5 + (year+1)·10 + priority position. ``max`` over a
+    fixed-width decimal keeps the customer fold a hash aggregation."""
+    year = F.coalesce(F.year(F.col("o_orderdate")) + 1, F.lit(0))
+    code = F.array_position(F.array(*[F.lit(p) for p in ORDER_PRIORITIES]), F.col("o_orderpriority"))
+    return (cents.cast(_DEC) * F.lit("100000000000000000000").cast(_DEC)
+            + F.col("o_orderkey").cast(_DEC) * F.lit(100000).cast(_DEC)
+            + year.cast(_DEC) * F.lit(10).cast(_DEC) + F.coalesce(code, F.lit(0)).cast(_DEC))
+
+
 def survey_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Respondent table (survey schema) derived from customer/orders/lineitem/part/nation."""
     li = table(spark, sf_dir, "lineitem").select(
@@ -82,9 +98,7 @@ def survey_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.min(cents).alias("mn_c"),
             F.max(cents).alias("mx_c"),
             F.sum(cents).alias("sum_c"),
-            F.max(F.struct(cents.alias("c"), F.col("o_orderkey").alias("k"),
-                           F.col("o_orderdate").alias("d"),
-                           F.col("o_orderpriority").alias("p"))).alias("top"),
+            F.max(_top_order_key(cents)).alias("top"),
         )
         .where(F.col("n_lines") > 0)
     )
@@ -96,6 +110,8 @@ def survey_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
          .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left"))
 
     n = F.col("n_orders")
+    top_code = (F.col("top") % 10).cast("int")
+    top_year = (F.floor(F.col("top") / 10) % 10000).cast("int")
     def half_up(num: Column, den: Column) -> Column:
         # round_half_up(num / den) for non-negative integers, exact in any engine
         return F.floor((num * 2 + den) / (den * 2)).cast("bigint")
@@ -105,7 +121,7 @@ def survey_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = {
         "respondent_id": F.col("c_custkey").cast("bigint"),
         "Segment": _segment_key(F.col("c_mktsegment")),
-        "Q1_Vehicle_Year": F.year(F.col("top.d")).cast("int"),
+        "Q1_Vehicle_Year": F.when(top_year > 0, top_year - 1).cast("int"),
         "Q2_Vehicle_Brand": F.col("n_name"),
         "Q3_Aesthetic_Style": style,
     }
@@ -114,7 +130,8 @@ def survey_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols["Q5_Rattle_Severity_Scale"] = (1 + F.least(F.lit(4), F.col("urg"))).cast("int")
     for col, _, k in MODULE_RULES:
         cols[col] = (F.col(f"n_{col}") >= k).cast("int")
-    cols["Q7_Primary_Concern"] = F.concat(F.lit("The "), F.col("top.p"))
+    cols["Q7_Primary_Concern"] = F.concat(F.lit("The "), F.when(
+        top_code > 0, F.element_at(F.array(*[F.lit(p) for p in ORDER_PRIORITIES]), top_code)))
     cols["Q8_Price_Too_Cheap"] = half_up(F.col("mn_c"), F.lit(1000)) / 100.0
     cols["Q9_Price_Bargain"] = half_up(F.col("mn_c") * n + F.col("sum_c"), n * 2000) / 100.0
     cols["Q10_Price_Expensive"] = half_up(F.col("sum_c"), n * 1000) / 100.0

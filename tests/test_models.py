@@ -44,3 +44,13 @@ def test_single_leaf_tree_gives_one_rule(spark):
     from surveykit.operators.classify import _rules_from_nodes, tree_nodes
     rules = _rules_from_nodes(tree_nodes(model), ["Q5_Rattle_Severity_Scale"])
     assert len(rules) == 1 and rules[0]["conds"] == []
+
+
+def test_compute_all_small(spark, survey_small):
+    from surveykit.plans.analyses import compute_all
+    out = compute_all(survey_small, num_trees=5, max_depth=4, elbow_ks=[1, 2], silhouette_ks=[2],
+                      folds=2, kmeans_max_iter=10)
+    assert out["vw_points"].count() == 4
+    assert out["clusters"].count() == survey_small.count()
+    assert out["cv_auc"].count() == 2
+    assert out["compare_models"].count() == 6
