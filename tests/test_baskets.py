@@ -59,9 +59,10 @@ def test_bitmask_path_equals_fpgrowth_path(spark, survey_small):
     cols, names = list(SPEC.module_cols), list(SPEC.module_names)
     a = B.frequent_itemsets_flags(survey_small, cols, names, 0.1)
     baskets = B.to_baskets(survey_small, cols, names)
-    b = B.frequent_itemsets(baskets, 0.1)
+    b = B.frequent_itemsets_fpgrowth(baskets, 0.1)
+    c = B.frequent_itemsets(baskets, 0.1, catalog=names)   # bitmask path on arrays
     key = lambda df: sorted((tuple(r["items"]), r["freq"], r["n"]) for r in df.collect())
-    assert key(a) == key(b)
+    assert key(a) == key(b) == key(c)
 
 
 def test_support_boundary_inclusive_and_empty_baskets_count(spark):
