@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import DEFAULT_SPEC, MODEL_FEATURE_LABELS, RULE_FEATURE_LABELS, SEED, SurveySpec
@@ -33,6 +33,48 @@ def stratified_split(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, test_pct: i
                          .otherwise("train"))
 
 
+def hash_key(id_col: str | Column, salt: str) -> Column:
+    """Stateless 60-bit key: the first 15 hex digits of md5(id ':' salt)."""
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.conv(F.substring(F.md5(F.concat(c.cast("string"), F.lit(f":{salt}"))), 1, 15), 16, 10) \
+        .cast("bigint")
+
+
+def stratified_split_exact(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, test_pct: int = 25,
+                           seed: int = SEED, bucket_bits: int = 16) -> DataFrame:
+    """M9 (exact counts): in every class the round-half-up(pct·n_c/100) rows with the
+    smallest (hash, id) go to 'test'.
+
+    Never sorts a class in one task: rows are counted per (class, top ``bucket_bits`` of
+    the hash) with a partial aggregation (≤ classes × 2^bits rows), a window over that
+    small histogram finds each class's boundary bucket, and only rows of the boundary
+    bucket (≈ n_c / 2^bits) are ranked. Ids are assumed unique.
+    """
+    y, key = F.col(spec.target_col), hash_key(spec.id_col, f"{seed}:exact")
+    shift = 60 - bucket_bits
+    keyed = df.withColumn("_h", key).withColumn("_b", F.shiftright(F.col("_h"), shift))
+    hist = keyed.groupBy(y.alias("_y"), "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_y").orderBy("_b")
+    cum = hist.select("_y", "_b", "_n",
+                      F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_c"),
+                      F.sum("_n").over(Window.partitionBy("_y")).alias("_nc"))
+    target = F.floor((F.col("_nc") * (2 * test_pct) + 100) / 200).cast("bigint")
+    bounds = cum.withColumn("_t", target).where(
+        (F.col("_c") >= F.col("_t")) & (F.col("_c") - F.col("_n") < F.col("_t"))).select(
+        "_y", F.col("_b").alias("_bb"), (F.col("_t") - (F.col("_c") - F.col("_n"))).alias("_r"))
+    # one row per class: a proven-size broadcast
+    j = keyed.join(F.broadcast(bounds), keyed[spec.target_col].eqNullSafe(bounds["_y"]), "left")
+    edge = j.where(F.col("_b") == F.col("_bb"))
+    ranked = edge.withColumn("_rk", F.row_number().over(
+        Window.partitionBy("_y", "_b").orderBy("_h", spec.id_col)))
+    rest = j.where(~F.coalesce(F.col("_b") == F.col("_bb"), F.lit(False))).withColumn(
+        "_rk", F.lit(None).cast("int"))
+    test = F.coalesce(F.col("_b") < F.col("_bb"), F.lit(False)) | \
+        F.coalesce((F.col("_b") == F.col("_bb")) & (F.col("_rk") <= F.col("_r")), F.lit(False))
+    out = ranked.unionByName(rest).withColumn("split", F.when(test, "test").otherwise("train"))
+    return out.drop("_h", "_b", "_y", "_bb", "_r", "_rk")
+
+
 def assign_folds(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = 5,
                  seed: int = SEED) -> DataFrame:
     """Adds ``fold`` in [0, k) from an md5 bucket (disjoint, complete)."""

@@ -362,6 +362,12 @@ def q_split(spark, sf):
         "respondent_id", F.col("Q12_Reserve_Slot_Intent").alias("label"), "split")
 
 
+@query("stratified_split_exact")
+def q_split_exact(spark, sf):
+    return C.stratified_split_exact(S(spark, sf)).select(
+        "respondent_id", F.col("Q12_Reserve_Slot_Intent").alias("label"), "split")
+
+
 @query("fold_sizes")
 def q_fold_sizes(spark, sf):
     f = C.assign_folds(S(spark, sf))

@@ -458,6 +458,12 @@ def _model_metrics_cte(name, scname):
 
 
 SQL["stratified_split"] = with_survey(f"SELECT respondent_id, Q12_Reserve_Slot_Intent AS label, {_SPLIT} AS split FROM survey")
+SQL["stratified_split_exact"] = with_survey("""
+, k AS (SELECT respondent_id, Q12_Reserve_Slot_Intent AS label,
+          ('0x' || substr(md5(CAST(respondent_id AS VARCHAR) || ':42:exact'), 1, 15))::BIGINT AS h FROM survey),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, respondent_id) AS rk,
+             count(*) OVER (PARTITION BY label) AS nc FROM k)
+SELECT respondent_id, label, CASE WHEN rk <= (nc * 50 + 100) // 200 THEN 'test' ELSE 'train' END AS split FROM r""")
 SQL["fold_sizes"] = with_survey(f"SELECT {_FOLD} AS fold, Q12_Reserve_Slot_Intent AS label, CAST(count(*) AS BIGINT) AS n "
                                 "FROM survey GROUP BY 1, 2")
 SQL["confusion"] = with_survey(_scored_cte() + f"\nSELECT split, {_CM} FROM sc GROUP BY split")

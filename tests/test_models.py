@@ -54,3 +54,19 @@ def test_compute_all_small(spark, survey_small):
     assert out["clusters"].count() == survey_small.count()
     assert out["cv_auc"].count() == 2
     assert out["compare_models"].count() == 6
+
+
+def test_exact_split_counts_and_boundary_ranking(spark):
+    """Tiny bucket count forces big boundary buckets; result equals a plain ranking."""
+    import hashlib
+    rows = [(i, i % 3 % 2) for i in range(1, 301)]
+    df = spark.createDataFrame(rows, "respondent_id long, Q12_Reserve_Slot_Intent int")
+    for bits in (2, 16):
+        got = {r["respondent_id"]: r["split"] for r in C.stratified_split_exact(df, bucket_bits=bits).collect()}
+        ref = {}
+        for y in (0, 1):
+            ids = [i for i, c in rows if c == y]
+            ids.sort(key=lambda i: (int(hashlib.md5(f"{i}:42:exact".encode()).hexdigest()[:15], 16), i))
+            t = (len(ids) * 50 + 100) // 200
+            ref.update({i: ("test" if k < t else "train") for k, i in enumerate(ids)})
+        assert got == ref
