@@ -126,10 +126,14 @@ def importances(model, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame:
 
 
 def tercile_band(df: DataFrame, col: str, labels=("high", "mid", "low")) -> DataFrame:
-    """> q66 → high, > q33 → mid, else low; interpolated quantiles of ``col``."""
-    q = df.agg(F.percentile(col, [0.33, 0.66]).alias("q")).scalar()
-    return df.withColumn("band", F.when(F.col(col) > q[1], labels[0])
-                         .when(F.col(col) > q[0], labels[1]).otherwise(labels[2]))
+    """> q66 → high, > q33 → mid, else low; exact interpolated quantiles of ``col``
+    (computed without holding the column in one buffer, see ``exact_quantiles``)."""
+    from .describe import exact_quantiles
+    q33, q66 = exact_quantiles(df, col, [0.33, 0.66])
+    if q33 is None:
+        return df.withColumn("band", F.lit(labels[2]))
+    return df.withColumn("band", F.when(F.col(col) > F.lit(q66), labels[0])
+                         .when(F.col(col) > F.lit(q33), labels[1]).otherwise(labels[2]))
 
 
 def _spark():

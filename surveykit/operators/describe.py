@@ -262,3 +262,40 @@ def profile_survey(df: DataFrame, numeric_cols: Sequence[str] | None = None) ->
             F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.col(f"mu{i}").alias("mean"),
             F.col(f"sd{i}").alias("stddev"), adj.alias("skewness")))
     return wide.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list:
+    """Exact interpolated quantiles (the ``percentile`` / ``quantile_cont``
+    definition) without holding a column in one buffer.
+
+    Distinct values are counted (partial aggregation), their running counts come from
+    the range-partitioned prefix sum, and only the ≤ 2·len(probs) histogram rows that
+    hold the needed ranks reach the driver.
+    """
+    from .metrics import running_totals
+    x = F.col(col).cast("double")
+    hist = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    cum = running_totals(hist, "v", ["c"])
+    n = cum.agg(F.max("c_cum")).first()[0]
+    if not n:
+        return [None for _ in probs]
+    ranks = set()
+    pos = []
+    for p in probs:
+        q = p * (n - 1)
+        lo, hi = int(q // 1), int(-(-q // 1))
+        pos.append((q, lo, hi))
+        ranks.update((lo, hi))
+    cond = None
+    for r in sorted(ranks):   # rank r (0-based) lives in the row with c_cum - c <= r < c_cum
+        e = (F.col("c_cum") - F.col("c") <= r) & (F.col("c_cum") > r)
+        cond = e if cond is None else cond | e
+    rows = cum.where(cond).select("v", "c", "c_cum").collect()
+
+    def at(r):
+        return next(row["v"] for row in rows if row["c_cum"] - row["c"] <= r < row["c_cum"])
+    out = []
+    for q, lo, hi in pos:
+        a, b = at(lo), at(hi)
+        out.append(a if lo == hi else (hi - q) * a + (q - lo) * b)
+    return out

@@ -79,3 +79,13 @@ def test_confusion_matrix_square(spark):
     rows = [(1, 0.9, 1), (0, 0.8, 1), (1, 0.4, 0), (0, 0.1, 0), (0, 0.2, 0)]
     cm = {r["actual"]: (r["pred_0"], r["pred_1"]) for r in M.confusion_matrix(frame(spark, rows)).collect()}
     assert cm == {0: (2, 1), 1: (1, 1)}
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from surveykit.operators.describe import exact_quantiles
+    rng = np.random.default_rng(11)
+    vals = [float(v) for v in np.round(rng.normal(size=777), 1)]   # many ties
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "x double")
+    probs = [0.0, 0.33, 0.5, 0.66, 1.0]
+    got = exact_quantiles(df, "x", probs)
+    assert got == pytest.approx(list(np.quantile(vals, probs)), abs=1e-12)
