@@ -107,10 +107,26 @@ def fit_tree(train: DataFrame, max_depth: int = 4, min_leaf: int = 20, seed: int
     return dt.fit(train)
 
 
+def fit_boosted(train: DataFrame, max_iter: int = 100, max_depth: int = 3, step: float = 0.1,
+                seed: int = SEED, max_bins: int = 128):
+    """Gradient-boosted trees (logistic loss) — a *computed* third model for comparisons.
+    ``score`` works on it through its ``probability`` column."""
+    from pyspark.ml.classification import GBTClassifier
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter,
+                        maxDepth=max_depth, stepSize=step, seed=seed, maxBins=max_bins)
+    return gbt.fit(train)
+
+
 def score(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Adds ``score`` (P(class 1)), ``prediction`` (score > threshold) and
     ``intent_band`` ('high'/'low') to any batch or streaming DataFrame of vectors."""
-    out = model.transform(df).withColumnRenamed("prediction", "score")
+    out = model.transform(df)
+    if "probability" in out.columns:   # classifiers: P(class 1) from the probability vector
+        from pyspark.ml.functions import vector_to_array
+        out = out.drop("prediction", "rawPrediction").withColumn(
+            "score", vector_to_array("probability")[1]).drop("probability")
+    else:                              # regressors on the 0/1 label: the prediction is P(1)
+        out = out.withColumnRenamed("prediction", "score")
     pred = (F.col("score") > threshold).cast("int")
     return out.withColumn("prediction", pred).withColumn(
         "intent_band", F.when(pred == 1, "high").otherwise("low"))

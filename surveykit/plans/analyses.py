@@ -22,7 +22,7 @@ from ..spec import DEFAULT_SPEC, KMEANS_K, SEED, SurveySpec
 def compute_all(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = KMEANS_K,
                 seeds=(SEED,), num_trees: int = 300, max_depth: int = 15,
                 elbow_ks=range(1, 10), silhouette_ks=range(2, 9), folds: int = 5,
-                kmeans_max_iter: int = 300) -> dict[str, DataFrame]:
+                kmeans_max_iter: int = 300, boosted_iter: int = 100) -> dict[str, DataFrame]:
     """Descriptive tables, price curves and points, rules and co-occurrence, k-means
     segmentation (labels, elbow, silhouettes, named profiles), forest and tree models
     (metrics, ROC, importances, rules, CV) and the evidence tables."""
@@ -38,8 +38,10 @@ def compute_all(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = KMEANS_
     train = data.where(F.col("split") == "train")
     forest = C.fit_forest(train, spec, num_trees, max_depth)
     tree = C.fit_tree(train)
+    boosted = C.fit_boosted(train, max_iter=boosted_iter)
     f_scored = C.score(forest, data)
     t_scored = C.score(tree, data)
+    b_metrics = M.model_metrics(C.score(boosted, data))
     f_metrics = M.model_metrics(f_scored)
     t_metrics = M.model_metrics(t_scored)
     rules = B.survey_rules(df, spec)
@@ -73,7 +75,8 @@ def compute_all(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = KMEANS_
         "forest_importances": C.tercile_band(C.importances(forest, spec), "importance"),
         "tree_metrics": t_metrics,
         "tree_rules": C.tree_rules(tree, train, spec),
-        "compare_models": M.compare_models({"decision_tree": t_metrics, "random_forest": f_metrics}),
+        "compare_models": M.compare_models({"decision_tree": t_metrics, "random_forest": f_metrics,
+                                            "boosted_trees": b_metrics}),
         "overfit": M.overfit_check(f_metrics),
         "class_balance": A.class_balance(df, spec),
         "cv_auc": C.cross_validate(df, spec, folds, num_trees, max_depth),

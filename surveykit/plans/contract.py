@@ -484,6 +484,16 @@ def q_forest_scores(spark, sf):
     return C.score(model, data).select("respondent_id", "split", "label", "score", "prediction")
 
 
+@query("model_comparison", rows_only=True)
+def q_model_comparison(spark, sf):
+    data = _train_test(spark, sf).persist()
+    train = data.where(F.col("split") == "train")
+    models = {"decision_tree": C.fit_tree(train),
+              "random_forest": C.fit_forest(train, num_trees=CONTRACT_TREES, max_depth=CONTRACT_DEPTH),
+              "boosted_trees": C.fit_boosted(train, max_iter=30)}
+    return M.compare_models({k: M.model_metrics(C.score(m, data)) for k, m in models.items()})
+
+
 @query("forest_importances", rows_only=True)
 def q_forest_importances(spark, sf):
     data = _train_test(spark, sf)

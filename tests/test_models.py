@@ -49,11 +49,12 @@ def test_single_leaf_tree_gives_one_rule(spark):
 def test_compute_all_small(spark, survey_small):
     from surveykit.plans.analyses import compute_all
     out = compute_all(survey_small, num_trees=5, max_depth=4, elbow_ks=[1, 2], silhouette_ks=[2],
-                      folds=2, kmeans_max_iter=10)
+                      folds=2, kmeans_max_iter=10, boosted_iter=3)
     assert out["vw_points"].count() == 4
     assert out["clusters"].count() == survey_small.count()
     assert out["cv_auc"].count() == 2
-    assert out["compare_models"].count() == 6
+    cmp = out["compare_models"]
+    assert cmp.count() == 6 and {"decision_tree", "random_forest", "boosted_trees"} <= set(cmp.columns)
 
 
 def test_exact_split_counts_and_boundary_ranking(spark):
