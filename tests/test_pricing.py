@@ -97,3 +97,21 @@ def test_fixture_points_sf001(spark):
     assert pts["iap"] == pytest.approx(279.983306, abs=1e-6)
     assert pts["pmc"] == pytest.approx(195.283806, abs=1e-6)
     assert pts["pme"] == pytest.approx(248.656093, abs=1e-6)
+
+
+def test_crossing_of_two_series_equals_named_point(spark):
+    from surveykit.sources.fixture import survey_frame
+    df = survey_frame(spark, "/root/testdata/sf0.001")
+    curves = V.vw_curves(df, SPEC)
+    c = V.vw_crossing(curves, "too_cheap", "expensive").first()
+    pts = {r["point"]: (r["grid_idx"], r["price"]) for r in V.vw_points(df, SPEC, curves=curves).collect()}
+    assert (c["grid_idx"], c["price"]) == pts["opp"]
+
+
+def test_curves_by_segment_sum_to_overall(spark):
+    from pyspark.sql import functions as F
+    from surveykit.sources.fixture import survey_frame
+    df = survey_frame(spark, "/root/testdata/sf0.001")
+    by = V.vw_curves(df, SPEC, by=["Segment"]).groupBy("series", "grid_idx").agg(F.sum("hits").alias("h"))
+    allc = V.vw_curves(df, SPEC).select("series", "grid_idx", F.col("hits").alias("h"))
+    assert by.exceptAll(allc).count() == 0 and allc.exceptAll(by).count() == 0
