@@ -27,12 +27,11 @@ def compute_all(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = KMEANS_
     segmentation (labels, elbow, silhouettes, named profiles), forest and tree models
     (metrics, ROC, importances, rules, CV) and the evidence tables."""
     feats = spec.kmeans_features
-    z = K.standardize(df, feats, keep=[c for c in df.columns if c not in feats], suffix="_z")
+    z = K.standardize(df, feats, keep=df.columns, suffix="_z")
     zcols = [f"{c}_z" for c in feats]
     _, _, centres = K.fit_kmeans(z, zcols, k, seeds, kmeans_max_iter)
     labelled = K.assign_clusters(z, zcols, centres)
-    named = K.name_clusters(labelled.select(spec.id_col, spec.segment_col, "cluster"), spec)
-    named = df.join(named.select(spec.id_col, "cluster", "Cluster_Label"), spec.id_col)
+    named = K.name_clusters(labelled, spec)     # all survey columns ride along: no join back
 
     data = C.feature_vectors(C.stratified_split(df, spec), spec)
     train = data.where(F.col("split") == "train")

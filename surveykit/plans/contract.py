@@ -297,9 +297,12 @@ def _fixed(spark, sf) -> DataFrame:
 
 
 def _named_fixed(spark, sf) -> DataFrame:
-    asg = _fixed(spark, sf).select("respondent_id", "Segment", "cluster")
-    named = K.name_clusters(asg)
-    return S(spark, sf).join(named.select("respondent_id", "cluster", "Cluster_Label"), "respondent_id")
+    """Every survey column + cluster + Cluster_Label; the z-scores ride along under a
+    suffix, so no join back to the survey is needed (only the k-row names broadcast)."""
+    df = S(spark, sf)
+    z = K.standardize(df, FEATS, keep=df.columns, suffix="_z")
+    asg = K.assign_clusters(z, [f"{c}_z" for c in FEATS], fixed_centres(len(FEATS), 4))
+    return K.name_clusters(asg)
 
 
 @query("standardize")
