@@ -6,7 +6,6 @@ AUCs from all pairs, curves from grid × respondents.
 """
 from __future__ import annotations
 
-from itertools import combinations
 
 from ..sources.fixture import fixed_centres
 from ..spec import (BUDGET_BRANDS, BRAND_CLASS_LABELS, FRICTION_COLS, FRICTION_NAMES,

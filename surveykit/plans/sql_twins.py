@@ -10,8 +10,7 @@ from __future__ import annotations
 from ..sources.fixture import (FRICTION_RULES, INTENT_AVG_CENTS, INTENT_URGENT,
                                MKTSEGMENT_TO_SEGMENT, MODULE_RULES, NOISE_MODULUS,
                                STYLE_ELSE, STYLE_RULES)
-from ..spec import (FRICTION_COLS, GRID_HI, GRID_LO, GRID_N, MODULE_COLS, MODULE_NAMES,
-                    SEGMENT_LABELS)
+from ..spec import GRID_HI, GRID_LO, GRID_N, SEGMENT_LABELS
 
 
 def _q(s: str) -> str:
