@@ -27,7 +27,7 @@ def test_band_membership_flag_and_texts(spark):
     assert [r["m"] for r in rows] == ["budget", "premium", "premium"]
     assert [r["f0"] for r in rows] == [True, False, False] and [r["f1"] for r in rows] == [True, True, False]
     assert rows[0]["p"] == 51.2            # half-to-even, like pandas round
-    assert rows[0]["pt"] == "51.3%"      # Java formatting rounds half up
+    assert rows[0]["pt"] == "51.2%"      # 0.5125 * 100 is 51.2499... in binary
     assert rows[0]["mt"] == "$135" and rows[0]["ct"] == "1,234,567"
     assert rows[0]["sp"] == "Noise" and rows[0]["it"] == "a + b" and rows[0]["tt"] == "abc"
 
