@@ -139,22 +139,41 @@ def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df)
 
 
-def fit_kmeans(std_df: DataFrame, cols: Sequence[str], k: int, seeds: Sequence[int] = (SEED,),
-               max_iter: int = 300, tol: float = 1e-4):
-    """M2: best of several k-means|| starts by training cost. Returns (model, cost, centres)."""
+def fit_kmeans_many(std_df: DataFrame, cols: Sequence[str], ks: Sequence[int],
+                    seeds: Sequence[int] = (SEED,), max_iter: int = 300, tol: float = 1e-4,
+                    parallelism: int = 4) -> dict:
+    """Fit every (k, seed) pair — independent Spark ML jobs run concurrently from a small
+    driver thread pool, like ``CrossValidator(parallelism=...)`` — and keep the lowest
+    training cost per k (ties → earlier seed). Returns {k: (model, cost, centres)}."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
-    if k < 2:
+    if any(k < 2 for k in ks):
         raise ValueError("k >= 2; use total_sum_of_squares for k = 1")
-    vec = _vectors(std_df, cols)
-    best = None
-    for s in seeds:
-        m = KMeans(k=k, seed=int(s), maxIter=max_iter, tol=tol, featuresCol="features").fit(vec)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    model, cost = best
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-    return model, cost, centres
+    vec = _vectors(std_df, cols).select("features").persist()
+    jobs = [(k, i, int(s)) for k in ks for i, s in enumerate(seeds)]
+
+    def fit(job):
+        k, i, s = job
+        m = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol="features").fit(vec)
+        return k, i, m, m.summary.trainingCost
+
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as ex:
+            fitted = list(ex.map(fit, jobs))
+    finally:
+        vec.unpersist()
+    best: dict = {}
+    for k, i, m, cost in sorted(fitted, key=lambda r: (r[0], r[1])):
+        if k not in best or cost < best[k][1]:
+            best[k] = (m, cost, [list(map(float, c)) for c in m.clusterCenters()])
+    return best
+
+
+def fit_kmeans(std_df: DataFrame, cols: Sequence[str], k: int, seeds: Sequence[int] = (SEED,),
+               max_iter: int = 300, tol: float = 1e-4, parallelism: int = 4):
+    """M2: best of several k-means|| starts by training cost. Returns (model, cost, centres)."""
+    return fit_kmeans_many(std_df, cols, [k], seeds, max_iter, tol, parallelism)[k]
 
 
 def kmeans_labels(std_df: DataFrame, cols: Sequence[str], k: int = 4,
@@ -165,35 +184,34 @@ def kmeans_labels(std_df: DataFrame, cols: Sequence[str], k: int = 4,
 
 
 def elbow(std_df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 10),
-          seeds: Sequence[int] = (SEED,), max_iter: int = 300) -> DataFrame:
-    """M3: (k, inertia); k = 1 is the exact total sum of squares."""
+          seeds: Sequence[int] = (SEED,), max_iter: int = 300, parallelism: int = 4) -> DataFrame:
+    """M3: (k, inertia); k = 1 is the exact total sum of squares, every other k one
+    best-of-seeds fit (all fits run concurrently)."""
     spark = std_df.sparkSession
+    ks = list(ks)
     rows = []
-    persisted = std_df.persist()
-    try:
-        for k in ks:
-            if k == 1:
-                tss = total_sum_of_squares(persisted, cols).first()["inertia"]
-                rows.append((1, float(tss)))
-            else:
-                _, cost, _ = fit_kmeans(persisted, cols, k, seeds, max_iter)
-                rows.append((int(k), float(cost)))
-    finally:
-        persisted.unpersist()
+    if 1 in ks:
+        rows.append((1, float(total_sum_of_squares(std_df, cols).first()["inertia"])))
+    fits = fit_kmeans_many(std_df, cols, [k for k in ks if k != 1], seeds, max_iter,
+                           parallelism=parallelism) if any(k != 1 for k in ks) else {}
+    rows += [(int(k), float(fits[k][1])) for k in sorted(fits)]
     return spark.createDataFrame(rows, "k int, inertia double")
 
 
 def silhouette_sweep(std_df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 9),
-                     seeds: Sequence[int] = (SEED,), max_iter: int = 300) -> DataFrame:
-    """M4 sweep: (k, silhouette_sq) for each k, from one fit per k."""
+                     seeds: Sequence[int] = (SEED,), max_iter: int = 300,
+                     parallelism: int = 4) -> DataFrame:
+    """M4 sweep: (k, silhouette_sq) for each k, from one best-of-seeds fit per k."""
+    from concurrent.futures import ThreadPoolExecutor
     spark = std_df.sparkSession
-    rows = []
-    persisted = std_df.persist()
+    fits = fit_kmeans_many(std_df, cols, list(ks), seeds, max_iter, parallelism=parallelism)
+    persisted = std_df.select(*cols).persist()
     try:
-        for k in ks:
-            _, _, centres = fit_kmeans(persisted, cols, k, seeds, max_iter)
-            sil = silhouette_sq(assign_clusters(persisted, cols, centres), cols).first()
-            rows.append((int(k), float(sil["silhouette_sq"])))
+        def sil(k):
+            r = silhouette_sq(assign_clusters(persisted, cols, fits[k][2]), cols).first()
+            return int(k), float(r["silhouette_sq"])
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(fits)))) as ex:
+            rows = list(ex.map(sil, sorted(fits)))
     finally:
         persisted.unpersist()
     return spark.createDataFrame(rows, "k int, silhouette_sq double")
