@@ -74,3 +74,15 @@ def test_name_clusters_merges_and_null_labels(spark):
     df = spark.createDataFrame(rows, "respondent_id long, Segment string, cluster int")
     named = {r["cluster"]: r["Cluster_Label"] for r in K.name_clusters(df, SurveySpec()).collect()}
     assert named[0] == named[1] == "Tech Purist" and named[2] is None
+
+
+def test_two_clusters_same_majority_merge_in_profile(spark):
+    from surveykit.spec import SurveySpec
+    rows = [(1, "Tech_Purist", 0, 100.0, 200.0, 3, 1), (2, "Tech_Purist", 1, 300.0, 400.0, 5, 0),
+            (3, "FURNITURE", 2, 50.0, 60.0, 1, 0)]
+    df = spark.createDataFrame(rows, "respondent_id long, Segment string, cluster int, Q9_Price_Bargain double, "
+                                     "Q11_Price_Too_Expensive double, Q5_Rattle_Severity_Scale int, "
+                                     "Q12_Reserve_Slot_Intent int")
+    prof = K.cluster_profile(K.name_clusters(df, SurveySpec()), SurveySpec()).collect()
+    assert len(prof) == 1 and prof[0]["Cluster_Label"] == "Tech Purist"
+    assert prof[0]["bargain_price"] == 200.0 and prof[0]["n"] == 2
