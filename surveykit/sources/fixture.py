@@ -75,14 +75,22 @@ def _top_order_key(cents: Column) -> Column:
 
 def survey_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Respondent table (survey schema) derived from customer/orders/lineitem/part/nation."""
+    # Each line is reduced to byte flags (and each part to a byte type code) before the
+    # join, so the two line-item-sized shuffles (by part key, then by order key) carry
+    # narrow rows.
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", "l_discount", "l_quantity")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+        "l_orderkey", "l_partkey",
+        *[F.coalesce(F.expr(cond), F.lit(False)).cast("byte").alias(f"f_{col}")
+          for col, cond, _ in FRICTION_RULES])
+    types = F.array(*[F.lit(t) for _, t, _ in MODULE_RULES])
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", F.coalesce(F.array_position(types, F.col("p_type")), F.lit(0)).cast("byte")
+        .alias("p_code"))
     lines = li.join(part, li.l_partkey == part.p_partkey, "left")
     per_order = lines.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"),
-        *[F.count_if(F.expr(cond)).alias(f"n_{col}") for col, cond, _ in FRICTION_RULES],
-        *[F.count_if(F.col("p_type") == t).alias(f"n_{col}") for col, t, _ in MODULE_RULES],
+        *[F.sum(F.col(f"f_{col}").cast("bigint")).alias(f"n_{col}") for col, _, _ in FRICTION_RULES],
+        *[F.count_if(F.col("p_code") == i + 1).alias(f"n_{col}") for i, (col, _, _) in enumerate(MODULE_RULES)],
     )
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
