@@ -42,23 +42,22 @@ def price_grid(spark: SparkSession, lo: float = GRID_LO, hi: float = GRID_HI,
     return spark.range(n).select(idx.alias("grid_idx"), grid_value(idx, lo, hi, n).alias("price"))
 
 
-def _count_passed(x: Column, strict: bool, lo: float, hi: float, n: int) -> Column:
-    """Number of grid points g with g <= x (or g < x when ``strict``), exact.
-
-    The arithmetic guess can be one off at a grid point; it is fixed against the
-    exact grid value so equality behaves like the reference's element-wise compare.
-    """
-    step = _step(lo, hi, n)
-    pos = (x - F.lit(float(lo))) / F.lit(step)
-    guess = (F.ceil(pos) if strict else F.floor(pos) + 1)
-    c0 = F.least(F.greatest(guess, F.lit(0)), F.lit(n)).cast("int")
-    below = (lambda g: g < x) if strict else (lambda g: g <= x)
-    nxt = grid_value(c0, lo, hi, n)
-    prv = grid_value(c0 - 1, lo, hi, n)
-    return (F.when(x.isNull(), F.lit(None).cast("int"))
-            .when((c0 < n) & below(nxt), c0 + 1)
-            .when((c0 > 0) & ~below(prv), c0 - 1)
-            .otherwise(c0))
+def _count_passed_sql(x: str, strict: bool, lo: float, hi: float, n: int) -> str:
+    """SQL for the number of grid points g with g <= x (or g < x when ``strict``), exact.
+
+    The arithmetic guess can be one off at a grid point; it is fixed against the exact
+    grid value so equality behaves like an element-wise compare. Built as one SQL
+    expression (one round trip to the JVM instead of dozens of Column calls)."""
+    step = repr(_step(lo, hi, n))
+    lo_s = repr(float(lo))
+    guess = f"ceil(({x} - {lo_s}) / {step})" if strict else f"floor(({x} - {lo_s}) / {step}) + 1"
+    c0 = f"CAST(least(greatest({guess}, 0), {n}) AS INT)"
+    grid = lambda i: f"({lo_s} + CAST({i} AS DOUBLE) * {step})"
+    below = (lambda g: f"{g} < {x}") if strict else (lambda g: f"{g} <= {x}")
+    return (f"CASE WHEN {x} IS NULL THEN CAST(NULL AS INT) "
+            f"WHEN {c0} < {n} AND {below(grid(c0))} THEN {c0} + 1 "
+            f"WHEN {c0} > 0 AND NOT ({below(grid(f'{c0} - 1'))}) THEN {c0} - 1 "
+            f"ELSE {c0} END")
 
 
 def vw_curves(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, lo: float = GRID_LO,
@@ -71,13 +70,14 @@ def vw_curves(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, lo: float = GRID_L
     by = list(by)
     entries = []
     for name, attr, direction in SERIES:
-        x = F.col(getattr(spec, attr)).cast("double")
-        c = _count_passed(x, strict=(direction == "le"), lo=lo, hi=hi, n=n)
+        x = f"CAST(`{getattr(spec, attr)}` AS DOUBLE)"
+        c = _count_passed_sql(x, strict=(direction == "le"), lo=lo, hi=hi, n=n)
         # ge: counted at grid_idx < c  -> key the last index c-1
         # le: counted at grid_idx >= c -> key the first index c
-        key = c - 1 if direction == "ge" else c
-        entries.append(F.struct(F.lit(name).alias("series"), key.alias("key")))
-    long = df.select(*by, F.explode(F.array(*entries)).alias("e")).select(*by, "e.series", "e.key")
+        key = f"({c}) - 1" if direction == "ge" else c
+        entries.append(f"named_struct('series', '{name}', 'key', {key})")
+    long = df.select(*by, F.expr(f"explode(array({', '.join(entries)}))").alias("e")) \
+        .select(*by, "e.series", "e.key")
     hist = long.groupBy(*by, "series", "key").agg(F.count(F.lit(1)).alias("cnt"))
     return _expand_histogram(hist, by, lo, hi, n)
 
@@ -101,19 +101,15 @@ def _expand_histogram(hist: DataFrame, by: list, lo: float, hi: float, n: int) -
          .over(w_ord.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum"),
         F.lead("m").over(w_ord).alias("nxt"),
         F.row_number().over(w_ord).alias("rn"))
-    m, rn, cum = F.col("m"), F.col("rn"), F.col("cum")
-    gap_end = F.coalesce(m, F.lit(n)) - 1
-    gap = F.filter(
-        F.transform(F.sequence(F.lit(0), F.greatest(gap_end, F.lit(0))),
-                    lambda i: F.struct(i.alias("i"), F.lit(0).cast("bigint").alias("hits"))),
-        lambda e: (rn == 1) & (e["i"] <= gap_end))
-    start = F.coalesce(m, F.lit(0))
-    own_end = F.coalesce(F.col("nxt"), F.lit(n)) - 1
-    own = F.filter(
-        F.transform(F.sequence(start, F.greatest(own_end, start)),
-                    lambda i: F.struct(i.alias("i"), cum.cast("bigint").alias("hits"))),
-        lambda e: m.isNotNull() & (m <= n - 1) & (e["i"] <= own_end))
-    runs = h.select(*by, "series", "n", F.explode(F.concat(gap, own)).alias("e"))
+    gap_end = f"(coalesce(m, {n}) - 1)"
+    own_end = f"(coalesce(nxt, {n}) - 1)"
+    gap = (f"filter(transform(sequence(0, greatest({gap_end}, 0)), "
+           f"i -> named_struct('i', i, 'hits', CAST(0 AS BIGINT))), "
+           f"e -> rn = 1 AND e.i <= {gap_end})")
+    own = (f"filter(transform(sequence(coalesce(m, 0), greatest({own_end}, coalesce(m, 0))), "
+           f"i -> named_struct('i', i, 'hits', CAST(cum AS BIGINT))), "
+           f"e -> m IS NOT NULL AND m <= {n - 1} AND e.i <= {own_end})")
+    runs = h.select(*by, "series", "n", F.expr(f"explode(concat({gap}, {own}))").alias("e"))
     idx = F.when(is_ge, F.lit(n - 1) - F.col("e.i")).otherwise(F.col("e.i")).cast("int")
     return runs.select(
         *by, "series", idx.alias("grid_idx"), grid_value(idx, lo, hi, n).alias("price"),

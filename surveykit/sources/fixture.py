@@ -47,8 +47,24 @@ ORDER_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"
 # ---- end of fixed values ------------------------------------------------------------
 
 
+_RELATIONS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table as a (lazy) relation, resolved once per session like a catalog
+    table: the file listing and footer schema are not re-read for every query. Call
+    ``refresh_tables()`` after replacing files (the analogue of REFRESH TABLE)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    df = _RELATIONS.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _RELATIONS[key] = df
+    return df
+
+
+def refresh_tables() -> None:
+    _RELATIONS.clear()
 
 
 def _segment_key(c: Column) -> Column:
