@@ -71,3 +71,10 @@ def test_exact_split_counts_and_boundary_ranking(spark):
             t = (len(ids) * 50 + 100) // 200
             ref.update({i: ("test" if k < t else "train") for k, i in enumerate(ids)})
         assert got == ref
+
+
+def test_rules_for_class(spark, survey_small):
+    data = C.feature_vectors(survey_small)
+    rules = C.tree_rules(C.fit_tree(data), data)
+    ones = C.rules_for_class(rules, 1).collect()
+    assert all(r["prediction"] == 1 for r in ones)
