@@ -84,8 +84,9 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], by: Sequenc
         (Window.unboundedPreceding, -1)
     w_loc = Window.partitionBy("_pid", *by).orderBy(key).rowsBetween(*frame)
     loc = r.select("*", *[F.coalesce(F.sum(v).over(w_loc), F.lit(0)).alias(f"_l_{v}") for v in values])
-    # ``off`` has (tasks × groups) rows: a bounded broadcast
-    j = loc.join(F.broadcast(off), on=["_pid", *by])
+    # ``off`` has one row per (task, group). Without groups that is ≤ ``parts`` rows, a
+    # proven bound, so it is broadcast; with groups its size is left to AQE's runtime check.
+    j = loc.join(F.broadcast(off) if not by else off, on=["_pid", *by])
     return j.select(*[c for c in df.columns],
                     *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).cast("bigint").alias(f"{v}_cum")
                       for v in values])

@@ -86,3 +86,18 @@ def test_two_clusters_same_majority_merge_in_profile(spark):
     prof = K.cluster_profile(K.name_clusters(df, SurveySpec()), SurveySpec()).collect()
     assert len(prof) == 1 and prof[0]["Cluster_Label"] == "Tech Purist"
     assert prof[0]["bargain_price"] == 200.0 and prof[0]["n"] == 2
+
+
+def test_silhouette_sq_equals_spark_clustering_evaluator(spark, survey_small):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    from surveykit.sources.fixture import fixed_centres
+    from surveykit.spec import KMEANS_FEATURES
+    z = K.standardize(survey_small, KMEANS_FEATURES)
+    asg = K.assign_clusters(z, KMEANS_FEATURES, fixed_centres(len(KMEANS_FEATURES), 4))
+    ours = K.silhouette_sq(asg, KMEANS_FEATURES).first()["silhouette_sq"]
+    vec = VectorAssembler(inputCols=KMEANS_FEATURES, outputCol="features").transform(asg)
+    ev = ClusteringEvaluator(predictionCol="cluster", featuresCol="features",
+                             distanceMeasure="squaredEuclidean")
+    assert ours == pytest.approx(ev.evaluate(vec), abs=1e-9)
