@@ -34,26 +34,29 @@ def main() -> None:
     from surveykit.session import get_session
 
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
-    times, rows = {}, {}
+    times, failed = {}, {}
     for name in only or HEADLINE:
         fn = QUERIES[name]
-
-        t0 = time.perf_counter()
-        fn(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
-        warm = time.perf_counter() - t0
-        samples = []
-        for _ in range(repeats):
-            t = time.perf_counter()
-            df = fn(spark, sf_dir)
-            df.write.format("noop").mode("overwrite").save()
-            samples.append(time.perf_counter() - t)
+        try:
+            t0 = time.perf_counter()
+            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
+            warm = time.perf_counter() - t0
+            samples = []
+            for _ in range(repeats):
+                t = time.perf_counter()
+                df = fn(spark, sf_dir)
+                df.write.format("noop").mode("overwrite").save()
+                samples.append(time.perf_counter() - t)
+        except Exception as e:  # keep benchmarking the rest; report the failure
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            print(f"# {name}: FAILED {failed[name]}", file=sys.stderr, flush=True)
+            continue
         times[name] = round(statistics.median(samples), 3)
-        rows[name] = None
         print(f"# {name}: warm-up {warm:.2f}s, median {times[name]:.3f}s", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": sf, "cpus": int(cpus),
-                      "repeats": repeats}))
+                      "repeats": repeats, **({"failed": failed} if failed else {})}))
 
 
 if __name__ == "__main__":
