@@ -226,7 +226,7 @@ def first_rules_per_class(rules: DataFrame, k: int = 5) -> DataFrame:
 # ---- cross-validation --------------------------------------------------------------
 def cross_validate(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = 5,
                    num_trees: int = 300, max_depth: int = 15, seed: int = SEED,
-                   parallelism: int = 4) -> DataFrame:
+                   parallelism: int | None = None) -> DataFrame:
     """K folds; each fold scored by a forest fitted on the others: (fold, auc).
     The k fits are independent and run concurrently (like ``CrossValidator(parallelism)``)."""
     from concurrent.futures import ThreadPoolExecutor
@@ -239,8 +239,8 @@ def cross_validate(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = 5,
         model = fit_forest(data.where(F.col("fold") != f), spec, num_trees, max_depth, seed)
         return f, auc(score(model, data.where(F.col("fold") == f))).first()["auc"]
 
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as ex:
+    try:   # default: all folds at once (one wave)
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism or k, k))) as ex:
             rows = list(ex.map(one, range(k)))
     finally:
         data.unpersist()
