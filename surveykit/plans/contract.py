@@ -454,12 +454,13 @@ def q_recommendations(spark, sf):
 
 
 # ---- fitted models (rows-only checks) -------------------------------------------------------
+# Contract-size models (the library defaults keep the reference's 300 trees / 10 starts).
 CONTRACT_TREES, CONTRACT_DEPTH = 40, 10
 
 
 def _train_test(spark, sf):
-    data = C.feature_vectors(C.stratified_split(S(spark, sf)))
-    return data
+    """Feature vectors with the train/test ``split`` column."""
+    return C.feature_vectors(C.stratified_split(S(spark, sf)))
 
 
 @query("kmeans_labels", rows_only=True)
