@@ -454,7 +454,8 @@ def q_recommendations(spark, sf):
 
 
 # ---- fitted models (rows-only checks) -------------------------------------------------------
-# Contract-size models (the library defaults keep the reference's 300 trees / 10 starts).
+# Contract-size models. Library defaults keep the reference's 300 trees; k-means starts are the
+# ``seeds`` parameter (best of all given starts, fitted concurrently).
 CONTRACT_TREES, CONTRACT_DEPTH = 40, 10
 
 
