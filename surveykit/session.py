@@ -39,11 +39,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; we only create a scratch folder when the
-    setting is unset (local tests and the bench).
+    setting is unset and the master is ``local`` (tests and the bench): on a cluster a
+    machine-local folder could not be read back, so an unset folder is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="surveykit-ckpt-", dir="/tmp")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
@@ -55,6 +58,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    """A path under the shared checkpoint folder for written intermediate tables.
+
+    The folder is removed when the application ends.
+    """
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
