@@ -27,8 +27,6 @@ from .common import WORD, md5_number, written
 
 #: Blocks of a source; a quota is met within half a block, 1/8192 of the source.
 BLOCKS = 4096
-#: Rows of a source that one bucket of the prefix sum holds, about.
-BUCKET_ROWS = 50_000
 PLACE_BITS = 60
 
 
@@ -198,8 +196,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     sized = written(sized_rows(df, id_col, text_col, source_col, seed), "sized")
     targets = written(source_targets(sized, weights, total, cap), "targets")
     most = targets.agg(F.max("n")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1.0, most / BUCKET_ROWS))))
-    bucket = F.shiftright(F.col("place"), PLACE_BITS - bits) if bits else F.lit(0).cast("long")
+    bits = math.ceil(math.log2(max(4, most)) / 2)  # as many buckets in a source as rows in a bucket
+    bucket = F.shiftright(F.col("place"), PLACE_BITS - bits)
     # a bucket's words, and the words of the source's buckets before it
     sums = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("own"))
     sums = sums.withColumn("before", F.sum("own").over(
