@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -67,3 +68,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return path
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for Python functions in tasks."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_surveykit_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        base = os.path.join(tempfile.mkdtemp(prefix="surveykit-code-"), "surveykit_code")
+        sc.addPyFile(shutil.make_archive(base, "zip", root_dir=root, base_dir="surveykit"))
+        sc._surveykit_shipped = True
