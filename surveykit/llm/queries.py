@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, mixing, sharding, token_counts, toxicity, url_filter
+from . import decontam, exact_dedup, mixing, ngram_join, sharding, token_counts, toxicity, url_filter
 from .common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -28,6 +28,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.component_ids(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_ngram_join": op4_ngram_join,
     "op5_url_filter": op5_url_filter,
     "op7_token_counts": op7_token_counts,
     "op9_mixing": op9_mixing,
