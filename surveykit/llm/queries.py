@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, mixing, ngram_join, sharding, token_counts, toxicity, url_filter
+from . import ctw, decontam, exact_dedup, mixing, ngram_join, sharding, token_counts, toxicity, url_filter
 from .common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -36,6 +36,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return documents.select(F.col("id").alias("doc_id"), "size", "source_size",
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_join": op4_ngram_join,
     "op5_url_filter": op5_url_filter,
     "op7_token_counts": op7_token_counts,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
