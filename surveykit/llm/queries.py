@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, exact_dedup, mixing, ngram_join, sharding, token_counts, toxicity, url_filter
+from . import ctw, decontam, exact_dedup, html_extract, mixing, ngram_join, sharding, token_counts, toxicity, url_filter
 from .common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -46,6 +46,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                             F.round("target", 3).alias("target"), "taken")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_ngram_join": op4_ngram_join,
     "op5_url_filter": op5_url_filter,
+    "op6_html_extraction": op6_html_extraction,
     "op7_token_counts": op7_token_counts,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,

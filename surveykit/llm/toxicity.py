@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 8000
+SAMPLE_DOCS = 5000
 SAMPLE_CHARS = 100_000
 #: Lengths of the beginnings of a word that are features beside the word.
 BEGINNINGS = (3, 4, 5, 6)
