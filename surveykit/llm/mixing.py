@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, md5_number, written
+from .common import WORD, md5_number, temp_name, written
 
 #: Blocks of a source; a quota is met within half a block, 1/8192 of the source.
 BLOCKS = 4096
@@ -156,8 +156,9 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 def block_draws(targets: DataFrame, shards: int = 16, seed: int = 0, blocks: int = BLOCKS) -> DataFrame:
     """The drawn blocks: idx, block, pass, shard; one row per draw.
 
-    A source's draws are numbered pass by pass in the permuted order of its blocks; a
-    shard takes the range that its quota gives it after the shards before.
+    Passes run through a source's stream, which is in pseudo-random order already, so the
+    last pass ends inside one document at most. The draws are then permuted, and a shard
+    takes the range that its quota gives it after the shards before.
     """
     words = F.col("words")
     width = F.greatest(F.ceil(words / F.lit(float(blocks))), F.lit(1)).cast("long")
@@ -173,11 +174,12 @@ def block_draws(targets: DataFrame, shards: int = 16, seed: int = 0, blocks: int
     every = plan.join(ends, "idx").select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("blocks")))).alias("pass")).where("quota > 0")
     every = every.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    every = every.where(F.col("pass") * F.col("blocks") + F.col("block") < F.col("quota"))
     shuffle = md5_number(F.concat_ws("|", F.lit(str(seed)), "idx", "pass", "block"))
-    rank = F.row_number().over(Window.partitionBy("idx", "pass").orderBy(shuffle, "block")) - 1
-    every = every.withColumn("draw", F.col("pass") * F.col("blocks") + rank).where("draw < quota")
+    rank = F.row_number().over(Window.partitionBy("idx").orderBy(shuffle, "pass", "block")) - 1
+    every = every.withColumn("rank", rank)
     return every.select("idx", "block", "pass",
-                        F.size(F.filter("ends", lambda e: e <= F.col("draw"))).alias("shard"))
+                        F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"))
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -227,3 +229,19 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     documents = documents.select("id", "place", "source", "size", "source_size", "target",
                                  F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
     return documents, pieces
+
+
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    weights=(3, 1, 2), total: float = 1.5, cap: float = 2.0, seed: int = 0) -> DataFrame:
+    """``df``'s rows as often as the mix takes them, all columns kept.
+
+    Whole documents only: one that a pass cuts goes to the nearer side, so a source is off
+    its target by half a document at most. Documents without words are not taken.
+    """
+    taken, _ = mix_sources(df, id_col, text_col, source_col, weights, total, cap, seed=seed)
+    copies = (taken.groupBy("place").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies"))
+              .where("copies > 0"))
+    at, n, each = (temp_name(df, x) for x in ("place", "copies", "each"))
+    rows = df.withColumn(at, place(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed))
+    rows = rows.join(copies.select(F.col("place").alias(at), F.col("copies").alias(n)), at)
+    return rows.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in df.columns])

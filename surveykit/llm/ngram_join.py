@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import temp_name, written
 from .components import connected_components
 
 #: Counters of the frequency sketch (a broadcast of 2 MB, whatever the corpus).
@@ -237,3 +237,35 @@ def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("first"))
     return rows.join(first, "comp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                percent: int = 80) -> DataFrame:
+    """``df`` without near copies, all columns kept: of each component the smallest id stays.
+
+    Rows without a word belong to no component and all stay; null ids come last; of
+    repeated rows (same id and text) that stay, one does. What is joined back are the keys
+    of the rows that go, broadcast up to ``BROADCAST_ROWS``.
+    """
+    rows = written(similar_components(df, id_col, text_col, width, percent).where("comp is not null")
+                   .select(F.col("id").cast(df.schema[id_col].dataType).alias("id"), "key", "comp"), "components")
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"))
+    kept = best.select("best.id", "best.key")
+    each = rows.groupBy("id", "key").agg(F.count("*").alias("times"))
+    marks = each.join(kept.withColumnRenamed("id", "kid").withColumnRenamed("key", "kkey"),
+                      F.col("id").eqNullSafe(F.col("kid")) & (F.col("key") == F.col("kkey")), "left")
+    marks = written(marks.select("id", "key", F.col("kkey").isNotNull().alias("stays"), "times")
+                    .where("not stays or times > 1").distinct(), "marks")
+    i, k, s = (temp_name(df, x) for x in ("id", "key", "stays"))
+    wanted = marks.select(F.col("id").alias(i), F.col("key").alias(k), F.col("stays").alias(s))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    text_key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    own = temp_name(df, "own")
+    out = df.withColumn(own, text_key).join(wanted, F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.col(own) == F.col(k)), "left")
+    names = [F.col(f"`{c}`") for c in df.columns]
+    clean = out.where(F.col(s).isNull()).select(*names)
+    if marks.where("stays").isEmpty():
+        return clean
+    once = out.where(F.col(s)).dropDuplicates([id_col, own]).select(*names)
+    return clean.unionByName(once)

@@ -128,12 +128,10 @@ t AS (SELECT source, idx, words, coalesce(least(most, weight * (SELECT level FRO
 p AS (SELECT *, CAST(ceil(words / width::DOUBLE) AS BIGINT) AS blocks, CAST(floor(target / words) AS BIGINT) AS passes
       FROM t WHERE words > 0),
 q AS (SELECT *, passes * blocks + least(CAST(round((target - passes * words) / width) AS BIGINT), blocks) AS quota FROM p),
-k AS (SELECT idx, block, count(*) AS times FROM (
-        SELECT idx, quota, blocks, pass, block, row_number() OVER (PARTITION BY idx, pass
-               ORDER BY {_MD5.format("'0|' || idx || '|' || pass || '|' || block")}, block) - 1 AS rank
-        FROM (SELECT q.*, unnest(generate_series(0, blocks - 1)) AS block FROM q) b,
-             (SELECT unnest(generate_series(0, 2)) AS pass) c) r
-      WHERE pass * blocks + rank < quota GROUP BY idx, block),
+k AS (SELECT idx, block, count(*) AS times
+      FROM (SELECT q.*, unnest(generate_series(0, blocks - 1)) AS block FROM q) b,
+           (SELECT unnest(generate_series(0, 2)) AS pass) c
+      WHERE pass * blocks + block < quota GROUP BY idx, block),
 o AS (SELECT d.doc_id, d.size, t.idx, t.words, t.target, t.width,
              sum(d.size) OVER (PARTITION BY t.idx ORDER BY d.place, d.doc_id, d.size
                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS first
