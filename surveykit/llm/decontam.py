@@ -80,19 +80,21 @@ class BenchmarkIndex:
         times = self.times[at]
         post = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
         pos, item, offset = np.repeat(pos, times), self.item[post], self.offset[post]
-        step = self.edits[item] + 1
-        low = (pos - offset) // step
-        # each hit lies in two overlapping bands; an item position counts once in a band
-        hits = np.unique(np.stack([np.tile(item, 2), np.concatenate([low, low - 1]), np.tile(offset, 2)]), axis=1)
-        change = np.flatnonzero(np.any(np.diff(hits[:2], axis=1), axis=0)) + 1
-        start = np.concatenate([[0], change])
-        count = np.diff(np.concatenate([start, [hits.shape[1]]]))
+        low = (pos - offset) // (self.edits[item] + 1)
+        # each hit lies in two overlapping bands; few bands have hits enough
+        band = np.concatenate([low, low - 1])
+        base = band.min()
+        key = np.tile(item, 2) * (int(band.max() - base) + 1) + (band - base)
+        bands, first, of, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        item, offset = np.tile(item, 2), np.tile(offset, 2)
         body = np.frombuffer(data, dtype=np.uint8)
         passages = set()
-        for s in start[count >= self.bound[hits[0, start]]]:
-            i, band = int(hits[0, s]), int(hits[1, s])
-            k = int(self.edits[i])
-            best, end = self.align(self.bytes[i], body, band * (k + 1) - k, (band + 2) * (k + 1) + k)
+        for n in np.flatnonzero(count >= self.bound[item[first]]):
+            s = first[n]
+            if len(np.unique(offset[of == n])) < self.bound[item[s]]:
+                continue  # an item position counts once in a band
+            i, at_band, k = int(item[s]), int(band[s]), int(self.edits[item[s]])
+            best, end = self.align(self.bytes[i], body, at_band * (k + 1) - k, (at_band + 2) * (k + 1) + k)
             if best <= k:
                 passages.add((i, end, best))
         merged: dict = {}
