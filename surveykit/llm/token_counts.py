@@ -112,9 +112,9 @@ def document_counts(scanned: DataFrame) -> DataFrame:
     at = scanned.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     at = at.withColumn("docs", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
     at = at.withColumn("ends", F.expr("transform(ends, e -> e + base)"))
-    at = at.withColumn("prior", F.coalesce(F.last(F.expr("element_at(ends, -1)"), ignorenulls=True).over(before), F.lit(-1)))
+    at = at.withColumn("prior", F.coalesce(F.last(F.expr("try_element_at(ends, -1)"), ignorenulls=True).over(before), F.lit(-1)))
     at = at.withColumn("last", F.lead("block").over(order).isNull())
-    at = at.withColumn("final", F.coalesce(F.expr("element_at(ends, -1)"), F.col("prior")))
+    at = at.withColumn("final", F.coalesce(F.expr("try_element_at(ends, -1)"), F.col("prior")))
     each = at.select("stream", "docs", F.posexplode(F.expr("""
         concat(transform(ends, (e, i) -> struct(
                  if(i = 0, prior, ends[i - 1]) + 1 as first, e as end, true as closed,
