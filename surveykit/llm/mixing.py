@@ -239,7 +239,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     its target by half a document at most. Documents without words are not taken.
     """
     taken, _ = mix_sources(df, id_col, text_col, source_col, weights, total, cap, seed=seed)
-    copies = (taken.groupBy("place").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies"))
+    copies = (taken.where("size > 0").groupBy("place").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies"))
               .where("copies > 0"))
     at, n, each = (temp_name(df, x) for x in ("place", "copies", "each"))
     rows = df.withColumn(at, place(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed))
