@@ -269,16 +269,17 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list:
     definition) without holding a column in one buffer.
 
     Distinct values are counted (partial aggregation), their running counts come from
-    the range-partitioned prefix sum, and only the ≤ 2·len(probs) histogram rows that
+    the distributed prefix sum, and only the ≤ 2·len(probs) histogram rows that
     hold the needed ranks reach the driver.
     """
+    from ..session import written
     from .metrics import running_totals
     x = F.col(col).cast("double")
-    hist = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    cum = running_totals(hist, "v", ["c"])
-    n = cum.agg(F.max("c_cum")).first()[0]
+    hist = written(df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c")), "histogram")
+    n = hist.agg(F.sum("c")).first()[0]
     if not n:
         return [None for _ in probs]
+    cum = running_totals(hist, "v", ["c"])
     ranks = set()
     pos = []
     for p in probs:

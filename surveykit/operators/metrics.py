@@ -2,7 +2,7 @@
 
 Inputs are rows with a 0/1 label, a score and a 0/1 prediction. Counts come from one
 aggregation; ROC and AUC work on the score histogram (distinct scores), whose running
-totals are computed with a range-partitioned prefix sum so no single task ever holds
+totals are computed with a distributed prefix sum so no single task ever holds
 all distinct scores of a large test set.
 """
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..spec import OVERFIT_GAP_POINTS
 
 
@@ -64,29 +65,33 @@ def class_report(scored: DataFrame, label: str = "label", pred: str = "predictio
 def running_totals(df: DataFrame, order: str, values: Sequence[str], by: Sequence[str] = (),
                    descending: bool = False, inclusive: bool = True,
                    num_partitions: int | None = None) -> DataFrame:
-    """Distributed prefix sums of ``values`` along ``order`` within each ``by`` group.
-
-    Rows are range-partitioned on (by, order) so every task holds one contiguous run;
-    each task sums its run locally, and the per-task totals (tasks × groups rows, a
-    bounded table) give every task its starting offset. Adds ``<v>_cum`` columns
-    (inclusive of the row itself, or strictly before it when ``inclusive=False``).
+    """Distributed prefix sums of ``values`` along a numeric ``order`` within each ``by`` group.
+
+    The rows are written once, cut points of ``order`` are taken from them, and the run of
+    a row is a plain function of its value: totals per run and the sums inside a run are
+    sure to speak of the same runs, however often a branch is computed. Each run is summed
+    by itself, and the totals (runs × groups rows) give every run its starting offset.
+    Adds ``<v>_cum`` columns (inclusive of the row itself, or strictly before it when
+    ``inclusive=False``).
     """
     by = list(by)
-    key = F.col(order).desc() if descending else F.col(order).asc()
+    df = written(df, "prefix")
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(parts, *[F.col(b) for b in by], key) \
-        .withColumn("_pid", F.spark_partition_id())
-    tot = r.groupBy("_pid", *by).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    w_off = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_pid", *by, *[F.coalesce(F.sum(f"_t_{v}").over(w_off), F.lit(0))
+    cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    run = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(order).cast("double"))) if cuts else F.lit(0)
+    r = df.withColumn("_run", -run if descending else run)
+    key = F.col(order).desc() if descending else F.col(order).asc()
+    tot = r.groupBy("_run", *by).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    w_off = Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_run", *by, *[F.coalesce(F.sum(f"_t_{v}").over(w_off), F.lit(0))
                                     .alias(f"_o_{v}") for v in values])
     frame = (Window.unboundedPreceding, Window.currentRow) if inclusive else \
         (Window.unboundedPreceding, -1)
-    w_loc = Window.partitionBy("_pid", *by).orderBy(key).rowsBetween(*frame)
+    w_loc = Window.partitionBy("_run", *by).orderBy(key).rowsBetween(*frame)
     loc = r.select("*", *[F.coalesce(F.sum(v).over(w_loc), F.lit(0)).alias(f"_l_{v}") for v in values])
-    # ``off`` has one row per (task, group). Without groups that is ≤ ``parts`` rows, a
+    # ``off`` has one row per (run, group). Without groups that is ≤ ``parts`` rows, a
     # proven bound, so it is broadcast; with groups its size is left to AQE's runtime check.
-    j = loc.join(F.broadcast(off) if not by else off, on=["_pid", *by])
+    j = loc.join(F.broadcast(off) if not by else off, on=["_run", *by])
     return j.select(*[c for c in df.columns],
                     *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).cast("bigint").alias(f"{v}_cum")
                       for v in values])

@@ -4,35 +4,37 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "surveykit") -> SparkSession:
     """Build (or reuse) a session with AQE, skew-join handling and Arrow on, UI off.
 
-    On a cluster the launcher supplies master and sizing; these settings only apply
-    where the caller has not set them.
+    Started by spark-submit, the launcher's master, memory and partition count stand;
+    only a plain Python process gets local defaults for them.
     """
+    builder = SparkSession.builder.appName(app_name).config(map={
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true"})
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ
     cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or os.environ.get("SURVEYKIT_MASTER", f"local[{cpus}]")
-    parts = shuffle_partitions or int(os.environ.get("SURVEYKIT_SHUFFLE_PARTITIONS", cpus))
-    spark = (
-        SparkSession.builder.master(master).appName(app_name)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("SURVEYKIT_DRIVER_MEMORY", "16g"))
-        .getOrCreate()
-    )
+    master = master or os.environ.get("SURVEYKIT_MASTER") or (None if submitted else f"local[{cpus}]")
+    parts = shuffle_partitions or os.environ.get("SURVEYKIT_SHUFFLE_PARTITIONS") or (None if submitted else cpus)
+    memory = os.environ.get("SURVEYKIT_DRIVER_MEMORY") or (None if submitted else "8g")
+    if master:
+        builder = builder.master(master)
+    for name, value in (("spark.sql.shuffle.partitions", parts), ("spark.driver.memory", memory)):
+        if value:
+            builder = builder.config(name, str(value))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local") or spark.conf.get("spark.checkpoint.dir", None):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -70,6 +72,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and read it back: every later branch
+    of a plan sees the same rows, computed once."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, for Python functions in tasks."""
     sc = spark.sparkContext

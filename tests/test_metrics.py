@@ -41,6 +41,22 @@ def test_running_totals_equal_cumsum(spark):
         assert [c for _, c in mine] == list(np.cumsum([v for _, v in ref]))
 
 
+def test_auc_of_many_distinct_scores_is_exact_and_repeatable(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(200_000).select(
+        (F.pmod(F.xxhash64("id"), F.lit(1000003)) / 1000003.0).alias("noise"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    df = df.select("label", (F.col("noise") + 0.4 * F.col("label")).alias("score"), F.lit(0).alias("prediction"))
+    rows = df.select("label", "score").toPandas()
+    ranks = rows["score"].rank().to_numpy()
+    pos = rows["label"].to_numpy() == 1
+    exact = (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    for _ in range(4):
+        assert abs(M.auc(df).first()["auc"] - exact) < 1e-12
+    pts = M.roc_points(df).orderBy("fpr", "tpr").toPandas()
+    area = float(((pts["fpr"].diff() * (pts["tpr"] + pts["tpr"].shift()) / 2).dropna()).sum())
+    assert abs(area - exact) < 1e-9
+
+
 def test_roc_points_start_and_end(spark):
     rows = [(1, 0.9, 1), (0, 0.8, 1), (1, 0.4, 0), (0, 0.1, 0)]
     pts = sorted(((r["fpr"], r["tpr"]) for r in M.roc_points(frame(spark, rows)).collect()))
