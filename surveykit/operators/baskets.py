@@ -21,8 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import band, flag
+from ..session import written
 from ..spec import DEFAULT_SPEC, LIFT_BAND_ELSE, LIFT_BANDS, MIN_LIFT, MIN_SUPPORT, SurveySpec
 
+#: Flag columns up to which itemsets are counted by bitmask.
+MASK_COLUMNS = 16
 _SCALE = 1_000_000  # thresholds are compared as integers in millionths
 
 
@@ -67,21 +70,31 @@ def mask_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
 def frequent_itemsets_flags(df: DataFrame, cols: Sequence[str], names: Sequence[str],
                             min_support: float = MIN_SUPPORT, by: Sequence[str] = (),
                             null_as: bool = False) -> DataFrame:
-    """B2 (bitmask path): (by..., items, size, freq, n, support) with support >= min."""
+    """B2 on flag columns: (by..., items, size, freq, n, support) with support >= min.
+
+    A few columns are counted by bitmask; many go through FP-growth, with the group as one
+    more item of each basket.
+    """
     by = list(by)
-    if len(cols) > 20:
-        raise ValueError("bitmask path is for a few flag columns; use frequent_itemsets()")
+    if len(cols) > MASK_COLUMNS:
+        return _itemsets_by_group(df, cols, names, min_support, by, null_as)
     return _itemsets_from_masks(mask_counts(df, cols, by, null_as), names, min_support, by)
 
 
 def _itemsets_from_masks(mc: DataFrame, names: Sequence[str], min_support: float,
                          by: Sequence[str] = ()) -> DataFrame:
     """(by..., mask, cnt) → frequent itemsets: each distinct mask (≤ 2^m per group)
-    expands into its non-empty sub-masks, counts are summed per sub-mask."""
+    expands into its non-empty sub-masks (of its set bits only), counts are summed per
+    sub-mask."""
     by = list(by)
-    full = (1 << len(names)) - 1
-    subs = F.filter(F.sequence(F.lit(1).cast("bigint"), F.lit(full).cast("bigint")),
-                    lambda s: s.bitwiseAND(F.col("mask")) == s)
+    bits = F.filter(F.lit([1 << i for i in range(len(names))]).cast("array<bigint>"),
+                    lambda b: b.bitwiseAND(F.col("mask")) != 0)
+    one = F.lit(1).cast("bigint")
+    numbers = F.sequence(one, F.call_function("shiftleft", one, F.size(bits)) - 1)
+    subs = F.when(F.col("mask") != 0, F.transform(numbers, lambda s: F.aggregate(
+        F.transform(bits, lambda b, i: F.when(F.call_function("shiftright", s, i).bitwiseAND(one) != 0, b)
+                    .otherwise(F.lit(0).cast("bigint"))),
+        F.lit(0).cast("bigint"), lambda a, b: a + b)))
     w = Window.partitionBy(*by)
     with_n = mc.select(*by, "mask", "cnt", F.sum("cnt").over(w).alias("n"))
     exploded = with_n.select(*by, "n", "cnt", F.explode(subs).alias("sub"))
@@ -93,49 +106,50 @@ def _itemsets_from_masks(mc: DataFrame, names: Sequence[str], min_support: float
                        (F.col("freq") / F.col("n")).alias("support"))
 
 
+def _itemsets_by_group(df: DataFrame, cols: Sequence[str], names: Sequence[str], min_support: float,
+                       by: Sequence[str], null_as: bool) -> DataFrame:
+    """Frequent itemsets of wide flag rows within each group: the group rides along as an
+    item, mining goes down to the smallest group's threshold, and each group's own
+    threshold is tested exactly on what comes out."""
+    group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    tag = F.concat(F.lit("\x00"), group)
+    rows = to_baskets(df.withColumn("_group", tag), cols, names, "_group", null_as).select(
+        "_group", F.concat(F.array("_group"), "items").alias("items"))
+    sizes = written(df.groupBy(*by, tag.alias("_group")).agg(F.count(F.lit(1)).alias("n")), "groups")
+    least, total = sizes.agg(F.min("n"), F.sum("n")).first()
+    mined = frequent_itemsets(rows, min_support * (least or 0) / (total or 1))
+    tags = F.filter("items", lambda x: F.substring(x, 1, 1) == "\x00")
+    own = mined.where((F.size(tags) == 1) & (F.col("size") > 1)).select(
+        F.element_at(tags, 1).alias("_group"), F.filter("items", lambda x: F.substring(x, 1, 1) != "\x00").alias("items"), "freq")
+    kept = own.join(sizes, "_group").where(
+        _dec(F.col("freq")) * _SCALE >= _dec(F.col("n")) * _ppm(min_support))
+    return kept.select(*by, "items", F.size("items").cast("int").alias("size"), "freq",
+                       F.col("n").cast("bigint").alias("n"), (F.col("freq") / F.col("n")).alias("support"))
+
+
 def frequent_itemsets(baskets: DataFrame, min_support: float = MIN_SUPPORT,
-                      items_col: str = "items", num_partitions: int | None = None,
-                      catalog: Sequence[str] | None = None) -> DataFrame:
-    """B2 for array baskets: the bitmask path when the caller knows a small item
-    ``catalog``, FP-growth otherwise (measured faster than discovering the catalog with
-    an extra pass over the baskets)."""
-    if catalog is not None and len(catalog) <= 20:
-        return frequent_itemsets_masked(baskets, sorted(catalog), min_support, items_col)
-    return frequent_itemsets_fpgrowth(baskets, min_support, items_col, num_partitions)
-
-
-def frequent_itemsets_masked(baskets: DataFrame, catalog: Sequence[str],
-                             min_support: float = MIN_SUPPORT, items_col: str = "items") -> DataFrame:
-    """Bitmask path for array baskets over a known small ``catalog``; items outside the
-    catalog are rejected (the caller checked the catalog)."""
-    cat = F.array(*[F.lit(c) for c in catalog])
-    items = F.array_distinct(F.coalesce(F.col(items_col), F.array().cast("array<string>")))
-    mask = F.aggregate(items, F.lit(0).cast("bigint"),
-                       lambda acc, x: acc + F.pow(F.lit(2), F.array_position(cat, x) - 1).cast("bigint"))
-    mc = baskets.select(mask.alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("cnt"))
-    # the itemset table is small (≤ 2^m rows) and read three times by rule assembly:
-    # materialise it once, like a fitted model, instead of re-deriving the baskets
-    return _itemsets_from_masks(mc, list(catalog), min_support).checkpoint(eager=True)
-
-
-def frequent_itemsets_fpgrowth(baskets: DataFrame, min_support: float = MIN_SUPPORT,
-                               items_col: str = "items", num_partitions: int | None = None) -> DataFrame:
-    """B2 (general path): FP-growth over array baskets → (items, size, freq, n, support).
-
-    Empty baskets count in ``n``. FPGrowth runs a hair below the threshold and the
-    exact integer test is applied afterwards.
+                      items_col: str = "items", num_partitions: int | None = None) -> DataFrame:
+    """B2 for array baskets: FP-growth → (items, size, freq, n, support).
+
+    Empty baskets count in ``n``; null items and repeats inside a basket do not count.
+    FPGrowth runs a hair below the threshold and the exact integer test is applied
+    afterwards. The baskets are held while they are counted and mined, and the itemsets
+    are written once: rule assembly reads them three times.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    data = baskets.select(F.array_distinct(F.coalesce(F.col(items_col),
-                                                      F.array().cast("array<string>"))).alias("items"))
-    n = baskets.agg(F.count(F.lit(1)).alias("n")).scalar()
-    fp = FPGrowth(itemsCol="items", minSupport=max(min_support - 1e-9, 0.0), minConfidence=0.0)
-    if num_partitions:
-        fp = fp.setNumPartitions(num_partitions)
-    model = fp.fit(data)
-    fi = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").cast("bigint"))
-    fi = fi.withColumn("n", n.cast("bigint"))
+    items = F.array_compact(F.array_distinct(F.coalesce(F.col(items_col), F.array().cast("array<string>"))))
+    data = baskets.select(items.alias("items")).persist()
+    try:
+        n = data.count()
+        fp = FPGrowth(itemsCol="items", minSupport=max(min_support - 1e-9, 0.0), minConfidence=0.0)
+        if num_partitions:
+            fp = fp.setNumPartitions(num_partitions)
+        mined = written(fp.fit(data).freqItemsets.select(
+            F.array_sort("items").alias("items"), F.col("freq").cast("bigint")), "itemsets")
+    finally:
+        data.unpersist()
+    fi = mined.withColumn("n", F.lit(n).cast("bigint"))
     return fi.where(_dec(F.col("freq")) * _SCALE >= _dec(F.col("n")) * _ppm(min_support)).select(
         "items", F.size("items").cast("int").alias("size"), "freq", "n",
         (F.col("freq") / F.col("n")).alias("support"))
@@ -151,11 +165,13 @@ def association_rules(itemsets: DataFrame, min_lift: float = MIN_LIFT,
     """
     by = list(by)
     big = itemsets.where(F.col("size") >= 2)
-    splits = F.sequence(F.lit(1), F.pow(F.lit(2), F.col("size")).cast("int") - 2)
+    one = F.lit(1).cast("bigint")
+    bit = lambda i: F.call_function("shiftleft", one, i)
+    splits = F.sequence(one, bit(F.col("size")) - 2)
     sp = big.select(*by, "items", "freq", "n", F.explode(splits).alias("split"))
     idx = F.sequence(F.lit(0), F.size("items") - 1)
     pick = lambda inside: F.transform(
-        F.filter(idx, lambda i: (F.pow(F.lit(2), i).cast("int").bitwiseAND(F.col("split")) != 0) == inside),
+        F.filter(idx, lambda i: (bit(i).bitwiseAND(F.col("split")) != 0) == inside),
         lambda i: F.element_at(F.col("items"), i + 1))
     sp = sp.select(*by, pick(True).alias("antecedents"), pick(False).alias("consequents"),
                    F.col("freq").alias("f_ac"), "n")

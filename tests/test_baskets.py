@@ -59,10 +59,35 @@ def test_bitmask_path_equals_fpgrowth_path(spark, survey_small):
     cols, names = list(SPEC.module_cols), list(SPEC.module_names)
     a = B.frequent_itemsets_flags(survey_small, cols, names, 0.1)
     baskets = B.to_baskets(survey_small, cols, names)
-    b = B.frequent_itemsets_fpgrowth(baskets, 0.1)
-    c = B.frequent_itemsets(baskets, 0.1, catalog=names)   # bitmask path on arrays
+    b = B.frequent_itemsets(baskets, 0.1)
     key = lambda df: sorted((tuple(r["items"]), r["freq"], r["n"]) for r in df.collect())
-    assert key(a) == key(b) == key(c)
+    assert key(a) == key(b)
+
+
+def test_wide_flags_by_group_equal_bitmasks(spark, survey_small, monkeypatch):
+    cols, names = list(SPEC.module_cols), list(SPEC.module_names)
+    key = lambda df, by: sorted((*[str(r[c]) for c in by], tuple(r["items"]), r["size"], r["freq"], r["n"]) for r in df.collect())
+    for by in ((), ("Segment",)):
+        a = key(B.frequent_itemsets_flags(survey_small, cols, names, 0.08, by), by)
+        monkeypatch.setattr(B, "MASK_COLUMNS", 2)
+        b = key(B.frequent_itemsets_flags(survey_small, cols, names, 0.08, by), by)
+        monkeypatch.undo()
+        assert a == b
+    wide = survey_small.selectExpr("respondent_id", *[f"cast(pmod(respondent_id, {i + 2}) = 0 as int) as f{i}" for i in range(24)])
+    got = B.frequent_itemsets_flags(wide, [f"f{i}" for i in range(24)], [f"F{i:02d}" for i in range(24)], 0.2)
+    assert {tuple(r["items"]) for r in got.collect()} >= {("F00",), ("F01",), ("F02",), ("F00", "F02")}
+
+
+def test_items_are_kept_and_null_items_ignored(spark):
+    df = spark.createDataFrame([(["a", "b"],), (["a", "zzz", None],), (["zzz", "zzz"],), (None,), ([],)], "items array<string>")
+    got = {tuple(r["items"]): (r["freq"], r["n"]) for r in B.frequent_itemsets(df, 0.2).collect()}
+    assert got == {("a",): (2, 5), ("b",): (1, 5), ("zzz",): (2, 5), ("a", "b"): (1, 5), ("a", "zzz"): (1, 5)}
+
+
+def test_rules_of_a_long_itemset(spark):
+    items = [f"i{k:02d}" for k in range(12)]
+    rules = B.association_rules(B.frequent_itemsets(spark.createDataFrame([(items,)] * 3 + [(["x"],)], "items array<string>"), 0.5), 1.0)
+    assert rules.where("size(antecedents) + size(consequents) = 12").count() == 2 ** 12 - 2
 
 
 def test_support_boundary_inclusive_and_empty_baskets_count(spark):
