@@ -54,7 +54,7 @@ def _count_passed_sql(x: str, strict: bool, lo: float, hi: float, n: int) -> str
     c0 = f"CAST(least(greatest({guess}, 0), {n}) AS INT)"
     grid = lambda i: f"({lo_s} + CAST({i} AS DOUBLE) * {step})"
     below = (lambda g: f"{g} < {x}") if strict else (lambda g: f"{g} <= {x}")
-    return (f"CASE WHEN {x} IS NULL THEN CAST(NULL AS INT) "
+    return (f"CASE WHEN {x} IS NULL OR isnan({x}) THEN CAST(NULL AS INT) "
             f"WHEN {c0} < {n} AND {below(grid(c0))} THEN {c0} + 1 "
             f"WHEN {c0} > 0 AND NOT ({below(grid(f'{c0} - 1'))}) THEN {c0} - 1 "
             f"ELSE {c0} END")

@@ -17,6 +17,22 @@ def test_csv_round_trip_types_by_name_and_keeps_extra_columns(spark, survey_smal
     assert bad[("Q5_Rattle_Severity_Scale", "range_1_5")] == 0
 
 
+def test_csv_with_gaps_and_bad_cells(spark, tmp_path):
+    from surveykit.sources.survey import rejected_cells
+    p = tmp_path / "survey.csv"
+    p.write_text("Segment,Q5_Rattle_Severity_Scale,Q9_Price_Bargain,Q6_Module_Tray\n"
+                 "Elite_Enthusiast,3.0,NaN,1.0\nNA,NA,12.5,0.0\n,x,oops,1\nTech_Purist,2.5,,N/A\nTech_Purist,2.5,,N/A\n")
+    df = read_survey(spark, str(p), "csv")
+    rows = [(r["Segment"] or "", r["Q5_Rattle_Severity_Scale"], r["Q9_Price_Bargain"], r["Q6_Module_Tray"]) for r in df.collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, [("", None, 12.5, 0), ("", None, None, 1), ("Elite_Enthusiast", 3, None, 1),
+                                                      ("Tech_Purist", None, None, None), ("Tech_Purist", None, None, None)]))
+    ids = {r["respondent_id"] for r in df.collect()}
+    assert len(ids) == 5 and ids == {r["respondent_id"] for r in read_survey(spark, str(p), "csv").repartition(3).collect()}
+    bad = {r["column_name"]: r["n_rejected"] for r in rejected_cells(spark, str(p)).collect()}
+    assert bad == {"Segment": 0, "Q5_Rattle_Severity_Scale": 3, "Q9_Price_Bargain": 1, "Q6_Module_Tray": 0}
+    assert A.validate_survey(df).count() > 0
+
+
 def test_validate_reports_missing_and_bad_values(spark):
     cols = ["respondent_id", "Segment", "Q5_Rattle_Severity_Scale", "Q9_Price_Bargain"]
     df = survey_rows(spark, [[1, "Elite_Enthusiast", 7, -3.0], [2, "Other", 3, 10.0]], cols)
