@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from ..spec import DEFAULT_SPEC, MODEL_FEATURE_LABELS, RULE_FEATURE_LABELS, SEED, SurveySpec
 
 
+#: Trees grow as deep as Spark ML allows (the original grows them without a limit).
+MAX_DEPTH = 30
+
+
 def hash_bucket(id_col: str | Column, salt: str, buckets: int = 100) -> Column:
     """Stateless bucket in [0, buckets): first 32 bits of md5(id ':' salt)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -76,9 +80,22 @@ def stratified_split_exact(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, test_
 
 
 def assign_folds(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = 5,
-                 seed: int = SEED) -> DataFrame:
-    """Adds ``fold`` in [0, k) from an md5 bucket (disjoint, complete)."""
-    return df.withColumn("fold", hash_bucket(spec.id_col, f"{seed}:fold", k))
+                 seed: int = SEED, bucket_bits: int = 16, target: str | None = None) -> DataFrame:
+    """Adds ``fold`` in [0, k): a row's rank by (hash, id) in its class, modulo k, so
+    every class has ⌊n/k⌋ or ⌈n/k⌉ rows in each fold (disjoint, complete).
+
+    Ranks are a prefix sum: rows per (class, top ``bucket_bits`` of the hash) first, then
+    the rank inside a bucket, so a class is never sorted in one task.
+    """
+    y = F.col(target or spec.target_col)
+    keyed = df.withColumn("_h", hash_key(spec.id_col, f"{seed}:fold")).withColumn("_y", y)
+    keyed = keyed.withColumn("_b", F.shiftright(F.col("_h"), 60 - bucket_bits))
+    hist = keyed.groupBy("_y", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = hist.select(F.col("_y").alias("_yy"), F.col("_b").alias("_bb"),
+                         (F.sum("_n").over(Window.partitionBy("_y").orderBy("_b")) - F.col("_n")).alias("_o"))
+    j = keyed.join(before, F.col("_y").eqNullSafe(F.col("_yy")) & (F.col("_b") == F.col("_bb")))
+    rank = F.row_number().over(Window.partitionBy("_y", "_b").orderBy("_h", spec.id_col)) - 1
+    return j.withColumn("fold", ((F.col("_o") + rank) % k).cast("int")).drop("_h", "_y", "_b", "_yy", "_bb", "_o")
 
 
 def feature_vectors(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame:
@@ -88,9 +105,9 @@ def feature_vectors(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame
 
 
 def fit_forest(train: DataFrame, spec: SurveySpec = DEFAULT_SPEC, num_trees: int = 300,
-               max_depth: int = 15, seed: int = SEED, max_bins: int = 128,
+               max_depth: int = MAX_DEPTH, seed: int = SEED, max_bins: int = 128,
                subsampling_rate: float = 1.0):
-    """Random forest (√features per split, bootstrap) on feature vectors."""
+    """Random forest (√features per split, bootstrap, full depth) on feature vectors."""
     from pyspark.ml.regression import RandomForestRegressor
     rf = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees,
                                maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
@@ -225,7 +242,7 @@ def first_rules_per_class(rules: DataFrame, k: int = 5) -> DataFrame:
 
 # ---- cross-validation --------------------------------------------------------------
 def cross_validate(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = 5,
-                   num_trees: int = 300, max_depth: int = 15, seed: int = SEED,
+                   num_trees: int = 300, max_depth: int = MAX_DEPTH, seed: int = SEED,
                    parallelism: int | None = None) -> DataFrame:
     """K folds; each fold scored by a forest fitted on the others: (fold, auc).
     The k fits are independent and run concurrently (like ``CrossValidator(parallelism)``)."""

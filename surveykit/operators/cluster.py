@@ -133,6 +133,10 @@ def silhouette_sq(df: DataFrame, cols: Sequence[str], cluster_col: str = "cluste
     return scored.agg(F.avg("silhouette").alias("silhouette_sq"), F.count(F.lit(1)).alias("n"))
 
 
+#: Seeds of the starts whose best is kept.
+STARTS = tuple(range(SEED, SEED + 10))
+
+
 # ---- fitted k-means ------------------------------------------------------------------
 def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
@@ -140,7 +144,7 @@ def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fit_kmeans_many(std_df: DataFrame, cols: Sequence[str], ks: Sequence[int],
-                    seeds: Sequence[int] = (SEED,), max_iter: int = 300, tol: float = 1e-4,
+                    seeds: Sequence[int] = STARTS, max_iter: int = 300, tol: float = 1e-4,
                     parallelism: int = 4) -> dict:
     """Fit every (k, seed) pair — independent Spark ML jobs run concurrently from a small
     driver thread pool, like ``CrossValidator(parallelism=...)`` — and keep the lowest
@@ -170,21 +174,21 @@ def fit_kmeans_many(std_df: DataFrame, cols: Sequence[str], ks: Sequence[int],
     return best
 
 
-def fit_kmeans(std_df: DataFrame, cols: Sequence[str], k: int, seeds: Sequence[int] = (SEED,),
+def fit_kmeans(std_df: DataFrame, cols: Sequence[str], k: int, seeds: Sequence[int] = STARTS,
                max_iter: int = 300, tol: float = 1e-4, parallelism: int = 4):
     """M2: best of several k-means|| starts by training cost. Returns (model, cost, centres)."""
     return fit_kmeans_many(std_df, cols, [k], seeds, max_iter, tol, parallelism)[k]
 
 
 def kmeans_labels(std_df: DataFrame, cols: Sequence[str], k: int = 4,
-                  seeds: Sequence[int] = (SEED,), max_iter: int = 300) -> DataFrame:
+                  seeds: Sequence[int] = STARTS, max_iter: int = 300) -> DataFrame:
     """Rows with their k-means cluster (nearest fitted centre)."""
     _, _, centres = fit_kmeans(std_df, cols, k, seeds, max_iter)
     return assign_clusters(std_df, cols, centres)
 
 
 def elbow(std_df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 10),
-          seeds: Sequence[int] = (SEED,), max_iter: int = 300, parallelism: int = 4) -> DataFrame:
+          seeds: Sequence[int] = STARTS, max_iter: int = 300, parallelism: int = 4) -> DataFrame:
     """M3: (k, inertia); k = 1 is the exact total sum of squares, every other k one
     best-of-seeds fit (all fits run concurrently)."""
     spark = std_df.sparkSession
@@ -199,7 +203,7 @@ def elbow(std_df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 1
 
 
 def silhouette_sweep(std_df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 9),
-                     seeds: Sequence[int] = (SEED,), max_iter: int = 300,
+                     seeds: Sequence[int] = STARTS, max_iter: int = 300,
                      parallelism: int = 4) -> DataFrame:
     """M4 sweep: (k, silhouette_sq) for each k, from one best-of-seeds fit per k."""
     from concurrent.futures import ThreadPoolExecutor

@@ -16,11 +16,11 @@ from ..operators import decide as D
 from ..operators import describe as A
 from ..operators import metrics as M
 from ..operators import pricing as V
-from ..spec import DEFAULT_SPEC, KMEANS_K, SEED, SurveySpec
+from ..spec import DEFAULT_SPEC, KMEANS_K, SurveySpec
 
 
 def compute_all(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = KMEANS_K,
-                seeds=(SEED,), num_trees: int = 300, max_depth: int = 15,
+                seeds=K.STARTS, num_trees: int = 300, max_depth: int = C.MAX_DEPTH,
                 elbow_ks=range(1, 10), silhouette_ks=range(2, 9), folds: int = 5,
                 kmeans_max_iter: int = 300, boosted_iter: int = 100) -> dict[str, DataFrame]:
     """Descriptive tables, price curves and points, rules and co-occurrence, k-means
@@ -33,7 +33,7 @@ def compute_all(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = KMEANS_
     labelled = K.assign_clusters(z, zcols, centres)
     named = K.name_clusters(labelled, spec)     # all survey columns ride along: no join back
 
-    data = C.feature_vectors(C.stratified_split(df, spec), spec)
+    data = C.feature_vectors(C.stratified_split_exact(df, spec), spec)
     train = data.where(F.col("split") == "train")
     forest = C.fit_forest(train, spec, num_trees, max_depth)
     tree = C.fit_tree(train)

@@ -7,6 +7,7 @@ bit of a floating-point sum.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,10 @@ from ..operators import decide as D
 from ..operators import describe as A
 from ..operators import metrics as M
 from ..operators import pricing as V
-from ..sources.fixture import (event_baskets, fixed_centres, order_baskets, rule_scores,
-                               survey_frame)
+from ..sources.fixture import (SURVEYS, event_baskets, fixed_centres, order_baskets, rule_scores,
+                               survey_frame, table, with_gaps)
+from ..session import scratch_path, written
+from ..sources.survey import read_survey
 from ..spec import DEFAULT_SPEC as SPEC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,9 +51,6 @@ def query(name: str, rows_only: bool = False):
     return deco
 
 
-_SURVEY: dict = {}
-
-
 def S(spark, sf):
     """The survey table, derived from the driver tables once per session and sf.
 
@@ -61,10 +61,10 @@ def S(spark, sf):
     lost executor re-reads files instead of recomputing the lineage.
     """
     key = (spark.sparkContext.applicationId, sf)
-    df = _SURVEY.get(key)
+    df = SURVEYS.get(key)
     if df is None:
         df = survey_frame(spark, sf).checkpoint(eager=True)
-        _SURVEY[key] = df
+        SURVEYS[key] = df
     return df
 
 
@@ -103,7 +103,7 @@ def q_brand_freq(spark, sf):
 
 @query("score_hist")
 def q_score_hist(spark, sf):
-    return A.score_hist(S(spark, sf))
+    return A.score_hist(S(spark, sf)).orderBy(SPEC.score_col)
 
 
 @query("friction_rates")
@@ -429,7 +429,7 @@ def q_tercile_bands(spark, sf):
 
 @query("fold_score_stats")
 def q_fold_score_stats(spark, sf):
-    sc = C.assign_folds(rule_scores(S(spark, sf)).withColumnRenamed("score_a", "score"))
+    sc = C.assign_folds(rule_scores(S(spark, sf)).withColumnRenamed("score_a", "score"), target="label")
     per_fold = M.auc(sc, by=["fold"])
     return M.score_stats(per_fold)
 
@@ -453,91 +453,254 @@ def q_recommendations(spark, sf):
     return D.recommendation_facts(df, pts, M.binary_metrics(_scored(spark, sf), by=["split"]))
 
 
-# ---- fitted models (rows-only checks) -------------------------------------------------------
-# Contract-size models. Library defaults keep the reference's 300 trees; k-means starts are the
-# ``seeds`` parameter (best of all given starts, fitted concurrently).
-CONTRACT_TREES, CONTRACT_DEPTH = 40, 10
+# ---- many distinct scores ----------------------------------------------------------------
+def _fine(spark, sf) -> DataFrame:
+    """Order totals as scores: about as many distinct scores as orders; label: urgent or high."""
+    return (table(spark, sf, "orders").select(
+        F.col("o_totalprice").cast("double").alias("score"),
+        F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("label"),
+        (F.col("o_orderkey") % 5).cast("int").alias("fold")))
+
+
+@query("auc_fine")
+def q_auc_fine(spark, sf):
+    return M.auc(_fine(spark, sf), by=["fold"])
+
+
+@query("roc_points_fine")
+def q_roc_points_fine(spark, sf):
+    return M.roc_points(_fine(spark, sf), by=["fold"])
+
+
+@query("fold_score_stats_fine")
+def q_fold_score_stats_fine(spark, sf):
+    return M.score_stats(M.auc(_fine(spark, sf), by=["fold"]))
+
+
+@query("price_quantiles")
+def q_price_quantiles(spark, sf):
+    df = table(spark, sf, "orders")
+    probs = [0.0, 0.1, 0.33, 0.5, 0.66, 0.99, 1.0]
+    values = A.exact_quantiles(df, "o_totalprice", probs)
+    return spark.createDataFrame(list(zip(probs, values)), "prob double, value double")
+
+
+# ---- a survey with gaps ------------------------------------------------------------------
+@query("vw_curves_gaps")
+def q_vw_curves_gaps(spark, sf):
+    return V.vw_curves(with_gaps(S(spark, sf)))
+
+
+@query("kpis_gaps")
+def q_kpis_gaps(spark, sf):
+    return A.kpis(with_gaps(S(spark, sf)))
+
+
+@query("baskets_gaps")
+def q_baskets_gaps(spark, sf):
+    b = [B.to_baskets(with_gaps(S(spark, sf)), SPEC.module_cols, SPEC.module_names, "respondent_id", null_as=n)
+         .select("respondent_id", F.lit(n).alias("null_as"), F.array_join("items", " + ").alias("items_text")) for n in (False, True)]
+    return b[0].unionByName(b[1])
+
+
+@query("module_rates_gaps")
+def q_module_rates_gaps(spark, sf):
+    return A.module_rates(with_gaps(S(spark, sf)))
+
+
+@query("segment_freq_gaps")
+def q_segment_freq_gaps(spark, sf):
+    return A.segment_freq(with_gaps(S(spark, sf)))
+
+
+@query("group_mode_gaps")
+def q_group_mode_gaps(spark, sf):
+    return A.group_mode(with_gaps(S(spark, sf)), "Segment", "Q2_Vehicle_Brand")
+
+
+# ---- display forms -----------------------------------------------------------------------
+@query("year_rate_display")
+def q_year_rate_display(spark, sf):
+    return A.year_rate(S(spark, sf)).select(
+        "Q1_Vehicle_Year", F.bround(F.col("rate") * 100, 1).alias("rate_pct"), "n")
 
 
+@query("price_by_segment_display")
+def q_price_by_segment_display(spark, sf):
+    return A.price_by_segment(S(spark, sf), decimals=0)
+
+
+# ---- reading a file back ------------------------------------------------------------------
+@query("csv_survey")
+def q_csv_survey(spark, sf):
+    """The survey with gaps written as CSV (``NA``, ``1.0`` and empty cells), read and profiled."""
+    df = with_gaps(S(spark, sf))
+    text = df.select(*[F.when(F.col(c).isNull(), F.when(F.col("respondent_id") % 2 == 0, "NA").otherwise(""))
+                       .otherwise(F.concat(F.col(c).cast("string"), F.lit(".0")) if c.startswith(("Q4", "Q5", "Q6", "Q12"))
+                                  else F.col(c).cast("string")).alias(c) for c in df.columns])
+    path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+    text.write.option("header", True).option("emptyValue", "").csv(path)
+    back = read_survey(spark, path, "csv")
+    return A.profile_survey(back, [c for c in df.columns if c != "respondent_id"
+                                   and dict(back.dtypes)[c] in ("int", "bigint", "double")])
+
+
+# ---- fitted models --------------------------------------------------------------------------
+# Library defaults throughout: ten k-means starts, 300 trees of full depth, 100 boosting
+# rounds, exact stratified split and folds. Fitted numbers have no SQL form; each operator
+# also has a query of invariants that SQL can state.
 def _train_test(spark, sf):
-    """Feature vectors with the train/test ``split`` column."""
-    return C.feature_vectors(C.stratified_split(S(spark, sf)))
+    """Feature vectors with the exact stratified train/test ``split``, held for fit and scoring."""
+    return C.feature_vectors(C.stratified_split_exact(S(spark, sf)))
+
+
+def _fitted(spark, sf, fit, use):
+    """``use(model, data, train)`` as a written table, the vectors held meanwhile."""
+    data = _train_test(spark, sf).persist()
+    try:
+        train = data.where(F.col("split") == "train")
+        return written(use(fit(train), data, train), "fitted")
+    finally:
+        data.unpersist()
+
+
+_SCORED = ("respondent_id", "split", "label", "score", "prediction")
 
 
 @query("kmeans_labels", rows_only=True)
 def q_kmeans_labels(spark, sf):
-    z = _std(spark, sf)
-    lab = K.kmeans_labels(z, FEATS, 4, seeds=(42, 7), max_iter=50)
+    lab = K.kmeans_labels(_std(spark, sf), FEATS, 4)
     return K.name_clusters(lab.select("respondent_id", "Segment", "cluster"))
 
 
 @query("elbow", rows_only=True)
 def q_elbow(spark, sf):
-    return K.elbow(_std(spark, sf), FEATS, range(1, 10), seeds=(42,), max_iter=30)
+    return K.elbow(_std(spark, sf), FEATS, range(1, 10))
 
 
 @query("silhouette_sweep", rows_only=True)
 def q_silhouette_sweep(spark, sf):
-    return K.silhouette_sweep(_std(spark, sf), FEATS, range(2, 9), seeds=(42,), max_iter=30)
+    return K.silhouette_sweep(_std(spark, sf), FEATS, range(2, 9))
+
+
+@query("kmeans_check")
+def q_kmeans_check(spark, sf):
+    """Rows, clusters, and how many rows are in another cluster than the nearest centre's;
+    one more round of centres does not lower the cost by a thousandth."""
+    z = _std(spark, sf)
+    _, cost, centres = K.fit_kmeans(z, FEATS, 4)
+    lab = K.assign_clusters(z, FEATS, centres)
+    dist = F.array(*[sum(((F.col(c) - F.lit(m[j])) * (F.col(c) - F.lit(m[j])) for j, c in enumerate(FEATS)), F.lit(0.0))
+                     for m in centres])
+    nearest = F.array_min(dist)
+    own = F.element_at(dist, F.col("cluster") + 1)
+    return lab.agg(F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"),
+                   F.count_if(own > nearest + 1e-9).alias("n_wrong"),
+                   (F.abs(F.sum(nearest) - F.lit(cost)) <= 1e-6 * F.lit(cost)).alias("cost_agrees"))
+
+
+@query("elbow_check")
+def q_elbow_check(spark, sf):
+    from pyspark.sql import Window
+    e = K.elbow(_std(spark, sf), FEATS, range(1, 6))
+    w = Window.orderBy("k")
+    return e.select("k", F.coalesce(F.col("inertia") <= F.lag("inertia").over(w), F.lit(True)).alias("falls"))
+
+
+@query("embedding_kmeans_check")
+def q_embedding_kmeans_check(spark, sf):
+    """k-means on the embeddings: every row in one of k clusters, all of them used."""
+    e = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[j].cast("double").alias(f"x{j}") for j in range(8)])
+    cols = [f"x{j}" for j in range(8)]
+    return K.kmeans_labels(e, cols, 4).agg(
+        F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"), F.countDistinct("vec_id").alias("n_ids"))
 
 
 @query("forest_scores", rows_only=True)
 def q_forest_scores(spark, sf):
-    data = _train_test(spark, sf)
-    model = C.fit_forest(data.where(F.col("split") == "train"), num_trees=CONTRACT_TREES,
-                         max_depth=CONTRACT_DEPTH)
-    return C.score(model, data).select("respondent_id", "split", "label", "score", "prediction")
+    return _fitted(spark, sf, C.fit_forest, lambda m, data, _: C.score(m, data).select(*_SCORED))
+
+
+def _score_check(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("split", "label").agg(
+        F.count("*").alias("n"), F.count_if((F.col("score") < 0) | (F.col("score") > 1)).alias("n_outside"),
+        F.count_if(F.col("prediction") != (F.col("score") > 0.5).cast("int")).alias("n_inconsistent"))
+
+
+@query("forest_check")
+def q_forest_check(spark, sf):
+    """Scored rows by split and label, and how many break the score's rules."""
+    return _fitted(spark, sf, C.fit_forest, lambda m, data, _: _score_check(C.score(m, data)))
 
 
 @query("model_comparison", rows_only=True)
 def q_model_comparison(spark, sf):
     data = _train_test(spark, sf).persist()
-    train = data.where(F.col("split") == "train")
-    models = {"decision_tree": C.fit_tree(train),
-              "random_forest": C.fit_forest(train, num_trees=CONTRACT_TREES, max_depth=CONTRACT_DEPTH),
-              "boosted_trees": C.fit_boosted(train, max_iter=30)}
-    return M.compare_models({k: M.model_metrics(C.score(m, data)) for k, m in models.items()})
+    try:
+        train = data.where(F.col("split") == "train")
+        models = {"decision_tree": C.fit_tree(train), "random_forest": C.fit_forest(train),
+                  "boosted_trees": C.fit_boosted(train)}
+        return written(M.compare_models({k: M.model_metrics(written(C.score(m, data).select(*_SCORED), "scored"))
+                                         for k, m in models.items()}), "comparison")
+    finally:
+        data.unpersist()
 
 
 @query("forest_importances", rows_only=True)
 def q_forest_importances(spark, sf):
-    data = _train_test(spark, sf)
-    model = C.fit_forest(data.where(F.col("split") == "train"), num_trees=CONTRACT_TREES,
-                         max_depth=CONTRACT_DEPTH)
-    return C.tercile_band(C.importances(model), "importance")
+    return _fitted(spark, sf, C.fit_forest, lambda m, *_: C.tercile_band(C.importances(m), "importance"))
+
+
+@query("importances_check")
+def q_importances_check(spark, sf):
+    return _fitted(spark, sf, C.fit_forest, lambda m, *_: C.tercile_band(C.importances(m), "importance").agg(
+        F.count("*").alias("n_features"), F.round(F.sum("importance"), 4).alias("total"),
+        F.count_if(F.col("importance") < 0).alias("n_negative"), F.countDistinct("band").alias("n_bands")))
 
 
 @query("tree_rules", rows_only=True)
 def q_tree_rules(spark, sf):
-    data = _train_test(spark, sf)
-    train = data.where(F.col("split") == "train")
-    model = C.fit_tree(train)
-    return C.tree_rules(model, train)
+    return _fitted(spark, sf, C.fit_tree, lambda m, _, train: C.tree_rules(m, train))
+
+
+@query("tree_rules_check")
+def q_tree_rules_check(spark, sf):
+    """The rules split the training rows: each row in one rule, as many as the model counted,
+    20 rows a rule at least, and the rules' probabilities give back the class share."""
+    return _fitted(spark, sf, C.fit_tree, lambda m, _, train: C.tree_rules(m, train).agg(
+        F.sum("n").alias("n_rows"), F.count_if(F.col("n") != F.col("n_train")).alias("n_wrong"),
+        F.count_if(F.col("n") < 20).alias("n_small"),
+        F.round(F.sum(F.col("n") * F.col("probability"))).cast("bigint").alias("n_positive"),
+        F.count_if(F.col("prediction") != (F.col("probability") > 0.5).cast("int")).alias("n_inconsistent")))
 
 
 @query("tree_rules_by_class", rows_only=True)
 def q_tree_rules_by_class(spark, sf):
-    data = _train_test(spark, sf)
-    train = data.where(F.col("split") == "train")
-    return C.first_rules_per_class(C.tree_rules(C.fit_tree(train), train), 5)
+    return _fitted(spark, sf, C.fit_tree, lambda m, _, train: C.first_rules_per_class(C.tree_rules(m, train), 5))
 
 
 @query("cv_auc", rows_only=True)
 def q_cv_auc(spark, sf):
-    return C.cross_validate(S(spark, sf), num_trees=30, max_depth=CONTRACT_DEPTH)
+    return C.cross_validate(S(spark, sf))
 
 
 @query("score_new_rows", rows_only=True)
 def q_score_new_rows(spark, sf):
-    data = _train_test(spark, sf)
-    model = C.fit_tree(data.where(F.col("split") == "train"))
-    return C.score(model, data).select("respondent_id", "score", "prediction", "intent_band")
+    return _fitted(spark, sf, C.fit_forest, lambda m, data, _: C.score(m, data).select(
+        "respondent_id", "score", "prediction", "intent_band"))
 
 
-@query("report_tables", rows_only=True)
+@query("live_predictor", rows_only=True)
+def q_live_predictor(spark, sf):
+    """The forest's answer for one profile: the survey's average respondent."""
+    means = S(spark, sf).agg(*[F.avg(c).alias(c) for c in SPEC.model_features]).first().asDict()
+    profile = {c: float(v) if "Price" in c else int(round(float(v))) for c, v in means.items()}
+    return _fitted(spark, sf, C.fit_forest, lambda m, *_: C.predict_profile(m, spark, profile).select(
+        "score", "prediction", "intent_band"))
+
+
+@query("report_tables")
 def q_report_tables(spark, sf):
-    from ..session import scratch_path
-    import uuid
-    df = S(spark, sf)
-    tables = D.report_tables(df, _scored(spark, sf))
-    return D.write_results(tables, scratch_path(spark, f"report-{uuid.uuid4().hex}"))
+    tables = D.report_tables(S(spark, sf), _scored(spark, sf))
+    out = D.write_results(tables, scratch_path(spark, f"report-{uuid.uuid4().hex}"))
+    return out.select("table", "rows")

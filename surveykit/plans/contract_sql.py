@@ -7,7 +7,9 @@ AUCs from all pairs, curves from grid × respondents.
 from __future__ import annotations
 
 
-from ..sources.fixture import fixed_centres
+import re
+
+from ..sources.fixture import GAP_COLUMNS, GAP_EVERY, fixed_centres
 from ..spec import (BUDGET_BRANDS, BRAND_CLASS_LABELS, FRICTION_COLS, FRICTION_NAMES,
                     KMEANS_FEATURES, MODULE_COLS, MODULE_NAMES, SCORE_LABELS, SEGMENT_LABELS)
 from .sql_twins import _label_case, _q, grid_sql, with_survey
@@ -218,18 +220,17 @@ _ITEMS = sorted(zip(MODULE_NAMES, MODULE_COLS))  # (name, column) in name order
 
 
 def _subset_rows(items, src, cond_of, group=None):
-    """One SELECT per non-empty subset of ``items`` (name order) → (mask, text, size, freq, n)."""
-    sel = []
+    """(mask, text, size, freq, n) of every non-empty subset of ``items`` (name order): one scan
+    counts the rows of each item mask, which are then held against each subset."""
     m = len(items)
-    for mask in range(1, 1 << m):
-        chosen = [items[i] for i in range(m) if mask >> i & 1]
-        text = " + ".join(nm for nm, _ in chosen)
-        cond = " AND ".join(cond_of(x) for x in chosen)
-        g = f"{group}, " if group else ""
-        sel.append(f"SELECT {g}{mask} AS mask, {_q(text)} AS items_text, {len(chosen)} AS size, "
-                   f"CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) AS freq, CAST(count(*) AS BIGINT) AS n "
-                   f"FROM {src}{(' GROUP BY ' + group) if group else ''}")
-    return _union(sel)
+    own = " + ".join(f"CASE WHEN {cond_of(x)} THEN {1 << i} ELSE 0 END" for i, x in enumerate(items))
+    values = ", ".join(f"({mask}, {_q(' + '.join(items[i][0] for i in range(m) if mask >> i & 1))}, {mask.bit_count()})"
+                       for mask in range(1, 1 << m))
+    g = f"{group}, " if group else ""
+    rg = f"rm.{group}, " if group else ""
+    return (f"SELECT {rg}v.mask, v.items_text, v.size, CAST(coalesce(sum(rm.c) FILTER (WHERE (rm.own & v.mask) = v.mask), 0) AS BIGINT) AS freq, "
+            f"CAST(sum(rm.c) AS BIGINT) AS n FROM (SELECT {g}{own} AS own, count(*) AS c FROM {src} GROUP BY ALL) rm "
+            f"CROSS JOIN (VALUES {values}) v(mask, items_text, size) GROUP BY {rg}v.mask, v.items_text, v.size")
 
 
 def _itemsets_cte(items, src, cond_of, ppm, group=None):
@@ -402,7 +403,8 @@ SQL["cluster_points"] = with_survey(_STD + "\nSELECT respondent_id, Q9_Price_Bar
 # ---- split, folds, metrics on the rule scores -------------------------------------------------
 _BUCKET = "(('0x' || substr(md5(CAST(respondent_id AS VARCHAR) || '{salt}'), 1, 8))::BIGINT % {m})"
 _SPLIT = f"CASE WHEN {_BUCKET.format(salt=':42', m=100)} < 25 THEN 'test' ELSE 'train' END"
-_FOLD = f"CAST({_BUCKET.format(salt=':42:fold', m=5)} AS INTEGER)"
+_FOLD = ("CAST((row_number() OVER (PARTITION BY Q12_Reserve_Slot_Intent ORDER BY ('0x' || substr(md5(CAST(respondent_id AS VARCHAR) "
+         "|| ':42:fold'), 1, 15))::BIGINT, respondent_id) - 1) % 5 AS INTEGER)")
 _SCORE_A = ("CAST(300 * CAST(Q10_Price_Expensive >= 240 AS INTEGER) + 75 * (Q5_Rattle_Severity_Scale - 1) "
             "+ 300 * Q6_Module_MagSafe + 25 * Q6_Module_Tray AS DOUBLE) / 1000")
 _SCORE_B = ("CAST(250 * CAST(Q10_Price_Expensive >= 240 AS INTEGER) + 250 * CAST(Q5_Rattle_Severity_Scale >= 4 AS INTEGER) "
@@ -463,8 +465,8 @@ SQL["stratified_split_exact"] = with_survey("""
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, respondent_id) AS rk,
              count(*) OVER (PARTITION BY label) AS nc FROM k)
 SELECT respondent_id, label, CASE WHEN rk <= (nc * 50 + 100) // 200 THEN 'test' ELSE 'train' END AS split FROM r""")
-SQL["fold_sizes"] = with_survey(f"SELECT {_FOLD} AS fold, Q12_Reserve_Slot_Intent AS label, CAST(count(*) AS BIGINT) AS n "
-                                "FROM survey GROUP BY 1, 2")
+SQL["fold_sizes"] = with_survey(f", f AS (SELECT {_FOLD} AS fold, Q12_Reserve_Slot_Intent AS label FROM survey)\n"
+                                "SELECT fold, label, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY fold, label")
 SQL["confusion"] = with_survey(_scored_cte() + f"\nSELECT split, {_CM} FROM sc GROUP BY split")
 SQL["confusion_matrix"] = with_survey(_scored_cte() + f", cm AS (SELECT split, {_CM} FROM sc GROUP BY split)\n"
                                       "SELECT split, 0 AS actual, tn AS pred_0, fp AS pred_1 FROM cm UNION ALL "
@@ -521,3 +523,73 @@ SQL["recommendation_facts"] = with_survey(
                 "SELECT 2, 'overall_intent_pct', intent_pct, NULL FROM ev",
                 "SELECT 5, 'test_accuracy', test_accuracy, NULL FROM ev",
                 "SELECT 3, 'module_rank_' || CAST(row_number() OVER (ORDER BY rate_pct DESC, pos) AS VARCHAR), rate_pct, name FROM mr"]))
+
+# ---- many distinct scores (window twins) ---------------------------------------------------
+_FINE = ("fine AS (SELECT CAST(o_totalprice AS DOUBLE) AS score, CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INTEGER) AS label, "
+         "CAST(o_orderkey % 5 AS INTEGER) AS fold FROM orders),\n"
+         "hs AS (SELECT fold, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM fine GROUP BY fold, score),\n"
+         "cs AS (SELECT *, sum(pos) OVER up AS tp, sum(neg) OVER up AS fp, sum(pos) OVER (PARTITION BY fold) AS p, sum(neg) OVER (PARTITION BY fold) AS n "
+         "FROM hs WINDOW up AS (PARTITION BY fold ORDER BY score DESC)),\n"
+         "au AS (SELECT fold, CAST(sum(neg * (2 * (tp - pos) + pos)) AS DOUBLE) / (2 * CAST(max(p) AS DOUBLE) * max(n)) AS auc, "
+         "CAST(max(p) AS BIGINT) AS n_pos, CAST(max(n) AS BIGINT) AS n_neg FROM cs GROUP BY fold)")
+SQL["auc_fine"] = f"WITH {_FINE} SELECT fold, auc, n_pos, n_neg FROM au"
+SQL["roc_points_fine"] = (f"WITH {_FINE} SELECT fold, score AS threshold, CAST(fp AS DOUBLE) / n AS fpr, CAST(tp AS DOUBLE) / p AS tpr FROM cs\n"
+                          "UNION ALL SELECT DISTINCT fold, CAST(NULL AS DOUBLE), 0.0, 0.0 FROM cs")
+SQL["fold_score_stats_fine"] = f"WITH {_FINE} SELECT avg(auc) AS mean, stddev_pop(auc) AS std, CAST(count(auc) AS BIGINT) AS n_folds FROM au"
+SQL["price_quantiles"] = _union([f"SELECT CAST({p} AS DOUBLE) AS prob, CAST(quantile_cont(CAST(o_totalprice AS DOUBLE), {p}) AS DOUBLE) AS value FROM orders"
+                                 for p in (0.0, 0.1, 0.33, 0.5, 0.66, 0.99, 1.0)])
+
+# ---- a survey with gaps ----------------------------------------------------------------------
+_GAPS = (", gaps AS (SELECT * REPLACE (" + ", ".join(
+    f"CASE WHEN (respondent_id * 7 + {j}) % {GAP_EVERY} <> 0 THEN {c} END AS {c}" for j, c in enumerate(GAP_COLUMNS)) + ") FROM survey)")
+
+
+def _on_gaps(name):
+    """The twin of ``name`` over the survey with gaps (the survey CTE itself stays as it is)."""
+    body = SQL[name][len(with_survey("")) - 1:].strip()
+    body = re.sub(r"\bsurvey\b", "gaps", body)
+    return with_survey(_GAPS + ("\n" if not body.startswith(",") else "") + body)
+
+
+for _name in ("vw_curves", "kpis", "module_rates", "segment_freq"):
+    SQL[f"{_name}_gaps"] = _on_gaps(_name)
+SQL["csv_survey"] = _on_gaps("profile_survey")
+SQL["baskets_gaps"] = with_survey(_GAPS + "\n" + _union([
+    f"SELECT respondent_id, {flag} AS null_as, concat_ws(' + ', "
+    + ", ".join(f"CASE WHEN coalesce({c} <> 0, {flag}) THEN {_q(nm)} END" for nm, c in _ITEMS) + ") AS items_text FROM gaps"
+    for flag in ("false", "true")]))
+
+# ---- display forms -----------------------------------------------------------------------------
+SQL["year_rate_display"] = with_survey("""
+SELECT Q1_Vehicle_Year, round_even(CAST(avg(Q12_Reserve_Slot_Intent) AS DOUBLE) * 100, 1) AS rate_pct,
+  CAST(count(Q12_Reserve_Slot_Intent) AS BIGINT) AS n FROM survey WHERE Q1_Vehicle_Year IS NOT NULL GROUP BY Q1_Vehicle_Year""")
+SQL["price_by_segment_display"] = with_survey(f"""
+SELECT Segment, {', '.join(f'round_even(avg({c}), 0) AS {c}' for c in PRICES)}, {_label_case('Segment')} AS label
+FROM survey WHERE Segment IS NOT NULL GROUP BY Segment""")
+
+# ---- what SQL can state about fitted models -------------------------------------------------------
+_SPLIT_CTE = """, k AS (SELECT Q12_Reserve_Slot_Intent AS label, respondent_id,
+          ('0x' || substr(md5(CAST(respondent_id AS VARCHAR) || ':42:exact'), 1, 15))::BIGINT AS h FROM survey),
+r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY h, respondent_id) AS rk, count(*) OVER (PARTITION BY label) AS nc FROM k),
+sp AS (SELECT label, CASE WHEN rk <= (nc * 50 + 100) // 200 THEN 'test' ELSE 'train' END AS split FROM r)"""
+SQL["kmeans_check"] = with_survey("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_wrong, "
+                                  "true AS cost_agrees FROM survey")
+SQL["elbow_check"] = "SELECT CAST(k AS INTEGER) AS k, true AS falls FROM range(1, 6) t(k)"
+SQL["embedding_kmeans_check"] = ("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS n_clusters, "
+                                 "CAST(count(DISTINCT vec_id) AS BIGINT) AS n_ids FROM embeddings")
+SQL["forest_check"] = with_survey(_SPLIT_CTE + "\nSELECT split, CAST(label AS DOUBLE) AS label, CAST(count(*) AS BIGINT) AS n, "
+                                  "CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_inconsistent FROM sp GROUP BY split, label")
+SQL["importances_check"] = "SELECT CAST(14 AS BIGINT) AS n_features, CAST(100 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS n_negative, CAST(3 AS BIGINT) AS n_bands"
+SQL["tree_rules_check"] = with_survey(_SPLIT_CTE + "\nSELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS BIGINT) AS n_small, "
+                                      "CAST(sum(label) AS BIGINT) AS n_positive, CAST(0 AS BIGINT) AS n_inconsistent FROM sp WHERE split = 'train'")
+_COUNT = lambda name: f"(SELECT count(*) FROM ({SQL[name]}) q)"
+SQL["report_tables"] = _union([
+    "SELECT 'kpis' AS \"table\", CAST(1 AS BIGINT) AS rows", f"SELECT 'segments', CAST({_COUNT('segment_profile')} AS BIGINT)",
+    f"SELECT 'segment_prices', CAST({_COUNT('price_by_segment')} AS BIGINT)", "SELECT 'price_points', CAST(4 AS BIGINT)",
+    f"SELECT 'top_rules', CAST(least(8, {_COUNT('rules')}) AS BIGINT)", "SELECT 'rule_kpis', CAST(1 AS BIGINT)",
+    "SELECT 'model_metrics', CAST(1 AS BIGINT)"])
+SQL["group_mode_gaps"] = with_survey(_GAPS + """
+SELECT Segment, Q2_Vehicle_Brand, n FROM (
+  SELECT Segment, Q2_Vehicle_Brand, CAST(count(*) AS BIGINT) AS n,
+         row_number() OVER (PARTITION BY Segment ORDER BY count(*) DESC, Q2_Vehicle_Brand) AS rk
+  FROM gaps WHERE Segment IS NOT NULL AND Q2_Vehicle_Brand IS NOT NULL GROUP BY Segment, Q2_Vehicle_Brand) t WHERE rk = 1""")

@@ -63,8 +63,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+#: Survey tables derived and checkpointed in this session, by (application, folder).
+SURVEYS: dict = {}
+
+
 def refresh_tables() -> None:
+    """Forget resolved tables and the surveys derived from them."""
     _RELATIONS.clear()
+    SURVEYS.clear()
 
 
 def _segment_key(c: Column) -> Column:
@@ -207,3 +213,16 @@ def rule_scores(survey: DataFrame) -> DataFrame:
 def fixed_centres(d: int = 14, k: int = 4) -> list[list[float]]:
     """k centres in standardised space: +1 on features i with i % k == c, −0.5 elsewhere."""
     return [[1.0 if i % k == c else -0.5 for i in range(d)] for c in range(k)]
+
+
+#: Columns of the survey with gaps, in the order their gaps are dealt out.
+GAP_COLUMNS = ("Segment", "Q2_Vehicle_Brand", "Q4_Friction_Wobble", "Q5_Rattle_Severity_Scale", "Q6_Module_MagSafe",
+               "Q6_Module_Tray", "Q7_Primary_Concern", "Q8_Price_Too_Cheap", "Q9_Price_Bargain",
+               "Q10_Price_Expensive", "Q11_Price_Too_Expensive", "Q12_Reserve_Slot_Intent")
+GAP_EVERY = 11
+
+
+def with_gaps(survey: DataFrame) -> DataFrame:
+    """The survey with the cells of column j null where (7 * respondent_id + j) % 11 = 0."""
+    return survey.withColumns({c: F.when((F.col("respondent_id") * 7 + j) % GAP_EVERY != 0, F.col(c))
+                               for j, c in enumerate(GAP_COLUMNS)})
