@@ -36,10 +36,10 @@ from .common import written
 
 #: Longest context in bytes (at most 7: a gram is one 64-bit number).
 DEPTH = 6
-#: Rows of an input file that make one block.
-BLOCK_ROWS = 4096
-#: Bytes of text coded at a time inside a task.
-CHUNK = 2_000_000
+#: Rows of an input file that make one block, at most.
+BLOCK_ROWS = 16_384
+#: Bytes of text coded at a time inside a task, for counting and for scoring.
+CHUNK, SCORE_CHUNK = 4_000_000, 2_000_000
 PACKED = "kind string, part int, block string, keys binary, counts binary"
 ANSWER = "block string, kind string, keys binary, vals binary"
 _U8 = np.uint64(8)
@@ -63,16 +63,15 @@ def gram_chunks(texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarr
     """
     data = b"".join(b"\n" * 7 + b" ".join(words) + b"\n" for words in texts)
     lengths = np.array([sum(map(len, words)) + max(len(words) - 1, 0) + 8 for words in texts], dtype=np.int64)
-    starts = np.cumsum(lengths) - lengths
     windows = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
-    drop = np.uint64((1 << (8 * (8 - DEPTH))) - (1 << 8))  # context bytes beyond the depth
+    inside = np.ones(len(data), dtype=bool)  # of windows, by their first byte: those that end inside their text
+    inside[(np.cumsum(lengths)[:, None] - np.arange(1, 8)).ravel()] = False
+    drop = np.uint64((1 << (8 * (8 - DEPTH))) - 1)  # context bytes beyond the depth, and the byte itself
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     for low in range(0, len(windows), CHUNK):
-        w = windows[low:low + CHUNK]
-        grams = ((w << _U8) & ~drop & ~np.uint64(255)) | (w >> np.uint64(56))
-        at = np.arange(low, low + len(w))
-        text = np.searchsorted(starts, at, side="right") - 1
-        inside = at - starts[text] + 7 < lengths[text]  # windows that end inside the text
-        yield grams[inside], text[inside]
+        part = inside[low:low + CHUNK][:len(windows) - low]
+        w = windows[low:low + CHUNK][part]
+        yield ((w << _U8) & ~drop) | (w >> np.uint64(56)), text[low:low + CHUNK][:len(part)][part]
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -86,6 +85,17 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def pack_logs(values: np.ndarray) -> bytes:
+    """Log-probabilities at 16 bits of mantissa, as deflated byte planes."""
+    bits = (values.astype("<f4").view("<u4") + np.uint32(0x40)) & np.uint32(0xFFFFFF80)
+    return zlib.compress(bits.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_logs(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<f4").ravel()
+
+
 def deflate(numbers: np.ndarray) -> bytes:
     return zlib.compress(numbers.tobytes(), 1)
 
@@ -357,7 +367,7 @@ def _score(n: int, v: int, ends: int):
                     settle()
                     size, block, grams, words, lookup = 0, b, [], {}, None
                 if kind == "gram":
-                    grams.append((unpack(keys), np.frombuffer(vals, np.float32)))
+                    grams.append((unpack(keys), unpack_logs(vals)))
                 elif kind == "word":
                     logs = np.log10(np.frombuffer(zlib.decompress(vals), np.int64) + 1.0).tolist()
                     words.update(zip(zlib.decompress(keys).split(b" "), logs))
@@ -367,7 +377,7 @@ def _score(n: int, v: int, ends: int):
                         grams = []
                     pending.append((i, training, words_of(text)))
                     size += len(text or "")
-                    if size > CHUNK:
+                    if size > SCORE_CHUNK:
                         settle()
                         size = 0
             settle()
@@ -400,8 +410,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     def gram_answers(frame: pd.DataFrame) -> pd.DataFrame:
         trees, merged, lists = _subtrees(frame)
-        value = trees.log10(top.value).astype(np.float32)
-        return pd.DataFrame([(b, "gram", k, value[np.searchsorted(merged.keys, keys)].tobytes())
+        value = trees.log10(top.value)
+        return pd.DataFrame([(b, "gram", k, pack_logs(value[np.searchsorted(merged.keys, keys)]))
                              for b, k, keys in zip(frame["block"], frame["keys"], lists)],
                             columns=["block", "kind", "keys", "vals"])
 
