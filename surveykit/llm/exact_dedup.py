@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, temp_name
 
 PREFIX_CHARS = 256
 
@@ -48,11 +48,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns."""
+    """The rows of ``df`` that stay, with all their columns; groups without any id keep one row."""
+    own, keep_id, keep_sha = (temp_name(df, x) for x in ("sha", "keep_id", "keep_sha"))
     kept = exact_groups(df, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    sha = F.sha2(normalised(F.col(f"`{text_col}`")), 256)
-    out = df.withColumn("__sha", sha)
-    out = out.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__keep_id"))
-                   & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
-    return out.dropDuplicates([id_col, "__sha"]).drop("__sha")
+        F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha))
+    out = df.withColumn(own, F.sha2(normalised(F.col(f"`{text_col}`")), 256))
+    out = out.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(keep_id)) & (F.col(own) == F.col(keep_sha)), "left_semi")
+    return out.dropDuplicates([id_col, own]).drop(own)

@@ -33,7 +33,8 @@ SCREEN = 20.0
 LIFT = 5.0
 BIAS = -14.0
 MAX_FEATURES = 5000
-STEPS, RATE, SHRINK = 600, 0.05, 1e-3
+#: Every screened feature starts strong enough to mark a sentence alone; clean documents take it back.
+STEPS, RATE, START, MOST = 600, 0.05, 15.0, 20.0
 CACHE_WORDS = 500_000
 
 _TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
@@ -173,7 +174,7 @@ def fit(sample: DataFrame) -> ToxicityModel:
             else:
                 plain[d] += len(s) > 0
     doc_of, of_sentence, feature = (np.array(x, dtype=np.int64) for x in (doc_of, of_sentence, feature))
-    p = np.concatenate([np.full(len(place), 4.0), [-3.0]])  # weights, logit of the leak
+    p = np.concatenate([np.full(len(place), START), [-3.0]])  # weights, logit of the leak
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, STEPS + 1):
         w, leak = p[:-1], p[-1]
@@ -183,11 +184,11 @@ def fit(sample: DataFrame) -> ToxicityModel:
         # d(-log likelihood) / d(-clean): 1 for label 0, -P0 / (1 - P0) for label 1
         pull = np.where(label == 0, 1.0, -np.exp(clean) / -np.expm1(clean))
         gz = pull[doc_of] / (1 + np.exp(-z))
-        grad = np.concatenate([np.bincount(feature, gz[of_sentence], minlength=len(w)) + SHRINK * w,
+        grad = np.concatenate([np.bincount(feature, gz[of_sentence], minlength=len(w)),
                                [pull.sum() / (1 + np.exp(-leak))]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         p = p - RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-        p[-1] = np.clip(p[-1], -9.0, -0.1)
+        p[:-1], p[-1] = np.clip(p[:-1], -MOST, MOST), np.clip(p[-1], -9.0, -0.1)
     return ToxicityModel(dict(zip(place, p[:-1].tolist())), BIAS, float(1 / (1 + np.exp(-p[-1]))))
 
 
