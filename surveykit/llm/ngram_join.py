@@ -3,18 +3,19 @@
 1. A text becomes the set of its hashed word n-grams (64 bits); texts of equal sets are one
    node from here on.
 2. A node's rarest n-grams, ``n - ceil(T * n) + 1`` of them, put it in one tile each: two
-   sets at similarity T or more share a tile. Rarity comes from a fixed-size frequency
+   sets at similarity T or more share a tile, in which the smaller one is by its
+   ``n - ceil(2T / (1 + T) * n) + 1`` rarest. Rarity comes from a fixed-size frequency
    sketch of the whole corpus, so a line in a third of all texts makes no tile; any order
    would give the same links.
 3. Inside a tile, sets meet only within their size band (smaller >= T * larger). Bit counts
-   of hashed bitmaps bound the overlap from above; what may reach T is decided exactly on
-   the sorted arrays.
+   of hashed bitmaps, first of a quarter of the n-grams, then of all, bound the overlap from
+   above; what may reach T is decided exactly on the sorted arrays.
 4. Components: neighbours in a tile's size order are compared first; then only pairs of
    still different components are, so a group of thousands of near copies isn't paired
    off in full. Tiles with the same members are compared once.
 
-Shuffled are prefix n-grams (about a tenth of all at T = 0.9) as (n-gram, node, size); the
-arrays of the few nodes that share a tile are written once.
+Shuffled are prefix n-grams (about a tenth of all at T = 0.9) as (n-gram, node, size); full
+arrays are made only for nodes of a pair that the small bitmaps let through.
 """
 from __future__ import annotations
 
@@ -33,8 +34,9 @@ from .components import connected_components
 SKETCH_BITS = 18
 #: Rows up to which a key list is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
-#: Distances in a tile's size order at which members are compared before components are known.
-LAGS = (1, 2, 3, 5, 8, 13, 21, 34)
+#: Distances in a tile's size order at which members are compared, round by round, before
+#: all of what is still apart is.
+LAGS = ((1, 3), (2, 7, 19))
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -72,6 +74,11 @@ def bitmap(grams: np.ndarray) -> np.ndarray:
     return np.packbits(mask, bitorder="little").view(np.uint64)
 
 
+def quarter(grams: np.ndarray) -> np.ndarray:
+    """A quarter of the n-grams, the same ones in every set."""
+    return grams[((grams >> np.uint64(50)) & np.uint64(3)) == 0]
+
+
 def fold(bits: np.ndarray, words: int) -> np.ndarray:
     """A bitmap at a smaller size: the halves or-ed."""
     while len(bits) > words:
@@ -102,13 +109,13 @@ def frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _features(texts: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """id, key (of the text), n, node (fingerprint of the set), prefix (tile keys)."""
+    """id, key (of the text), n, node (fingerprint of the set), prefix (tile keys), mini (bitmap of a quarter)."""
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequency = shared.value
         for frame in frames:
-            sizes, nodes, prefixes = [], [], []
+            sizes, nodes, prefixes, minis = [], [], [], []
             for text in frame["text"]:
                 grams = ngram_set(text, width)
                 n = len(grams)
@@ -117,29 +124,36 @@ def _features(texts: DataFrame, width: int, percent: int, sketch: np.ndarray) ->
                 take = n - (percent * n + 99) // 100 + 1 if n else 0
                 order = np.lexsort((grams, frequency[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:take]
                 prefixes.append(grams[order].view(np.int64))
-            yield pd.DataFrame({"id": frame["id"], "key": frame["key"], "n": sizes,
-                                "node": pd.Series(nodes, dtype="Int64"), "prefix": prefixes})
+                minis.append(bitmap(quarter(grams)).tobytes())
+            yield pd.DataFrame({"id": frame["id"], "key": frame["key"], "n": sizes, "node": pd.Series(nodes, dtype="Int64"),
+                                "prefix": prefixes, "mini": minis})
 
-    return texts.mapInPandas(features, "id string, key long, n long, node long, prefix array<long>")
+    return texts.mapInPandas(features, "id string, key long, n long, node long, prefix array<long>, mini binary")
 
 
 def _arrays(texts: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """node, n, grams and bits (both as bytes) of one text for each wanted key."""
+    """node, n, grams and bits (both as bytes) of one text for each wanted (key, node)."""
     def arrays(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # copies in one partition are made once
         for frame in frames:
+            frame = frame[[not (k in seen or seen.add(k)) for k in frame["node"].tolist()]]
             sets = [ngram_set(t, width) for t in frame["text"]]
             yield pd.DataFrame({"node": frame["node"], "n": [len(s) for s in sets],
                                 "grams": [s.tobytes() for s in sets], "bits": [bitmap(s).tobytes() for s in sets]})
 
     wanted = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    one = texts.join(wanted, "key").select("node", "text")
-    return one.mapInPandas(arrays, "node long, n long, grams binary, bits binary")
+    return (texts.join(wanted, "key").select("node", "text")
+            .mapInPandas(arrays, "node long, n long, grams binary, bits binary").dropDuplicates(["node"]))
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b), those at the similarity or more: by bitmaps first, then exactly."""
-    side = lambda name, what: arrays.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col(what).alias(f"x{name}"))
+def _reaching(pairs: DataFrame, sides: DataFrame, what: str, test) -> DataFrame:
+    """The pairs (a, b) that pass ``test`` on column ``what`` of their two nodes."""
+    side = lambda name: sides.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col(what).alias(f"x{name}"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .where(test("na", "xa", "nb", "xb")).select("a", "b"))
 
+
+def _tests(percent: int):
     @F.pandas_udf("boolean")
     def may_reach(na: pd.Series, xa: pd.Series, nb: pd.Series, xb: pd.Series) -> pd.Series:
         return pd.Series([(100 + percent) * overlap_bound(np.frombuffer(a, np.uint64), i, np.frombuffer(b, np.uint64), j) >= percent * (i + j)
@@ -154,11 +168,15 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
             out.append((100 + percent) * int((both[1:] == both[:-1]).sum()) >= percent * (i + j))
         return pd.Series(out, dtype=bool)
 
-    def keep(pairs: DataFrame, what: str, test) -> DataFrame:
-        return (pairs.join(side("a", what), "a").join(side("b", what), "b")
-                .where(test("na", "xa", "nb", "xb")).select("a", "b"))
+    return may_reach, reaches
+
 
-    return keep(written(keep(pairs, "bits", may_reach), "candidates"), "grams", reaches)
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of written pairs (a, b) those at the similarity or more: full bitmaps first, then exactly."""
+    may_reach, reaches = _tests(percent)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    arrays = written(_arrays(texts, nodes.join(ends, "node").select("key", "node"), width), "arrays")
+    return _reaching(written(_reaching(pairs, arrays, "bits", may_reach), "candidates"), arrays, "grams", reaches)
 
 
 def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -167,12 +185,11 @@ def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
     Tiles come sorted by size, so a member meets the rows before it as far back as the
     size band goes, and no more of a tile is held.
     """
-    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tile, window = None, []  # window: (node, comp, n, bits) of the tile so far, within the band
         for frame in frames:
-            out = []
-            for h, node, comp, n, bits in zip(frame["h"].tolist(), frame["node"].tolist(), frame["comp"].tolist(),
-                                              frame["n"].tolist(), frame["bits"]):
+            out = set()
+            for h, node, comp, n, short, bits in zip(*(frame[c].tolist() for c in ("h", "node", "comp", "n", "short", "mini"))):
                 if h != tile:
                     tile, window = h, []
                 mine = np.frombuffer(bits, np.uint64)
@@ -182,12 +199,20 @@ def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
                 window = window[low:]
                 for other, c, m, theirs in window:
                     if c != comp and (100 + percent) * overlap_bound(theirs, m, mine, n) >= percent * (m + n):
-                        out.append((min(node, other), max(node, other)))
-                window.append((node, comp, n, mine))
-            yield pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+                        out.add((min(node, other), max(node, other)))
+                if short:
+                    window.append((node, comp, n, mine))
+            yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
     return (members.repartition("h").sortWithinPartitions("h", "n", "node")
-            .mapInPandas(blocks, "a long, b long"))
+            .mapInPandas(pairs, "a long, b long"))
+
+
+def _several(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members, with their component, of tiles that hold several components."""
+    at = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    apart = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h")
+    return at.join(apart, "h", "left_semi")
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
@@ -200,31 +225,46 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"),
                       F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("key"))
     rows = written(_features(texts, width, percent, frequency_sketch(texts, width)), "features")
+    nodes = written(rows.where("n > 0").groupBy("node").agg(
+        F.min("n").alias("n"), F.min("key").alias("key"), F.min("mini").alias("mini")), "nodes")
     # tiles that hold two different nodes at least
-    tiles = rows.where("n > 0").select(F.explode("prefix").alias("h"), "node", "n", "key")
+    most = F.col("n") - F.floor((2 * percent * F.col("n") + (99 + percent)) / (100 + percent)) + 1
     by_tile = Window.partitionBy("h")
-    tiles = tiles.withColumn("low", F.min("node").over(by_tile)).withColumn("high", F.max("node").over(by_tile))
-    tiles = written(tiles.where("low <> high").groupBy("h", "node", "n").agg(F.min("key").alias("key")), "tiles")
+    tiles = rows.where("n > 0").select("node", "n", F.posexplode("prefix").alias("pos", "h"))
+    tiles = tiles.select("h", "node", "n", (F.col("pos") < most).alias("short"),
+                         F.min("node").over(by_tile).alias("low"), F.max("node").over(by_tile).alias("high"))
+    tiles = written(tiles.where("low <> high").select("h", "node", "n", "short").distinct(), "tiles")
+    # members with a partner in their size band, the smaller one by its short prefix
+    order = Window.partitionBy("h").orderBy("n", "node")
+    before = F.max(F.when(F.col("short"), F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.when(F.col("short"), F.lead("n").over(order))
+    tiles = written(tiles.select("*", before.alias("before"), after.alias("after"))
+                    .where((100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after")))
+                    .drop("before", "after"), "banded")
     # one tile for each distinct set of members
-    sign = tiles.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"),
-                                  F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    sign = tiles.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node", "short")).alias("x"),
+                                  F.bit_xor(F.xxhash64("node", "short", F.lit(1))).alias("y"))
     members = written(tiles.join(sign.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h"), "h", "left_semi"), "members")
-    keys = members.groupBy("node").agg(F.min("key").alias("key"))
-    arrays = written(_arrays(texts, keys, width).dropDuplicates(["node"]), "arrays")
-    # first, neighbours in the size order of a tile
-    order = Window.partitionBy("h").orderBy("n", "node")
-    near = F.array(*[F.struct(F.lag("node", k).over(order).alias("other"), F.lag("n", k).over(order).alias("m")) for k in LAGS])
-    pairs = (members.select("node", "n", near.alias("near")).select("node", "n", F.explode("near").alias("o"))
-             .where((F.col("o.other").isNotNull()) & (100 * F.col("o.m") >= percent * F.col("n")))
-             .select(F.least("node", "o.other").alias("a"), F.greatest("node", "o.other").alias("b")).distinct())
-    links = written(_verified(pairs, arrays, percent), "links")
-    comps = connected_components(links)
+    # first, neighbours in the size order of a tile, if they aren't in one component already
+    may_reach, _ = _tests(percent)
+    tried = links = comps = None
+    for lags in LAGS:
+        at = members.withColumn("comp", F.col("node")) if comps is None else _several(members, comps)
+        near = F.array(*[F.struct(F.lag("node", k).over(order).alias("other"), F.lag("n", k).over(order).alias("m"),
+                                  F.lag("short", k).over(order).alias("short"), F.lag("comp", k).over(order).alias("comp")) for k in lags])
+        pairs = (at.select("node", "n", "comp", near.alias("near")).select("node", "n", "comp", F.explode("near").alias("o"))
+                 .where(F.col("o.short") & (100 * F.col("o.m") >= percent * F.col("n")) & (F.col("o.comp") != F.col("comp")))
+                 .select(F.least("node", "o.other").alias("a"), F.greatest("node", "o.other").alias("b")).distinct())
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(_reaching(pairs, nodes, "mini", may_reach), "pairs")
+        found = written(_verified(pairs, nodes, texts, width, percent), "links")
+        tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
+        comps = connected_components(links)
     # then, whatever is left between different components of a tile
-    at = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    apart = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h")
-    left = at.join(apart, "h", "left_semi").join(arrays.select("node", "bits"), "node").select("h", "node", "n", "comp", "bits")
-    more = written(_tile_pairs(left, percent).distinct(), "pairs")
-    links = links.unionByName(_verified(more, arrays, percent))
+    left = _several(members, comps).join(nodes.select("node", "mini"), "node")
+    more = _tile_pairs(left.select("h", "node", "n", "comp", "short", "mini"), percent).distinct()
+    more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(_verified(more, nodes, texts, width, percent))
     comps = connected_components(links)
     return rows.join(comps, "node", "left").select("id", "key", "n", F.coalesce("comp", "node").alias("comp"))
 
