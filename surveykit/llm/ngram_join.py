@@ -10,9 +10,10 @@
 3. Inside a tile, sets meet only within their size band (smaller >= T * larger). Bit counts
    of hashed bitmaps, first of a quarter of the n-grams, then of all, bound the overlap from
    above; what may reach T is decided exactly on the sorted arrays.
-4. Components: neighbours in a tile's size order are compared first; then only pairs of
-   still different components are, so a group of thousands of near copies isn't paired
-   off in full. Tiles with the same members are compared once.
+4. Components: neighbours in a tile's size order are compared first, the near ones, then
+   those farther off; then only pairs of still different components are, by full bitmaps
+   inside the task, so a group of thousands of near copies isn't paired off in full. Tiles
+   with the same members are compared once.
 
 Shuffled are prefix n-grams (about a tenth of all at T = 0.9) as (n-gram, node, size); full
 arrays are made only for nodes of a pair that the small bitmaps let through.
@@ -36,7 +37,7 @@ SKETCH_BITS = 18
 BROADCAST_ROWS = 500_000
 #: Distances in a tile's size order at which members are compared, round by round, before
 #: all of what is still apart is.
-LAGS = ((1, 3), (2, 7, 19))
+LAGS = (tuple(range(1, 9)), tuple(range(9, 41)))
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -63,10 +64,10 @@ def ngram_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(mix(s))
 
 
-def bitmap(grams: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of at least four bits an n-gram (a power of two, 64 at least)."""
+def bitmap(grams: np.ndarray, each: int = 8) -> np.ndarray:
+    """Hashed bitmap of at least ``each`` bits an n-gram (a power of two, 64 at least)."""
     bits = 64
-    while bits < 4 * len(grams):
+    while bits < each * len(grams):
         bits *= 2
     at = (grams & np.uint64(bits - 1)).astype(np.int64)
     mask = np.zeros(bits, dtype=bool)
@@ -124,7 +125,7 @@ def _features(texts: DataFrame, width: int, percent: int, sketch: np.ndarray) ->
                 take = n - (percent * n + 99) // 100 + 1 if n else 0
                 order = np.lexsort((grams, frequency[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:take]
                 prefixes.append(grams[order].view(np.int64))
-                minis.append(bitmap(quarter(grams)).tobytes())
+                minis.append(bitmap(quarter(grams), 4).tobytes())
             yield pd.DataFrame({"id": frame["id"], "key": frame["key"], "n": sizes, "node": pd.Series(nodes, dtype="Int64"),
                                 "prefix": prefixes, "mini": minis})
 
@@ -189,7 +190,7 @@ def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
         tile, window = None, []  # window: (node, comp, n, bits) of the tile so far, within the band
         for frame in frames:
             out = set()
-            for h, node, comp, n, short, bits in zip(*(frame[c].tolist() for c in ("h", "node", "comp", "n", "short", "mini"))):
+            for h, node, comp, n, short, bits in zip(*(frame[c].tolist() for c in ("h", "node", "comp", "n", "short", "bits"))):
                 if h != tile:
                     tile, window = h, []
                 mine = np.frombuffer(bits, np.uint64)
@@ -261,8 +262,10 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
         comps = connected_components(links)
     # then, whatever is left between different components of a tile
-    left = _several(members, comps).join(nodes.select("node", "mini"), "node")
-    more = _tile_pairs(left.select("h", "node", "n", "comp", "short", "mini"), percent).distinct()
+    left = written(_several(members, comps), "left")
+    full = written(_arrays(texts, nodes.join(left.select("node").distinct(), "node").select("key", "node"), width)
+                   .select("node", "bits"), "bits")
+    more = _tile_pairs(left.join(full, "node").select("h", "node", "n", "comp", "short", "bits"), percent).distinct()
     more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_verified(more, nodes, texts, width, percent))
     comps = connected_components(links)
