@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 5000
+SAMPLE_DOCS = 4000
 SAMPLE_CHARS = 100_000
 #: Lengths of the beginnings of a word that are features beside the word.
 BEGINNINGS = (3, 4, 5, 6)
@@ -123,7 +123,7 @@ def fit(sample: DataFrame) -> ToxicityModel:
     vocabulary: dict[str, int] = {}
     number = lambda w: -1 if w in _STOPS else vocabulary.setdefault(w, len(vocabulary))
     rows = sorted((r["text"] or "", int(r["toxic"])) for r in sample.select("text", "toxic").toLocalIterator())
-    docs = [(np.array([number(w) for w in _TOKEN.findall(t.lower())], dtype=np.int64), y) for t, y in rows]
+    docs = [(np.array([number(w) for w in _TOKEN.findall(t.lower())], dtype=np.int32), y) for t, y in rows]
     del rows
     label = np.array([y for _, y in docs], dtype=np.float64)
     rate = label.mean() if len(label) else 0.0
@@ -133,21 +133,25 @@ def fit(sample: DataFrame) -> ToxicityModel:
     # screening: distinct contexts of a word, by the document's label
     contexts = np.zeros((2, len(vocabulary) + 1))
     for t in (0, 1):
-        flat = np.concatenate([np.concatenate([[-1], words, [-1]]) for words, y in docs if y == t])
-        word = np.unique(np.stack([flat[1:-1], flat[:-2], flat[2:]]), axis=1)[0]
-        contexts[t] = np.bincount(word[word >= 0], minlength=len(vocabulary) + 1)
+        flat = np.concatenate([np.concatenate([[-1], words, [-1]]) for words, y in docs if y == t]).astype(np.int64) + 1
+        near = np.int64((1 << 20) - 1)  # a neighbour counts by 20 bits of its number
+        word = np.unique((flat[1:-1] << 40) | ((flat[:-2] & near) << 20) | (flat[2:] & near)) >> 40
+        contexts[t] = np.bincount(word[word > 0] - 1, minlength=len(vocabulary) + 1)
     n0, n1 = np.maximum(contexts.sum(1), 1)
-    counts: dict[str, list[float]] = {}
     words = list(vocabulary)
-    for i in np.flatnonzero(contexts[1]):
+    toxic: dict[str, float] = {}
+    for i in np.flatnonzero(contexts[1]).tolist():
         for f in features(words[i]):
-            counts.setdefault(f, [0.0, 0.0])[1] += contexts[1, i]
-    for i in np.flatnonzero(contexts[0]):
+            toxic[f] = toxic.get(f, 0.0) + contexts[1, i]
+    toxic = {f: a for f, a in toxic.items() if a >= 3}
+    clean = dict.fromkeys(toxic, 0.0)
+    for i in np.flatnonzero(contexts[0]).tolist():
         for f in features(words[i]):
-            if f in counts:
-                counts[f][0] += contexts[0, i]
-    names = [f for f, (b, a) in counts.items() if a >= 3 and a / n1 > LIFT * b / n0]
-    b, a = np.array([counts[f] for f in names]).reshape(-1, 2).T
+            if f in clean:
+                clean[f] += contexts[0, i]
+    names = [f for f, a in toxic.items() if a / n1 > LIFT * clean[f] / n0]
+    a, b = np.array([toxic[f] for f in names]), np.array([clean[f] for f in names])
+    del toxic, clean
     expect = (a + b) * n1 / (n1 + n0)
     ln = lambda x, y: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(y, 1e-9)), 0)
     g2 = 2 * (ln(a, expect) + ln(b, a + b - expect) + ln(n1 - a, n1 - expect) + ln(n0 - b, n0 - (a + b - expect)))
@@ -155,8 +159,7 @@ def fit(sample: DataFrame) -> ToxicityModel:
     if not best:
         return nothing
     place = {f: i for i, (_, f) in enumerate(sorted(best, key=lambda x: x[1]))}
-    of_word = {i: [place[f] for f in features(w) if f in place] for i, w in enumerate(words)}
-    of_word = {i: fs for i, fs in of_word.items() if fs}
+    of_word = {i: fs for i, w in enumerate(words) if (fs := [place[f] for f in features(w) if f in place])}
     marked = np.zeros(len(words) + 1, dtype=bool)
     marked[list(of_word)] = True
     # sentences with a screened feature, one entry per word and feature; the others are counted
