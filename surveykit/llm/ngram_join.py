@@ -14,6 +14,9 @@
    those farther off; then only pairs of still different components are, by full bitmaps
    inside the task, so a group of thousands of near copies isn't paired off in full. Tiles
    with the same members are compared once.
+5. Links: every link lies inside a component, so all pairs of a component in their size band
+   are counted exactly, also those that step 4 had no need of. A component is cut into
+   blocks by size; each pair of blocks is a group of its own that gives counts, not pairs.
 
 Shuffled are prefix n-grams (about a tenth of all at T = 0.9) as (n-gram, node, size); full
 arrays are made only for nodes of a pair that the small bitmaps let through.
@@ -38,6 +41,10 @@ BROADCAST_ROWS = 500_000
 #: Distances in a tile's size order at which members are compared, round by round, before
 #: all of what is still apart is.
 LAGS = (tuple(range(1, 9)), tuple(range(9, 41)))
+#: N-grams in a block of a component, and what a set counts for at least (so 1,024 sets at most, about).
+BLOCK, LEAST = 1 << 21, 1 << 11
+#: Columns of the dense matrix that overlaps are counted with, at a time.
+COLUMNS = 4096
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -172,12 +179,15 @@ def _tests(percent: int):
     return may_reach, reaches
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of written pairs (a, b) those at the similarity or more: full bitmaps first, then exactly."""
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of written pairs (a, b) those at the similarity or more: full bitmaps first, then exactly.
+
+    The second table has the arrays of all nodes in the pairs.
+    """
     may_reach, reaches = _tests(percent)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     arrays = written(_arrays(texts, nodes.join(ends, "node").select("key", "node"), width), "arrays")
-    return _reaching(written(_reaching(pairs, arrays, "bits", may_reach), "candidates"), arrays, "grams", reaches)
+    return _reaching(written(_reaching(pairs, arrays, "bits", may_reach), "candidates"), arrays, "grams", reaches), arrays
 
 
 def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -216,18 +226,100 @@ def _several(members: DataFrame, comps: DataFrame) -> DataFrame:
     return at.join(apart, "h", "left_semi")
 
 
+def links_of_sets(sets: list[np.ndarray], copies: np.ndarray, first: int, percent: int) -> np.ndarray:
+    """For each sorted set, the summed copies of the other sets at the similarity or more.
+
+    With ``first``, only pairs of one of the first so many sets and one of the others count.
+    """
+    m, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
+    owner, grams = np.repeat(np.arange(m), sizes), np.concatenate(sets)
+    order = np.argsort(grams, kind="stable")
+    owner, grams = owner[order], grams[order]
+    same = grams[1:] == grams[:-1]
+    shared = np.append(same, False) | np.insert(same, 0, False)  # n-grams of one set meet nothing
+    owner, grams = owner[shared], grams[shared]
+    column = np.cumsum(np.append(0, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, dtype=np.int64)
+    kind = np.float32 if sizes.max() < 1 << 24 else np.float64  # whole numbers, exact up to here
+    a, b = (slice(0, first), slice(first, m)) if first else (slice(0, m), slice(0, m))
+    both = np.zeros((a.stop - a.start, b.stop - b.start), dtype=kind)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        dense = np.zeros((m, int(column[part][-1]) - low + 1), dtype=kind)
+        dense[owner[part], column[part] - low] = 1
+        both += dense[a] @ dense[b].T
+    near = (100 + percent) * both.astype(np.int64) >= percent * (sizes[a][:, None] + sizes[b][None, :])
+    if first:
+        return np.concatenate([near @ copies[b], copies[a] @ near])
+    np.fill_diagonal(near, False)
+    return near @ copies
+
+
+def _link_counts(comps: DataFrame, nodes: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """node, links: rows of other sets at the similarity or more, for the nodes that have any.
+
+    ``arrays`` has each node of ``comps`` once at least.
+    """
+    few = lambda table: F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    at = written(comps.join(nodes.select("node", "n", "copies"), "node"), "classes")
+    # components of several blocks: how many sets of each size, and the weight before them
+    weight = F.greatest("n", F.lit(LEAST))
+    each = Window.partitionBy("comp")
+    cells = at.groupBy("comp", "n").agg(F.count("*").alias("many"))
+    cells = cells.select("comp", "n", "many", F.sum(F.col("many") * weight).over(each).alias("total"),
+                         (F.sum(F.col("many") * weight).over(each.orderBy("n")) - F.col("many") * weight).alias("before"))
+    cells = written(cells.where(F.col("total") > BLOCK).drop("total"), "cells")
+    place = F.floor((F.col("before") + F.pmod(F.xxhash64("node"), F.col("many")) * weight) / BLOCK)
+    placed = written(at.join(few(cells), ["comp", "n"], "left").select("node", "comp", "n", "copies", place.alias("mine")), "placed")
+    blocks = written(placed.where("mine is not null").groupBy("comp", "mine").agg(
+        F.min("n").alias("low"), F.max("n").alias("high")), "blocks")
+    pairs = (blocks.select("comp", F.col("mine").alias("block"), "high")
+             .join(blocks.select("comp", F.col("mine").alias("other"), "low"), "comp")
+             .where((F.col("block") <= F.col("other")) & (100 * F.col("high") >= percent * F.col("low"))))
+    pairs = written(pairs.select("comp", "block", "other", F.explode(F.array_distinct(F.array("block", "other"))).alias("mine")), "dealt")
+    dealt = placed.join(few(pairs), ["comp", "mine"], "left").na.fill(0, ["block", "other", "mine"])
+    dealt = few(written(dealt, "members")).join(arrays.select("node", "grams"), "node")
+
+    def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []  # held: (node, copies, whether of the first of two blocks, grams)
+
+        def done() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            first = sum(h[2] for h in held)
+            if first == len(held):  # the other block has no row here
+                return []
+            links = links_of_sets([h[3] for h in held], np.array([h[1] for h in held], dtype=np.int64), first, percent)
+            return [(h[0], k) for h, k in zip(held, links.tolist()) if k]
+
+        for frame in frames:
+            out = []
+            for *now, mine, node, copies, grams in zip(*(frame[c].tolist() for c in ("comp", "block", "other", "mine", "node", "copies", "grams"))):
+                if now != key:
+                    out += done()
+                    key, held = now, []
+                if not held or held[-1][0] != node:  # a node may have come in several rounds
+                    held.append((node, copies, now[1] != now[2] and mine == now[1], np.frombuffer(grams, np.uint64)))
+            yield pd.DataFrame(out, columns=["node", "links"], dtype="int64")
+        yield pd.DataFrame(done(), columns=["node", "links"], dtype="int64")
+
+    return (dealt.select("comp", "block", "other", "mine", "node", "copies", "grams")
+            .repartition("comp", "block", "other").sortWithinPartitions("comp", "block", "other", "mine", "node")
+            .mapInPandas(counts, "node long, links long").groupBy("node").agg(F.sum("links").alias("links")))
+
+
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
-                       percent: int = 90) -> DataFrame:
+                       percent: int = 90, count_links: bool = False) -> DataFrame:
     """One row per input row: id (as text), key, n (set size), comp (null for an empty set).
 
     Rows of one component share ``comp``. Null and empty texts have an empty set and no
-    component; equal texts are always linked; an empty table gives an empty one.
+    component; equal texts are always linked; an empty table gives an empty one. With
+    ``count_links`` there is also n_links: how many other rows are at the similarity or more.
     """
     texts = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"),
                       F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("key"))
     rows = written(_features(texts, width, percent, frequency_sketch(texts, width)), "features")
     nodes = written(rows.where("n > 0").groupBy("node").agg(
-        F.min("n").alias("n"), F.min("key").alias("key"), F.min("mini").alias("mini")), "nodes")
+        F.min("n").alias("n"), F.min("key").alias("key"), F.min("mini").alias("mini"), F.count("*").alias("copies")), "nodes")
     # tiles that hold two different nodes at least
     most = F.col("n") - F.floor((2 * percent * F.col("n") + (99 + percent)) / (100 + percent)) + 1
     by_tile = Window.partitionBy("h")
@@ -248,7 +340,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = written(tiles.join(sign.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h"), "h", "left_semi"), "members")
     # first, neighbours in the size order of a tile, if they aren't in one component already
     may_reach, _ = _tests(percent)
-    tried = links = comps = None
+    tried = links = comps = arrays = None
     for lags in LAGS:
         at = members.withColumn("comp", F.col("node")) if comps is None else _several(members, comps)
         near = F.array(*[F.struct(F.lag("node", k).over(order).alias("other"), F.lag("n", k).over(order).alias("m"),
@@ -258,8 +350,10 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                  .select(F.least("node", "o.other").alias("a"), F.greatest("node", "o.other").alias("b")).distinct())
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(_reaching(pairs, nodes, "mini", may_reach), "pairs")
-        found = written(_verified(pairs, nodes, texts, width, percent), "links")
-        tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
+        found, made = _verified(pairs, nodes, texts, width, percent)
+        found = written(found, "links")
+        tried, links, arrays = ((pairs, found, made) if tried is None else
+                                (tried.unionByName(pairs), links.unionByName(found), arrays.unionByName(made)))
         comps = connected_components(links)
     # then, whatever is left between different components of a tile
     left = written(_several(members, comps), "left")
@@ -267,19 +361,29 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                    .select("node", "bits"), "bits")
     more = _tile_pairs(left.join(full, "node").select("h", "node", "n", "comp", "short", "bits"), percent).distinct()
     more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(more, nodes, texts, width, percent))
-    comps = connected_components(links)
+    found, made = _verified(more, nodes, texts, width, percent)
+    comps = connected_components(links.unionByName(found))
+    if count_links:
+        others = _link_counts(comps, nodes, arrays.unionByName(made), percent)
+        linked = nodes.select("node", "copies").join(comps, "node", "left").join(others, "node", "left")
+        linked = written(linked.select("node", "comp", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+                         .where("n_links > 0"), "linked")
+        return rows.join(linked, "node", "left").select("id", "key", "n", F.coalesce("comp", "node").alias("comp"),
+                                                        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return rows.join(comps, "node", "left").select("id", "key", "n", F.coalesce("comp", "node").alias("comp"))
 
 
 def component_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
                   percent: int = 90) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest id of the component)."""
+    """One row per input row: doc_id, n_shingles, n_links (other rows at the similarity or more,
+    copies among them; half their sum is the number of links), component_id (smallest id of
+    the component)."""
     kind = df.schema[id_col].dataType
-    rows = similar_components(df, id_col, text_col, width, percent).select(F.col("id").cast(kind).alias("doc_id"), "n", "comp")
+    rows = similar_components(df, id_col, text_col, width, percent, count_links=True).select(
+        F.col("id").cast(kind).alias("doc_id"), "n", "comp", "n_links")
     first = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("first"))
     return rows.join(first, "comp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), "n_links", F.coalesce("first", "doc_id").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,

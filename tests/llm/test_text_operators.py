@@ -116,6 +116,30 @@ def test_ngram_join_equals_brute_force(docs_of, width, percent):
     assert sorted(map(str, ids)) == sorted(map(str, best + [r[0] for r, s in zip(rows, sets) if not s]))
 
 
+def brute_links(sets, percent):
+    return [sum(1 for j, t in enumerate(sets) if j != i and s and t and 100 * len(s & t) >= percent * len(s | t))
+            for i, s in enumerate(sets)]
+
+
+def test_ngram_join_counts_every_link(docs_of, monkeypatch):
+    """One large group of near copies (and some copies) in several blocks: most links lie inside a component."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 1 << 16)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(120)]
+    rows = near_rows(random.Random(3))
+    for i in range(150):
+        words = list(base) + [f"z{j}" for j in range(rng.randrange(8))]
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(10 ** 6)}"
+        rows.append((10 ** 6 + i, " ".join(words)))
+    rows += [(2 * 10 ** 6 + i, rows[-1 - i % 2][1]) for i in range(5)]
+    sets, _ = brute_components(rows, 3, 90)
+    links = brute_links(sets, 90)
+    got = ngram_join.component_ids(docs_of(rows), width=3, percent=90).collect()
+    assert sorted((str(r.doc_id), r.n_links) for r in got) == sorted((str(i), k) for (i, _), k in zip(rows, links))
+    assert max(links) > 80  # more than all lag rounds try
+
+
 def test_ngram_join_of_an_empty_table(docs_of):
     assert ngram_join.component_ids(docs_of([])).count() == 0
     assert ngram_join.one_of_each(docs_of([])).count() == 0
