@@ -607,15 +607,49 @@ def q_elbow_check(spark, sf):
     return e.select("k", F.coalesce(F.col("inertia") <= F.lag("inertia").over(w), F.lit(True)).alias("falls"))
 
 
+def _embeddings(spark, sf):
+    """The vectors with every number as a column of its own, and those columns."""
+    e = table(spark, sf, "embeddings")
+    cols = [f"x{j}" for j in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    return e.select("*", *[F.col("embedding")[j].cast("double").alias(c) for j, c in enumerate(cols)]), cols
+
+
+def _embedding_clusters(spark, sf):
+    """The vectors in as many clusters as the table has labels, and the centres."""
+    e, cols = _embeddings(spark, sf)
+    _, _, centres = K.fit_kmeans(e, cols, e.agg(F.countDistinct("label")).first()[0])
+    return K.assign_clusters(e, cols, centres), centres
+
+
 @query("embedding_kmeans_check")
 def q_embedding_kmeans_check(spark, sf):
-    """k-means on the embeddings: every row in one of k clusters, all of them used."""
-    e = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[j].cast("double").alias(f"x{j}") for j in range(8)])
-    cols = [f"x{j}" for j in range(8)]
+    """k-means on the whole embeddings: every row in one of k clusters, all of them used."""
+    e, cols = _embeddings(spark, sf)
     return K.kmeans_labels(e, cols, 4).agg(
         F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"), F.countDistinct("vec_id").alias("n_ids"))
 
 
+@query("embedding_kmeans_full_check")
+def q_embedding_kmeans_full_check(spark, sf):
+    """One cluster a label: rows, clusters, the centres' numbers, and how many rows are not at
+    the nearest centre of their whole vector."""
+    lab, centres = _embedding_clusters(spark, sf)
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    dist = F.array(*[F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in c]), lambda a, b: (a - b) * (a - b)),
+                                 F.lit(0.0), lambda total, v: total + v) for c in centres])
+    right = F.element_at(dist, F.col("cluster") + 1) <= F.array_min(dist) + 1e-9
+    return lab.agg(F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"),
+                   F.lit(len(centres[0])).cast("long").alias("n_dims"),
+                   F.count_if(~F.coalesce(right, F.lit(False))).alias("n_wrong"))
+
+
+@query("embedding_kmeans_labels", rows_only=True)
+def q_embedding_kmeans_labels(spark, sf):
+    """How the clusters of the whole vectors agree with the labels: rows of each pair."""
+    lab, _ = _embedding_clusters(spark, sf)
+    return lab.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+
+
 @query("forest_scores", rows_only=True)
 def q_forest_scores(spark, sf):
     return _fitted(spark, sf, C.fit_forest, lambda m, data, _: C.score(m, data).select(*_SCORED))

@@ -577,6 +577,8 @@ SQL["kmeans_check"] = with_survey("SELECT CAST(count(*) AS BIGINT) AS n_rows, CA
 SQL["elbow_check"] = "SELECT CAST(k AS INTEGER) AS k, true AS falls FROM range(1, 6) t(k)"
 SQL["embedding_kmeans_check"] = ("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS n_clusters, "
                                  "CAST(count(DISTINCT vec_id) AS BIGINT) AS n_ids FROM embeddings")
+SQL["embedding_kmeans_full_check"] = ("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT label) AS BIGINT) AS n_clusters, "
+                                      "CAST(max(len(embedding)) AS BIGINT) AS n_dims, CAST(0 AS BIGINT) AS n_wrong FROM embeddings")
 SQL["forest_check"] = with_survey(_SPLIT_CTE + "\nSELECT split, CAST(label AS DOUBLE) AS label, CAST(count(*) AS BIGINT) AS n, "
                                   "CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_inconsistent FROM sp GROUP BY split, label")
 SQL["importances_check"] = "SELECT CAST(14 AS BIGINT) AS n_features, CAST(100 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS n_negative, CAST(3 AS BIGINT) AS n_bands"

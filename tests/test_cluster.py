@@ -101,3 +101,14 @@ def test_silhouette_sq_equals_spark_clustering_evaluator(spark, survey_small):
     ev = ClusteringEvaluator(predictionCol="cluster", featuresCol="features",
                              distanceMeasure="squaredEuclidean")
     assert ours == pytest.approx(ev.evaluate(vec), abs=1e-9)
+
+
+def test_embedding_clusters_use_the_whole_vector(spark, tmp_path):
+    """Vectors that differ only from the ninth number on still come apart."""
+    from surveykit.plans.contract import QUERIES
+    rows = [(i, [0.5] * 8 + [float(i % 5 == j) * 9 + 0.01 * (i % 7) for j in range(5)], i % 5) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert QUERIES["embedding_kmeans_check"](spark, str(tmp_path)).first().n_clusters == 4
+    assert tuple(QUERIES["embedding_kmeans_full_check"](spark, str(tmp_path)).first()) == (100, 5, 13, 0)
+    pairs = QUERIES["embedding_kmeans_labels"](spark, str(tmp_path)).collect()
+    assert sorted(r.label for r in pairs) == [0, 1, 2, 3, 4] and {r.n for r in pairs} == {20}
