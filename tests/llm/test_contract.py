@@ -13,7 +13,7 @@ from surveykit.llm.queries import QUERIES, SQL  # noqa: E402
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
