@@ -1,11 +1,12 @@
 """Market-basket analysis.
 
-Two ways to count itemsets:
+Three ways to count itemsets:
 
 * flag columns (a handful of items): each respondent becomes a bitmask, respondents
   are pre-aggregated per (group, mask) with a partial/final count, and only the
   distinct masks (at most 2^m per group) are expanded into their sub-itemsets, so a
   hot group costs nothing extra.
+* many flag columns: level by level, every group at its own threshold (``wide_itemsets``).
 * array baskets of any width: Spark ML ``FPGrowth`` (parallel FP-growth); its result is
   re-filtered with exact integer arithmetic so support boundaries never depend on a
   rounding bit.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import band, flag
 from ..session import written
 from ..spec import DEFAULT_SPEC, LIFT_BAND_ELSE, LIFT_BANDS, MIN_LIFT, MIN_SUPPORT, SurveySpec
+from .wide_itemsets import wide_itemsets
 
 #: Flag columns up to which itemsets are counted by bitmask.
 MASK_COLUMNS = 16
@@ -72,12 +74,12 @@ def frequent_itemsets_flags(df: DataFrame, cols: Sequence[str], names: Sequence[
                             null_as: bool = False) -> DataFrame:
     """B2 on flag columns: (by..., items, size, freq, n, support) with support >= min.
 
-    A few columns are counted by bitmask; many go through FP-growth, with the group as one
-    more item of each basket.
+    A few columns are counted by bitmask; many are mined level by level, each group at its
+    own threshold.
     """
     by = list(by)
     if len(cols) > MASK_COLUMNS:
-        return _itemsets_by_group(df, cols, names, min_support, by, null_as)
+        return wide_itemsets(df, cols, names, min_support, by, null_as)
     return _itemsets_from_masks(mask_counts(df, cols, by, null_as), names, min_support, by)
 
 
@@ -106,27 +108,6 @@ def _itemsets_from_masks(mc: DataFrame, names: Sequence[str], min_support: float
                        (F.col("freq") / F.col("n")).alias("support"))
 
 
-def _itemsets_by_group(df: DataFrame, cols: Sequence[str], names: Sequence[str], min_support: float,
-                       by: Sequence[str], null_as: bool) -> DataFrame:
-    """Frequent itemsets of wide flag rows within each group: the group rides along as an
-    item, mining goes down to the smallest group's threshold, and each group's own
-    threshold is tested exactly on what comes out."""
-    group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
-    tag = F.concat(F.lit("\x00"), group)
-    rows = to_baskets(df.withColumn("_group", tag), cols, names, "_group", null_as).select(
-        "_group", F.concat(F.array("_group"), "items").alias("items"))
-    sizes = written(df.groupBy(*by, tag.alias("_group")).agg(F.count(F.lit(1)).alias("n")), "groups")
-    least, total = sizes.agg(F.min("n"), F.sum("n")).first()
-    mined = frequent_itemsets(rows, min_support * (least or 0) / (total or 1))
-    tags = F.filter("items", lambda x: F.substring(x, 1, 1) == "\x00")
-    own = mined.where((F.size(tags) == 1) & (F.col("size") > 1)).select(
-        F.element_at(tags, 1).alias("_group"), F.filter("items", lambda x: F.substring(x, 1, 1) != "\x00").alias("items"), "freq")
-    kept = own.join(sizes, "_group").where(
-        _dec(F.col("freq")) * _SCALE >= _dec(F.col("n")) * _ppm(min_support))
-    return kept.select(*by, "items", F.size("items").cast("int").alias("size"), "freq",
-                       F.col("n").cast("bigint").alias("n"), (F.col("freq") / F.col("n")).alias("support"))
-
-
 def frequent_itemsets(baskets: DataFrame, min_support: float = MIN_SUPPORT,
                       items_col: str = "items", num_partitions: int | None = None) -> DataFrame:
     """B2 for array baskets: FP-growth → (items, size, freq, n, support).

@@ -738,3 +738,6 @@ def q_report_tables(spark, sf):
     tables = D.report_tables(S(spark, sf), _scored(spark, sf))
     out = D.write_results(tables, scratch_path(spark, f"report-{uuid.uuid4().hex}"))
     return out.select("table", "rows")
+
+
+from . import contract_scale  # noqa: E402,F401  (registers its queries)

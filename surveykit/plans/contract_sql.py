@@ -595,3 +595,8 @@ SELECT Segment, Q2_Vehicle_Brand, n FROM (
   SELECT Segment, Q2_Vehicle_Brand, CAST(count(*) AS BIGINT) AS n,
          row_number() OVER (PARTITION BY Segment ORDER BY count(*) DESC, Q2_Vehicle_Brand) AS rk
   FROM gaps WHERE Segment IS NOT NULL AND Q2_Vehicle_Brand IS NOT NULL GROUP BY Segment, Q2_Vehicle_Brand) t WHERE rk = 1""")
+
+
+from .contract_sql_scale import SQL as _SCALE  # noqa: E402
+
+SQL.update(_SCALE)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..spec import SURVEY_COLUMNS
+from ..spec import FRICTION_COLS, FRICTION_NAMES, MODULE_COLS, MODULE_NAMES, SURVEY_COLUMNS
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -226,3 +226,28 @@ def with_gaps(survey: DataFrame) -> DataFrame:
     """The survey with the cells of column j null where (7 * respondent_id + j) % 11 = 0."""
     return survey.withColumns({c: F.when((F.col("respondent_id") * 7 + j) % GAP_EVERY != 0, F.col(c))
                                for j, c in enumerate(GAP_COLUMNS)})
+
+
+# ---- fixed values: twenty yes/no statements about a respondent, true in any SQL engine alike ----
+WIDE_FLAGS: list[tuple[str, str]] = [
+    *[(name, f"{col} = 1") for name, col in zip(FRICTION_NAMES + MODULE_NAMES, FRICTION_COLS + MODULE_COLS)],
+    *[(f"Severity {k}+", f"Q5_Rattle_Severity_Scale >= {k}") for k in (2, 3, 4, 5)],
+    *[(f"Style {s}", f"Q3_Aesthetic_Style = '{s}'") for s in (STYLE_RULES[0][1], STYLE_RULES[1][1], STYLE_ELSE)],
+    ("Cheap above 15", "Q8_Price_Too_Cheap >= 15"), ("Bargain above 70", "Q9_Price_Bargain >= 70"),
+    ("Expensive above 140", "Q10_Price_Expensive >= 140"), ("Too expensive above 300", "Q11_Price_Too_Expensive >= 300"),
+]
+
+
+def wide_flags(survey: DataFrame) -> DataFrame:
+    """(respondent_id, Segment, f0..): the statements as 0/1 columns, null where one can't be told."""
+    return survey.select("respondent_id", "Segment", *[
+        F.expr(cond).cast("int").alias(f"f{j}") for j, (_, cond) in enumerate(WIDE_FLAGS)])
+
+
+def order_lines(spark: SparkSession, sf_dir: str, item: str) -> DataFrame:
+    """Long-form baskets of the orders: (basket_id = order, item = ``l_partkey`` or the part's type)."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("basket_id"), "l_partkey")
+    if item == "l_partkey":
+        return li.select("basket_id", F.col("l_partkey").alias("item"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col(item).alias("item"))
+    return li.join(part, li.l_partkey == part.p_partkey).select("basket_id", "item")
