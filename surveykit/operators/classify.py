@@ -13,12 +13,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..spec import DEFAULT_SPEC, MODEL_FEATURE_LABELS, RULE_FEATURE_LABELS, SEED, SurveySpec
 
 
 #: Trees grow as deep as Spark ML allows (the original grows them without a limit).
 MAX_DEPTH = 30
+#: Memory of a task for the statistics of the nodes that one pass splits.
+PASS_MEMORY_MB = 1024
 
 
 def hash_bucket(id_col: str | Column, salt: str, buckets: int = 100) -> Column:
@@ -107,11 +110,16 @@ def feature_vectors(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame
 def fit_forest(train: DataFrame, spec: SurveySpec = DEFAULT_SPEC, num_trees: int = 300,
                max_depth: int = MAX_DEPTH, seed: int = SEED, max_bins: int = 128,
                subsampling_rate: float = 1.0):
-    """Random forest (√features per split, bootstrap, full depth) on feature vectors."""
+    """Random forest (√features per split, bootstrap, full depth) on feature vectors.
+
+    Deep trees keep each row's node from level to level instead of walking every tree again
+    (its lineage is cut in the checkpoint folder), and split more nodes in one pass.
+    """
     from pyspark.ml.regression import RandomForestRegressor
     rf = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees,
                                maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
-                               maxBins=max_bins, subsamplingRate=subsampling_rate)
+                               maxBins=max_bins, subsamplingRate=subsampling_rate,
+                               cacheNodeIds=True, maxMemoryInMB=PASS_MEMORY_MB)
     return rf.fit(train)
 
 
@@ -149,10 +157,25 @@ def score(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
         "intent_band", F.when(pred == 1, "high").otherwise("low"))
 
 
+def node_importances(nodes: list[dict], features: int) -> list[float]:
+    """Each feature's share of the impurity that a tree given by its nodes removes."""
+    by_id = {n["id"]: n for n in nodes}
+    gain = [0.0] * features
+    for n in nodes:
+        if n["leftChild"] >= 0:
+            below = (by_id[n["leftChild"]], by_id[n["rightChild"]])
+            left = sum(b["rawCount"] * b["prediction"] * (1 - b["prediction"]) for b in below)
+            gain[n["feature"]] += n["rawCount"] * n["prediction"] * (1 - n["prediction"]) - left
+    return [g / (sum(gain) or 1.0) for g in gain]
+
+
 def importances(model, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame:
     """(feature, label, importance ×100) ascending — one row per feature."""
+    return importance_table(model.featureImportances.toArray().tolist(), spec)
+
+
+def importance_table(vals: Sequence[float], spec: SurveySpec = DEFAULT_SPEC) -> DataFrame:
     spark = _spark()
-    vals = model.featureImportances.toArray().tolist()
     rows = [(f, lab, float(v) * 100) for f, lab, v in zip(spec.model_features, MODEL_FEATURE_LABELS, vals)]
     return spark.createDataFrame(rows, "feature string, label string, importance double") \
         .orderBy("importance", "feature")
@@ -212,27 +235,66 @@ def _condition_text(feature: str, op: str, thr: float) -> str:
     return f"{label} {op} {thr:.2f}"
 
 
-def tree_rules(model, data: DataFrame, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame:
-    """One IF-THEN rule per leaf: (rule_id, conditions, predicted class, leaf
-    probability, rows reached in ``data``). Counts come from one aggregation of one
-    predicate per leaf; the predicates partition the rows."""
-    spark = _spark()
-    rules = _rules_from_nodes(tree_nodes(model), spec.model_features)
-    preds = []
-    for r in rules:
-        e = F.lit(True)
-        for f, op, t in r["conds"]:
-            e = e & ((F.col(f) <= F.lit(t)) if op == "<=" else (F.col(f) > F.lit(t)))
-        preds.append(e)
-    counts = data.agg(*[F.count_if(p).alias(f"r{i}") for i, p in enumerate(preds)]).first()
+def leaf_counts(model, data: DataFrame) -> DataFrame:
+    """(tree, leaf, n): rows of ``data`` that end in each leaf, by the model's own leaf numbers
+    (a tree's leaves from left to right); leaves without rows are left out. For a single tree
+    (tree 0) and for ensembles."""
+    from pyspark.ml.functions import vector_to_array
+    out = model.copy().setLeafCol("_leaf").transform(data.select("features"))
+    if isinstance(out.schema["_leaf"].dataType, T.DoubleType):
+        leaves = out.select(F.lit(0).alias("tree"), F.col("_leaf").cast("int").alias("leaf"))
+    else:
+        leaves = out.select(F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf")).select("tree", F.col("leaf").cast("int"))
+    return leaves.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
+
+
+def _rules_frame(rules: list[dict], counts: dict[int, int]) -> DataFrame:
     rows = [(i, [_condition_text(*c) for c in r["conds"]], int(r["prediction"] > 0.5),
-             r["prediction"], int(counts[f"r{i}"]), int(r["n_model"]))
-            for i, r in enumerate(rules)]
-    return spark.createDataFrame(
+             r["prediction"], int(counts.get(i, 0)), int(r["n_model"])) for i, r in enumerate(rules)]
+    return _spark().createDataFrame(
         rows, "rule_id int, conditions array<string>, prediction int, probability double, "
               "n bigint, n_train bigint")
 
 
+def tree_rules(model, data: DataFrame, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame:
+    """One IF-THEN rule per leaf: (rule_id, conditions, predicted class, leaf
+    probability, rows reached in ``data``). Rules are numbered as the model numbers its
+    leaves; the rows come from one count per leaf."""
+    rules = _rules_from_nodes(tree_nodes(model), spec.model_features)
+    counts = {r["leaf"]: r["n"] for r in leaf_counts(model, data).collect()}  # one row per leaf
+    return _rules_frame(rules, counts)
+
+
+def leaf_of(nodes: list[dict], features: Sequence[str]) -> Column:
+    """The number of the leaf that a row ends in, for a tree given by its nodes: one nested
+    condition, so a row tests one path. A null is not above a threshold and goes left."""
+    by_id, numbers = {n["id"]: n for n in nodes}, iter(range(len(nodes)))
+
+    def at(node: dict) -> Column:
+        if node["leftChild"] < 0:
+            return F.lit(next(numbers))
+        left, right = at(by_id[node["leftChild"]]), at(by_id[node["rightChild"]])
+        return F.when(F.col(features[node["feature"]]) > F.lit(float(node["thr"][0])), right).otherwise(left)
+
+    return at(by_id[min(by_id)])
+
+
+def score_by_nodes(df: DataFrame, nodes: list[dict], spec: SurveySpec = DEFAULT_SPEC, threshold: float = 0.5) -> DataFrame:
+    """M13 for a tree given by its nodes (read back, or written by hand): adds ``leaf``,
+    ``score``, ``prediction`` and ``intent_band``."""
+    rules = _rules_from_nodes(nodes, spec.model_features)
+    scores = F.array(*[F.lit(float(r["prediction"])) for r in rules])
+    out = df.withColumn("leaf", leaf_of(nodes, spec.model_features)).withColumn("score", F.get(scores, F.col("leaf")))
+    prediction = (F.col("score") > threshold).cast("int")
+    return out.withColumn("prediction", prediction).withColumn("intent_band", F.when(prediction == 1, "high").otherwise("low"))
+
+
+def rules_by_nodes(df: DataFrame, nodes: list[dict], spec: SurveySpec = DEFAULT_SPEC) -> DataFrame:
+    """M16 for a tree given by its nodes."""
+    counted = score_by_nodes(df, nodes, spec).groupBy("leaf").agg(F.count("*").alias("n")).collect()
+    return _rules_frame(_rules_from_nodes(nodes, spec.model_features), {r["leaf"]: r["n"] for r in counted})
+
+
 def first_rules_per_class(rules: DataFrame, k: int = 5) -> DataFrame:
     """The first k rules of each predicted class."""
     from pyspark.sql import Window
@@ -264,6 +326,11 @@ def cross_validate(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = 5,
     return spark.createDataFrame(rows, "fold int, auc double")
 
 
+def score_new_rows(store, key: str, reader, df: DataFrame, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame:
+    """M13 from a stored model: survey rows of any later batch, scored without a fit."""
+    return score(store.load(key, reader), feature_vectors(df, spec))
+
+
 def predict_profile(model, spark, profile: dict, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame:
     """Live predictor (S5 + M13): one literal respondent profile → class, probability, band.
     ``profile`` maps model feature columns to values (0/1 flags, score, four prices)."""

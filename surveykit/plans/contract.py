@@ -7,6 +7,7 @@ bit of a floating-point sum.
 """
 from __future__ import annotations
 
+import inspect
 import uuid
 from collections.abc import Callable
 
@@ -21,6 +22,7 @@ from ..operators import decide as D
 from ..operators import describe as A
 from ..operators import metrics as M
 from ..operators import pricing as V
+from ..operators.model_store import ModelStore
 from ..sources.fixture import (SURVEYS, event_baskets, fixed_centres, order_baskets, rule_scores,
                                survey_frame, table, with_gaps)
 from ..session import scratch_path, written
@@ -554,12 +556,23 @@ def _train_test(spark, sf):
     return C.feature_vectors(C.stratified_split_exact(S(spark, sf)))
 
 
+def _model(spark, train, fit):
+    """The library's default model of ``train``, from the session's model store: queries that
+    need the same one share one fit."""
+    from pyspark.ml.classification import GBTClassificationModel
+    from pyspark.ml.regression import DecisionTreeRegressionModel, RandomForestRegressionModel
+    reader = {C.fit_forest: RandomForestRegressionModel, C.fit_tree: DecisionTreeRegressionModel,
+              C.fit_boosted: GBTClassificationModel}[fit]
+    params = {k: p.default for k, p in inspect.signature(fit).parameters.items() if isinstance(p.default, (int, float))}
+    return ModelStore(spark).fit_or_load(train, fit.__name__, params, [*SPEC.model_features, "label"], fit, reader)
+
+
 def _fitted(spark, sf, fit, use):
     """``use(model, data, train)`` as a written table, the vectors held meanwhile."""
     data = _train_test(spark, sf).persist()
     try:
         train = data.where(F.col("split") == "train")
-        return written(use(fit(train), data, train), "fitted")
+        return written(use(_model(spark, train, fit), data, train), "fitted")
     finally:
         data.unpersist()
 
@@ -672,8 +685,8 @@ def q_model_comparison(spark, sf):
     data = _train_test(spark, sf).persist()
     try:
         train = data.where(F.col("split") == "train")
-        models = {"decision_tree": C.fit_tree(train), "random_forest": C.fit_forest(train),
-                  "boosted_trees": C.fit_boosted(train)}
+        models = {"decision_tree": _model(spark, train, C.fit_tree), "random_forest": _model(spark, train, C.fit_forest),
+                  "boosted_trees": _model(spark, train, C.fit_boosted)}
         return written(M.compare_models({k: M.model_metrics(written(C.score(m, data).select(*_SCORED), "scored"))
                                          for k, m in models.items()}), "comparison")
     finally:
@@ -728,7 +741,7 @@ def q_score_new_rows(spark, sf):
 def q_live_predictor(spark, sf):
     """The forest's answer for one profile: the survey's average respondent."""
     means = S(spark, sf).agg(*[F.avg(c).alias(c) for c in SPEC.model_features]).first().asDict()
-    profile = {c: float(v) if "Price" in c else int(round(float(v))) for c, v in means.items()}
+    profile = {c: None if v is None else float(v) if "Price" in c else int(round(float(v))) for c, v in means.items()}
     return _fitted(spark, sf, C.fit_forest, lambda m, *_: C.predict_profile(m, spark, profile).select(
         "score", "prediction", "intent_band"))
 

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from ..operators import cooccurrence as O
 from ..operators import baskets as B
-from ..sources.fixture import WIDE_FLAGS, event_baskets, order_lines, wide_flags
+from ..operators import classify as C
+from ..operators.model_store import table_fingerprint
+from ..sources.fixture import FIXED_TREE, WIDE_FLAGS, event_baskets, order_lines, wide_flags, with_gaps
+from ..spec import DEFAULT_SPEC as SPEC
 from .contract import S, query
 
 # ---- co-occurrence of long baskets --------------------------------------------------------
@@ -49,3 +52,79 @@ def q_wide_itemsets(spark, sf):
 def q_wide_rule_kpis(spark, sf):
     """The rules of those itemsets: how many, the largest lift, the mean confidence."""
     return B.rule_kpis(B.association_rules(_wide_itemsets(spark, sf), 1.0, ["Segment"]), ["Segment"])
+
+
+# ---- a tree written by hand: rules, scores and importances with values that SQL can state --------
+def _rule_view(rules):
+    return rules.select("rule_id", F.array_join("conditions", " AND ").alias("conditions_text"), "prediction", "probability", "n")
+
+
+@query("fixed_tree_rules")
+def q_fixed_tree_rules(spark, sf):
+    return _rule_view(C.rules_by_nodes(with_gaps(S(spark, sf)), FIXED_TREE))
+
+
+@query("fixed_tree_first_rules")
+def q_fixed_tree_first_rules(spark, sf):
+    """The first two rules of each predicted class."""
+    first = C.first_rules_per_class(C.rules_by_nodes(S(spark, sf), FIXED_TREE), 2)
+    return _rule_view(first)
+
+
+@query("fixed_tree_rules_for_class")
+def q_fixed_tree_rules_for_class(spark, sf):
+    return _rule_view(C.rules_for_class(C.rules_by_nodes(S(spark, sf), FIXED_TREE), 1))
+
+
+@query("fixed_tree_scores")
+def q_fixed_tree_scores(spark, sf):
+    """Every respondent, cells missing here and there, scored by the tree."""
+    return C.score_by_nodes(with_gaps(S(spark, sf)), FIXED_TREE).select(
+        "respondent_id", "leaf", "score", "prediction", "intent_band")
+
+
+@query("fixed_tree_profile")
+def q_fixed_tree_profile(spark, sf):
+    """The live predictor's path: the respondent of the middle id, entered as one literal row."""
+    from ..sources.survey import survey_rows
+    cols = [SPEC.id_col, *SPEC.model_features]
+    row = S(spark, sf).select(*cols).where(F.col(SPEC.id_col) >= S(spark, sf).agg(F.avg(SPEC.id_col)).first()[0]).orderBy(SPEC.id_col).first()
+    return C.score_by_nodes(survey_rows(spark, [list(row)] if row else [], cols), FIXED_TREE).select(
+        "respondent_id", "score", "prediction", "intent_band")
+
+
+@query("fixed_tree_importances")
+def q_fixed_tree_importances(spark, sf):
+    """Importances of the tree grown with its splits on this survey, ascending, with bands."""
+    scored = C.score_by_nodes(S(spark, sf), FIXED_TREE)
+    at = scored.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(SPEC.target_col).alias("y")).collect()
+    found = {r["leaf"]: (r["n"], r["y"]) for r in at}
+    numbers = iter(range(len(FIXED_TREE)))
+    by_id, grown = {n["id"]: n for n in FIXED_TREE}, []
+
+    def grow(i):
+        node = by_id[i]
+        if node["leftChild"] < 0:
+            n, y = found.get(next(numbers), (0, 0))
+        else:
+            n, y = (a + b for a, b in zip(grow(node["leftChild"]), grow(node["rightChild"])))
+        grown.append({**node, "rawCount": n, "prediction": y / n if n else 0.0})
+        return n, y
+
+    grow(0)
+    table = C.importance_table(C.node_importances(grown, len(SPEC.model_features)))
+    return C.tercile_band(table, "importance").select("feature", "label", "importance", "band")
+
+
+@query("fingerprint_variants")
+def q_fingerprint_variants(spark, sf):
+    """Which changes of the survey leave the model store's key as it is."""
+    df, cols = S(spark, sf), [*SPEC.model_features, SPEC.target_col]
+    first = F.col("respondent_id") == df.agg(F.min("respondent_id")).first()[0]
+    price = F.when(first, F.col(SPEC.model_features[-1]) + 0.01).otherwise(F.col(SPEC.model_features[-1]))
+    variants = {"as it is": df, "other order": df.repartition(7, "Q2_Vehicle_Brand").sortWithinPartitions(F.desc("respondent_id")),
+                "one cell changed": df.withColumn(SPEC.model_features[-1], price), "one row less": df.where(~first),
+                "one row twice": df.unionAll(df.where(first))}
+    own = table_fingerprint(df, cols)
+    rows = [(name, v.count(), table_fingerprint(v, cols) == own) for name, v in variants.items()]
+    return spark.createDataFrame(rows, "variant string, n_rows bigint, same boolean")

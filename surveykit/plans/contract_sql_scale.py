@@ -1,7 +1,8 @@
 """DuckDB twins of the queries in ``contract_scale``."""
 from __future__ import annotations
 
-from ..sources.fixture import WIDE_FLAGS
+from ..sources.fixture import GAP_COLUMNS, GAP_EVERY, WIDE_FLAGS
+from ..spec import MODEL_FEATURE_LABELS, MODEL_FEATURES, SURVEY_COLUMNS
 from .sql_twins import _q, with_survey
 
 SQL: dict[str, str] = {}
@@ -51,3 +52,54 @@ SQL["wide_rule_kpis_by_segment"] = with_survey(_WIDE + """
 SELECT Segment, count(*) AS n_rules, max((CAST(f AS DOUBLE) / n) / (CAST(fa AS DOUBLE) / n) / (CAST(fc AS DOUBLE) / n)) AS max_lift,
        avg((CAST(f AS DOUBLE) / n) / (CAST(fa AS DOUBLE) / n)) AS mean_confidence
 FROM wj WHERE CAST(f AS HUGEINT) * n >= CAST(fa AS HUGEINT) * fc GROUP BY Segment""")
+
+
+# ---- the tree written by hand, its paths spelled out -------------------------------------------
+_GAPS = ", gaps AS (SELECT " + ", ".join(
+    f"CASE WHEN (respondent_id * 7 + {GAP_COLUMNS.index(c)}) % {GAP_EVERY} <> 0 THEN {c} END AS {c}" if c in GAP_COLUMNS else c
+    for c in SURVEY_COLUMNS) + " FROM survey)"
+_LEAF = """CASE WHEN Q10_Price_Expensive > 240 THEN
+    CASE WHEN Q4_Friction_Wobble > 0.5 THEN CASE WHEN Q8_Price_Too_Cheap > 15.25 THEN 5 ELSE 4 END ELSE 3 END
+  ELSE CASE WHEN Q6_Module_MagSafe > 0.5 THEN CASE WHEN Q5_Rattle_Severity_Scale > 2.5 THEN 2 ELSE 1 END ELSE 0 END END"""
+_LEAVES = """(VALUES
+  (0, 'Expensive Price ($) <= 240.00 AND Wants MagSafe = No', 0, 0.10::DOUBLE),
+  (1, 'Expensive Price ($) <= 240.00 AND Wants MagSafe = Yes AND Rattle Severity (1–5) <= 2.50', 0, 0.25),
+  (2, 'Expensive Price ($) <= 240.00 AND Wants MagSafe = Yes AND Rattle Severity (1–5) > 2.50', 1, 0.625),
+  (3, 'Expensive Price ($) > 240.00 AND Friction: Wobble = No', 1, 0.55),
+  (4, 'Expensive Price ($) > 240.00 AND Friction: Wobble = Yes AND Too Cheap Price ($) <= 15.25', 1, 0.80),
+  (5, 'Expensive Price ($) > 240.00 AND Friction: Wobble = Yes AND Too Cheap Price ($) > 15.25', 1, 1.00)
+) v(rule_id, conditions_text, prediction, probability)"""
+
+
+def _fixed_rules(src: str, where: str = "true") -> str:
+    return with_survey(_GAPS + f""", lc AS (SELECT {_LEAF} AS leaf, count(*) AS n FROM {src} GROUP BY ALL)
+SELECT rule_id, conditions_text, prediction, probability, CAST(coalesce(n, 0) AS BIGINT) AS n
+FROM {_LEAVES} LEFT JOIN lc ON leaf = rule_id WHERE {where}""")
+
+
+SQL["fixed_tree_rules"] = _fixed_rules("gaps")
+SQL["fixed_tree_first_rules"] = _fixed_rules("survey", "rule_id IN (0, 1, 2, 3)")
+SQL["fixed_tree_rules_for_class"] = _fixed_rules("survey", "prediction = 1")
+_SCORED = """SELECT respondent_id, leaf, probability AS score, prediction,
+       CASE WHEN prediction = 1 THEN 'high' ELSE 'low' END AS intent_band FROM sc JOIN """ + _LEAVES + " ON leaf = rule_id"
+SQL["fixed_tree_scores"] = with_survey(_GAPS + f", sc AS (SELECT respondent_id, {_LEAF} AS leaf FROM gaps)\n{_SCORED}")
+SQL["fixed_tree_profile"] = with_survey(f""", sc AS (SELECT respondent_id, {_LEAF} AS leaf FROM survey
+  WHERE respondent_id >= (SELECT avg(respondent_id) FROM survey) ORDER BY respondent_id LIMIT 1)
+SELECT respondent_id, score, prediction, intent_band FROM ({_SCORED}) q""")
+_FEATURE_ROWS = ", ".join(f"({_q(f)}, {_q(lab)})" for f, lab in zip(MODEL_FEATURES, MODEL_FEATURE_LABELS))
+SQL["fixed_tree_importances"] = with_survey(f""", sc AS (SELECT {_LEAF} AS leaf, Q12_Reserve_Slot_Intent AS y FROM survey),
+splits AS (SELECT * FROM (VALUES ('Q10_Price_Expensive', [0, 1, 2], [3, 4, 5]), ('Q6_Module_MagSafe', [0], [1, 2]),
+  ('Q5_Rattle_Severity_Scale', [1], [2]), ('Q4_Friction_Wobble', [3], [4, 5]), ('Q8_Price_Too_Cheap', [4], [5])) v(feature, l, r)),
+sides AS (SELECT feature, count(*) FILTER (list_contains(l, leaf)) AS nl, count(*) FILTER (list_contains(r, leaf)) AS nr,
+  CAST(coalesce(sum(y) FILTER (list_contains(l, leaf)), 0) AS DOUBLE) AS yl, CAST(coalesce(sum(y) FILTER (list_contains(r, leaf)), 0) AS DOUBLE) AS yr
+  FROM splits, sc GROUP BY feature),
+gains AS (SELECT feature, coalesce((yl + yr) * (1 - (yl + yr) / nullif(nl + nr, 0)), 0) - coalesce(yl * (1 - yl / nullif(nl, 0)), 0)
+  - coalesce(yr * (1 - yr / nullif(nr, 0)), 0) AS gain FROM sides),
+imp AS (SELECT f.feature, f.label, 100 * coalesce(gain, 0) / (SELECT sum(gain) FROM gains) AS importance
+  FROM (VALUES {_FEATURE_ROWS}) f(feature, label) LEFT JOIN gains USING (feature))
+SELECT feature, label, importance, CASE WHEN importance > (SELECT quantile_cont(importance, 0.66) FROM imp) THEN 'high'
+  WHEN importance > (SELECT quantile_cont(importance, 0.33) FROM imp) THEN 'mid' ELSE 'low' END AS band FROM imp""")
+SQL["fingerprint_variants"] = with_survey("""
+SELECT variant, CAST(count(*) + more AS BIGINT) AS n_rows, same FROM survey, (VALUES ('as it is', 0, true), ('other order', 0, true),
+  ('one cell changed', 0, false), ('one row less', -1, false), ('one row twice', 1, false)) v(variant, more, same)
+GROUP BY variant, more, same""")

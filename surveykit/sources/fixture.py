@@ -251,3 +251,20 @@ def order_lines(spark: SparkSession, sf_dir: str, item: str) -> DataFrame:
         return li.select("basket_id", F.col("l_partkey").alias("item"))
     part = table(spark, sf_dir, "part").select("p_partkey", F.col(item).alias("item"))
     return li.join(part, li.l_partkey == part.p_partkey).select("basket_id", "item")
+
+
+# ---- fixed values: a tree written by hand (feature = position among the model's features; rawCount and
+# prediction are what it claims of its training rows) ----
+FIXED_TREE: list[dict] = [
+    {"id": 0, "prediction": 0.40, "rawCount": 1000, "leftChild": 1, "rightChild": 6, "feature": 12, "thr": [240.0]},
+    {"id": 1, "prediction": 0.20, "rawCount": 600, "leftChild": 2, "rightChild": 3, "feature": 5, "thr": [0.5]},
+    {"id": 2, "prediction": 0.10, "rawCount": 400, "leftChild": -1, "rightChild": -1, "feature": -1, "thr": []},
+    {"id": 3, "prediction": 0.40, "rawCount": 200, "leftChild": 4, "rightChild": 5, "feature": 0, "thr": [2.5]},
+    {"id": 4, "prediction": 0.25, "rawCount": 120, "leftChild": -1, "rightChild": -1, "feature": -1, "thr": []},
+    {"id": 5, "prediction": 0.625, "rawCount": 80, "leftChild": -1, "rightChild": -1, "feature": -1, "thr": []},
+    {"id": 6, "prediction": 0.70, "rawCount": 400, "leftChild": 7, "rightChild": 8, "feature": 1, "thr": [0.5]},
+    {"id": 7, "prediction": 0.55, "rawCount": 200, "leftChild": -1, "rightChild": -1, "feature": -1, "thr": []},
+    {"id": 8, "prediction": 0.85, "rawCount": 200, "leftChild": 9, "rightChild": 10, "feature": 10, "thr": [15.25]},
+    {"id": 9, "prediction": 0.80, "rawCount": 150, "leftChild": -1, "rightChild": -1, "feature": -1, "thr": []},
+    {"id": 10, "prediction": 1.00, "rawCount": 50, "leftChild": -1, "rightChild": -1, "feature": -1, "thr": []},
+]
