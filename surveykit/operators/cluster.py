@@ -4,7 +4,8 @@ sweeps and cluster naming.
 Statistics that every row needs (means, deviations, per-cluster sums) are one-row or
 k-row aggregates attached as scalar subqueries, so the row-level work is a single
 projection inside whole-stage codegen. The silhouette is the exact squared-Euclidean
-one in closed form (O(n·k)); the all-pairs Euclidean variant is not built (see README).
+one in closed form (O(n·k)); the Euclidean one is estimated from a reference index
+(``silhouette_index``).
 """
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import recode
 from ..spec import DEFAULT_SPEC, SEED, SurveySpec
+from . import kmeans_sweep
 from .describe import group_mode, segment_profile, crosstab_rates
 
 
@@ -138,46 +140,26 @@ STARTS = tuple(range(SEED, SEED + 10))
 
 
 # ---- fitted k-means ------------------------------------------------------------------
-def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df)
-
-
 def fit_kmeans_many(std_df: DataFrame, cols: Sequence[str], ks: Sequence[int],
-                    seeds: Sequence[int] = STARTS, max_iter: int = 300, tol: float = 1e-4,
-                    parallelism: int = 4) -> dict:
-    """Fit every (k, seed) pair — independent Spark ML jobs run concurrently from a small
-    driver thread pool, like ``CrossValidator(parallelism=...)`` — and keep the lowest
-    training cost per k (ties → earlier seed). Returns {k: (model, cost, centres)}."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.clustering import KMeans
+                    seeds: Sequence[int] = STARTS, max_iter: int = 300, tol: float = 1e-4) -> dict:
+    """Fit every (k, seed) pair, all moving in the same scans (``kmeans_sweep``), and keep the
+    cheapest start per k (ties → earlier seed). Returns {k: (set, cost, centres)}; without
+    rows there is no fit."""
     if any(k < 2 for k in ks):
         raise ValueError("k >= 2; use total_sum_of_squares for k = 1")
-    vec = _vectors(std_df, cols).select("features").persist()
-    jobs = [(k, i, int(s)) for k in ks for i, s in enumerate(seeds)]
-
-    def fit(job):
-        k, i, s = job
-        m = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol="features").fit(vec)
-        return k, i, m, m.summary.trainingCost
-
+    x = F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("x")
+    vectors = std_df.select(x).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v))).persist()
     try:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as ex:
-            fitted = list(ex.map(fit, jobs))
+        best = kmeans_sweep.best_sets(kmeans_sweep.fit_sets(vectors, list(ks), [int(s) for s in seeds], max_iter, tol))
     finally:
-        vec.unpersist()
-    best: dict = {}
-    for k, i, m, cost in sorted(fitted, key=lambda r: (r[0], r[1])):
-        if k not in best or cost < best[k][1]:
-            best[k] = (m, cost, [list(map(float, c)) for c in m.clusterCenters()])
-    return best
+        vectors.unpersist()
+    return {k: (s, s.cost, s.centres.tolist()) for k, s in best.items()}
 
 
 def fit_kmeans(std_df: DataFrame, cols: Sequence[str], k: int, seeds: Sequence[int] = STARTS,
-               max_iter: int = 300, tol: float = 1e-4, parallelism: int = 4):
-    """M2: best of several k-means|| starts by training cost. Returns (model, cost, centres)."""
-    return fit_kmeans_many(std_df, cols, [k], seeds, max_iter, tol, parallelism)[k]
+               max_iter: int = 300, tol: float = 1e-4):
+    """M2: best of several k-means|| starts by training cost. Returns (set, cost, centres)."""
+    return fit_kmeans_many(std_df, cols, [k], seeds, max_iter, tol)[k]
 
 
 def kmeans_labels(std_df: DataFrame, cols: Sequence[str], k: int = 4,
@@ -188,16 +170,15 @@ def kmeans_labels(std_df: DataFrame, cols: Sequence[str], k: int = 4,
 
 
 def elbow(std_df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 10),
-          seeds: Sequence[int] = STARTS, max_iter: int = 300, parallelism: int = 4) -> DataFrame:
+          seeds: Sequence[int] = STARTS, max_iter: int = 300) -> DataFrame:
     """M3: (k, inertia); k = 1 is the exact total sum of squares, every other k one
-    best-of-seeds fit (all fits run concurrently)."""
+    best-of-seeds fit (all fits share their scans)."""
     spark = std_df.sparkSession
     ks = list(ks)
     rows = []
     if 1 in ks:
         rows.append((1, float(total_sum_of_squares(std_df, cols).first()["inertia"])))
-    fits = fit_kmeans_many(std_df, cols, [k for k in ks if k != 1], seeds, max_iter,
-                           parallelism=parallelism) if any(k != 1 for k in ks) else {}
+    fits = fit_kmeans_many(std_df, cols, [k for k in ks if k != 1], seeds, max_iter) if any(k != 1 for k in ks) else {}
     rows += [(int(k), float(fits[k][1])) for k in sorted(fits)]
     return spark.createDataFrame(rows, "k int, inertia double")
 
@@ -208,7 +189,7 @@ def silhouette_sweep(std_df: DataFrame, cols: Sequence[str], ks: Sequence[int] =
     """M4 sweep: (k, silhouette_sq) for each k, from one best-of-seeds fit per k."""
     from concurrent.futures import ThreadPoolExecutor
     spark = std_df.sparkSession
-    fits = fit_kmeans_many(std_df, cols, list(ks), seeds, max_iter, parallelism=parallelism)
+    fits = fit_kmeans_many(std_df, cols, list(ks), seeds, max_iter)
     persisted = std_df.select(*cols).persist()
     try:
         def sil(k):

@@ -598,8 +598,8 @@ def q_silhouette_sweep(spark, sf):
 
 @query("kmeans_check")
 def q_kmeans_check(spark, sf):
-    """Rows, clusters, and how many rows are in another cluster than the nearest centre's;
-    one more round of centres does not lower the cost by a thousandth."""
+    """Rows, clusters, how many rows are in another cluster than the nearest centre's, and
+    whether one more round of centres lowers the cost by a thousandth."""
     z = _std(spark, sf)
     _, cost, centres = K.fit_kmeans(z, FEATS, 4)
     lab = K.assign_clusters(z, FEATS, centres)
@@ -607,7 +607,11 @@ def q_kmeans_check(spark, sf):
                      for m in centres])
     nearest = F.array_min(dist)
     own = F.element_at(dist, F.col("cluster") + 1)
-    return lab.agg(F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"),
+    means = {r["cluster"]: [r[f"m{j}"] for j in range(len(FEATS))] for r in lab.groupBy("cluster").agg(
+        *[F.avg(c).alias(f"m{j}") for j, c in enumerate(FEATS)]).collect()}
+    moved = K.inertia(K.assign_clusters(z, FEATS, [means.get(i, m) for i, m in enumerate(centres)])).first()["inertia"]
+    return lab.agg(F.lit(bool(moved >= cost * 0.999)).alias("at_rest"),
+        F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"),
                    F.count_if(own > nearest + 1e-9).alias("n_wrong"),
                    (F.abs(F.sum(nearest) - F.lit(cost)) <= 1e-6 * F.lit(cost)).alias("cost_agrees"))
 
@@ -615,9 +619,10 @@ def q_kmeans_check(spark, sf):
 @query("elbow_check")
 def q_elbow_check(spark, sf):
     from pyspark.sql import Window
-    e = K.elbow(_std(spark, sf), FEATS, range(1, 6))
+    e = K.elbow(_std(spark, sf), FEATS, range(1, 10))
     w = Window.orderBy("k")
-    return e.select("k", F.coalesce(F.col("inertia") <= F.lag("inertia").over(w), F.lit(True)).alias("falls"))
+    return e.select("k", F.coalesce(F.col("inertia") <= F.lag("inertia").over(w), F.lit(True)).alias("falls"),
+                    F.when(F.col("k") == 1, F.col("inertia")).alias("inertia_k1"))
 
 
 def _embeddings(spark, sf):
@@ -627,19 +632,28 @@ def _embeddings(spark, sf):
     return e.select("*", *[F.col("embedding")[j].cast("double").alias(c) for j, c in enumerate(cols)]), cols
 
 
-def _embedding_clusters(spark, sf):
-    """The vectors in as many clusters as the table has labels, and the centres."""
+def _embedding_clusters(spark, sf, k=None):
+    """The vectors in ``k`` clusters (as many as the table has labels), and the centres."""
     e, cols = _embeddings(spark, sf)
-    _, _, centres = K.fit_kmeans(e, cols, e.agg(F.countDistinct("label")).first()[0])
+    _, _, centres = K.fit_kmeans(e, cols, k or e.agg(F.countDistinct("label")).first()[0])
     return K.assign_clusters(e, cols, centres), centres
 
 
+def _n_wrong(centres):
+    """Rows that are not at the nearest centre of their whole vector."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    dist = F.array(*[F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in c]), lambda a, b: (a - b) * (a - b)),
+                                 F.lit(0.0), lambda total, v: total + v) for c in centres])
+    right = F.element_at(dist, F.col("cluster") + 1) <= F.array_min(dist) + 1e-9
+    return F.count_if(~F.coalesce(right, F.lit(False))).alias("n_wrong")
+
+
 @query("embedding_kmeans_check")
 def q_embedding_kmeans_check(spark, sf):
-    """k-means on the whole embeddings: every row in one of k clusters, all of them used."""
-    e, cols = _embeddings(spark, sf)
-    return K.kmeans_labels(e, cols, 4).agg(
-        F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"), F.countDistinct("vec_id").alias("n_ids"))
+    """k-means on the whole embeddings: every row in one of k clusters, all of them used, each at its nearest centre."""
+    lab, centres = _embedding_clusters(spark, sf, 4)
+    return lab.agg(F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"),
+                   F.countDistinct("vec_id").alias("n_ids"), _n_wrong(centres))
 
 
 @query("embedding_kmeans_full_check")
@@ -647,13 +661,8 @@ def q_embedding_kmeans_full_check(spark, sf):
     """One cluster a label: rows, clusters, the centres' numbers, and how many rows are not at
     the nearest centre of their whole vector."""
     lab, centres = _embedding_clusters(spark, sf)
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    dist = F.array(*[F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in c]), lambda a, b: (a - b) * (a - b)),
-                                 F.lit(0.0), lambda total, v: total + v) for c in centres])
-    right = F.element_at(dist, F.col("cluster") + 1) <= F.array_min(dist) + 1e-9
     return lab.agg(F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"),
-                   F.lit(len(centres[0])).cast("long").alias("n_dims"),
-                   F.count_if(~F.coalesce(right, F.lit(False))).alias("n_wrong"))
+                   F.lit(len(centres[0])).cast("long").alias("n_dims"), _n_wrong(centres))
 
 
 @query("embedding_kmeans_labels", rows_only=True)

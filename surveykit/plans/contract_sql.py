@@ -573,10 +573,11 @@ _SPLIT_CTE = """, k AS (SELECT Q12_Reserve_Slot_Intent AS label, respondent_id,
 r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY h, respondent_id) AS rk, count(*) OVER (PARTITION BY label) AS nc FROM k),
 sp AS (SELECT label, CASE WHEN rk <= (nc * 50 + 100) // 200 THEN 'test' ELSE 'train' END AS split FROM r)"""
 SQL["kmeans_check"] = with_survey("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_wrong, "
-                                  "true AS cost_agrees FROM survey")
-SQL["elbow_check"] = "SELECT CAST(k AS INTEGER) AS k, true AS falls FROM range(1, 6) t(k)"
+                                  "true AS cost_agrees, true AS at_rest FROM survey")
+SQL["elbow_check"] = with_survey(_STD + "\nSELECT CAST(t.k AS INTEGER) AS k, true AS falls, CASE WHEN t.k = 1 THEN (SELECT sum("
+                                 + " + ".join(f"{c} * {c}" for c in F_) + ") FROM std) END AS inertia_k1 FROM range(1, 10) t(k)")
 SQL["embedding_kmeans_check"] = ("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS n_clusters, "
-                                 "CAST(count(DISTINCT vec_id) AS BIGINT) AS n_ids FROM embeddings")
+                                 "CAST(count(DISTINCT vec_id) AS BIGINT) AS n_ids, CAST(0 AS BIGINT) AS n_wrong FROM embeddings")
 SQL["embedding_kmeans_full_check"] = ("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT label) AS BIGINT) AS n_clusters, "
                                       "CAST(max(len(embedding)) AS BIGINT) AS n_dims, CAST(0 AS BIGINT) AS n_wrong FROM embeddings")
 SQL["forest_check"] = with_survey(_SPLIT_CTE + "\nSELECT split, CAST(label AS DOUBLE) AS label, CAST(count(*) AS BIGINT) AS n, "
