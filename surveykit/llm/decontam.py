@@ -4,10 +4,16 @@ Texts are bytes, A-Z lower-cased, white space collapsed. A passage within ``k``
 benchmark item of length ``m`` shares at least ``m - q + 1 - k * q`` q-grams with it, on
 diagonals (text position minus item position) that spread over at most ``k + 1``. So
 shared q-grams are counted in bands of ``2 * (k + 1)`` diagonals that overlap by half;
-bands that meet the bound are verified by a banded alignment.
+bands that meet the bound are verified by a banded alignment, all bands of an item at once.
 
-The benchmark is taken in blocks of at most ``BLOCK_BYTES``, each broadcast in turn, and
-every document is read whole: one scan per block, no shuffle but for more than one block.
+An item uses the longest q-gram with a bound of one at least, so its edits are never cut. A
+q-gram that an item repeats many times (a line of dashes) is not counted place by place: the
+diagonals that it covers go straight to the alignment. Long texts are searched in windows that
+overlap by more than a passage. All of this changes the work, not the result: an end of a passage
+is found if and only if some passage that ends there is within the item's edits.
+
+The benchmark is taken in blocks of at most ``BLOCK_BYTES``, one broadcast at a time; every
+document is read whole, one scan per block.
 """
 from __future__ import annotations
 
@@ -18,11 +24,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a q-gram; eight fill one unsigned 64-bit number exactly.
+from .common import discard, written
+
+#: Bytes of a q-gram, the longest that fits an item first; eight fill one unsigned 64-bit number.
+QS = (8, 5, 3, 2, 1)
+#: Items of fewer bytes are searched as whole words, without edits.
 Q = 8
 #: Edits allowed, as a share of the item's length.
 EDITS = 0.1
 BLOCK_BYTES = 8_000_000
+#: Bytes of a text searched at a time, hits held at a time, and how often an item may repeat a
+#: q-gram whose places are counted.
+WINDOW, HITS, REPEATS = 1 << 18, 1 << 21, 8
 _FILTER_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -31,16 +44,98 @@ def normal_bytes(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
-def grams(data: bytes) -> np.ndarray:
+def grams(data: bytes, q: int = Q) -> np.ndarray:
     """All q-grams as numbers, by position."""
-    n = len(data) - Q + 1
+    n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, dtype="<u8")
-    return np.ndarray(shape=(n,), dtype="<u8", buffer=data, strides=(1,))
+    code = np.ndarray(shape=(n,), dtype="<u8", buffer=data + bytes(8 - q), strides=(1,))
+    return code & np.uint64((1 << (8 * q)) - 1) if q < 8 else code
+
+
+def expanded(first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... times[0] numbers, then those of first[1], ..."""
+    return np.repeat(first - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+
+
+class GramTable:
+    """Sorted q-grams of some items with their (item, offset) postings, and the repeated ones apart."""
+
+    def __init__(self, q: int, items: list[int], data: list[bytes], edits: np.ndarray, bound: np.ndarray):
+        self.q, self.edits, self.bound = q, edits, bound
+        codes = [grams(data[i], q) for i in items]
+        flat = np.concatenate(codes) if codes else np.zeros(0, dtype="<u8")
+        item = np.repeat(np.array(items, dtype=np.int64), [len(c) for c in codes])
+        offset = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, dtype=np.int64)
+        order = np.lexsort((offset, item, flat))
+        flat, item, offset = flat[order], item[order], offset[order]
+        head = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (item[1:] != item[:-1])])) if len(flat) else np.zeros(0, np.int64)
+        many = np.diff(np.append(head, len(flat)))
+        often = many > REPEATS
+        last = np.append(head[1:], len(flat)) - 1
+        self.dense = self.table(flat[head[often]], item[head[often]], offset[head[often]], offset[last[often]])
+        some = np.repeat(~often, many)
+        self.rare = self.table(flat[some], item[some], offset[some], offset[some])
+        self.reach = int(offset.max()) + 1 if len(offset) else 1
+        self.maybe = np.zeros(1 << _FILTER_BITS, dtype=bool)
+        self.maybe[(flat * _MIX) >> np.uint64(64 - _FILTER_BITS)] = True
+
+    @staticmethod
+    def table(code: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple:
+        codes, first, times = np.unique(code, return_index=True, return_counts=True)
+        return codes, first, times, item, low, high
+
+    @staticmethod
+    def hits(table: tuple, code: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(position, item, first offset, last offset) of the q-grams found, some at a time."""
+        codes, first, times, item, low, high = table
+        if not len(codes) or not len(pos):
+            return
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        same = codes[at] == code
+        pos, at = pos[same], at[same]
+        ends = np.cumsum(times[at])
+        cut = 0
+        while cut < len(pos):
+            to = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + HITS, side="right")))
+            post = expanded(first[at[cut:to]], times[at[cut:to]])
+            yield np.repeat(pos[cut:to], times[at[cut:to]]), item[post], low[post], high[post]
+            cut = to
+
+    def bands(self, data: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, first band, last band) of the runs of bands that may hold a passage."""
+        code = grams(data, self.q)
+        pos = np.flatnonzero(self.maybe[(code * _MIX) >> np.uint64(64 - _FILTER_BITS)])
+        code = code[pos]
+        runs = []
+        for p, item, low, high in self.hits(self.dense, code, pos):
+            step = self.edits[item] + 1
+            runs.append((item, (p - high) // step - 1, (p - low) // step))
+        # an item position counts once in a band; each hit lies in two overlapping bands
+        most = int(self.edits.max()) + 1 if len(self.edits) else 1
+        base, size = -self.reach - most, len(data) + self.reach + 2 * most
+        seen = []
+        for p, item, offset, _ in self.hits(self.rare, code, pos):
+            band = (p - offset) // (self.edits[item] + 1)
+            keys = (np.concatenate([item, item]) * size + np.concatenate([band, band - 1]) - base) * self.reach + np.tile(offset, 2)
+            seen.append(np.unique(keys))
+        if seen:
+            of, count = np.unique(np.unique(np.concatenate(seen)) // self.reach, return_counts=True)
+            item, band = of // size, of % size + base
+            enough = count >= self.bound[item]
+            runs.append((item[enough], band[enough], band[enough]))
+        if not runs:
+            return
+        item, low, high = (np.concatenate(x) for x in zip(*runs))
+        order = np.lexsort((low, item))
+        item, low, high = item[order], low[order], high[order]
+        for i in np.unique(item).tolist():
+            mine = slice(*np.searchsorted(item, [i, i + 1]))
+            yield i, low[mine], np.maximum.accumulate(high[mine])
 
 
 class BenchmarkIndex:
-    """Sorted q-grams of the items with their (item, offset) postings."""
+    """Items of a benchmark, ready to be searched for in texts."""
 
     def __init__(self, items: Iterable[tuple[int, str | None]], edits: float = EDITS):
         items = [(i, normal_bytes(t)) for i, t in items]
@@ -49,82 +144,70 @@ class BenchmarkIndex:
         self.ids = [i for i, _ in items]
         self.bytes = [np.frombuffer(b, dtype=np.uint8) for _, b in items]
         length = np.array([len(b) for _, b in items], dtype=np.int64)
-        self.edits = np.minimum((length * edits).astype(np.int64), (length - Q) // Q)
-        self.bound = length - Q + 1 - self.edits * Q
-        codes = [grams(b) for _, b in items]
-        flat = np.concatenate(codes) if codes else np.zeros(0, dtype="<u8")
-        item = np.repeat(np.arange(len(items)), [len(c) for c in codes]) if codes else np.zeros(0, dtype=np.int64)
-        offset = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, dtype=np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.item, self.offset = item[order], offset[order]
-        self.codes, self.first, self.times = np.unique(flat[order], return_index=True, return_counts=True)
-        self.maybe = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.maybe[(self.codes * _MIX) >> np.uint64(64 - _FILTER_BITS)] = True
+        self.edits = (length * edits).astype(np.int64)
+        q = np.array([next(q for q in QS if m - q + 1 - k * q >= 1 or q == QS[-1]) for m, k in zip(length.tolist(), self.edits.tolist())], dtype=np.int64)
+        bound = np.maximum(length - q + 1 - self.edits * q, 1)
+        self.tables = [GramTable(x, np.flatnonzero(q == x).tolist(), [b for _, b in items], self.edits, bound) for x in QS if (q == x).any()]
+        #: More than the longest passage, so every passage lies in one window.
+        self.overlap = int((length + self.edits).max()) + 2 if len(length) else 0
+
+    def search(self, text: str | None) -> list[tuple]:
+        """(item id, end of the passage in the normalised bytes, edits), one per passage found.
 
-    def search(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item id, end of the passage in the normalised bytes, edits), one per passage found."""
+        Places where passages of an item end, no farther apart than its edits, are one passage;
+        it has the least edits of them and the first end with these.
+        """
         data = normal_bytes(text)
         found = []
-        for i, b in self.short:  # too short for a q-gram: whole words only, no edits
+        for i, b in self.short:
             at = (b" " + data + b" ").find(b" " + b + b" ")
             if at >= 0:
                 found.append((i, at + len(b), 0))
-        code = grams(data)
-        pos = np.flatnonzero(self.maybe[(code * _MIX) >> np.uint64(64 - _FILTER_BITS)])
-        if len(pos) and len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, code[pos]), len(self.codes) - 1)
-            same = self.codes[at] == code[pos]
-            pos, at = pos[same], at[same]
-        if not len(pos) or not len(self.codes):
-            return found
-        times = self.times[at]
-        post = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        pos, item, offset = np.repeat(pos, times), self.item[post], self.offset[post]
-        low = (pos - offset) // (self.edits[item] + 1)
-        # each hit lies in two overlapping bands; few bands have hits enough
-        band = np.concatenate([low, low - 1])
-        base = band.min()
-        key = np.tile(item, 2) * (int(band.max() - base) + 1) + (band - base)
-        bands, first, of, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        item, offset = np.tile(item, 2), np.tile(offset, 2)
-        body = np.frombuffer(data, dtype=np.uint8)
-        passages = set()
-        for n in np.flatnonzero(count >= self.bound[item[first]]):
-            s = first[n]
-            if len(np.unique(offset[of == n])) < self.bound[item[s]]:
-                continue  # an item position counts once in a band
-            i, at_band, k = int(item[s]), int(band[s]), int(self.edits[item[s]])
-            best, end = self.align(self.bytes[i], body, at_band * (k + 1) - k, (at_band + 2) * (k + 1) + k)
-            if best <= k:
-                passages.add((i, end, best))
-        merged: dict = {}
-        for i, end, best in sorted(passages):  # neighbouring bands find one passage twice
-            last = merged.get(i)
-            if last and end - last[-1][0] <= self.edits[i]:
-                last[-1] = min(last[-1], (end, best), key=lambda x: x[1])
-            else:
-                merged.setdefault(i, []).append((end, best))
-        return found + [(self.ids[i], end, best) for i, ends in merged.items() for end, best in ends]
+        ends: dict[int, list[np.ndarray]] = {}
+        window = max(WINDOW, 4 * self.overlap)
+        for at in range(0, max(1, len(data) - self.overlap), window - self.overlap):
+            part = data[at:at + window]
+            body = np.frombuffer(part, dtype=np.uint8)
+            for table in self.tables:
+                for i, low, high in table.bands(part):
+                    end, least = self.align(self.bytes[i], body, int(self.edits[i]), low, high)
+                    if len(end):
+                        ends.setdefault(i, []).append(np.stack([end + at, least]))
+        for i in sorted(ends):
+            end, least = np.concatenate(ends[i], axis=1)
+            order = np.lexsort((least, end))
+            end, least = end[order], least[order]
+            for group in np.split(np.arange(len(end)), np.flatnonzero(np.diff(end) > max(1, self.edits[i])) + 1):
+                best = group[np.argmin(least[group])]
+                found.append((self.ids[i], int(end[best]), int(least[best])))
+        return found
 
     @staticmethod
-    def align(item: np.ndarray, body: np.ndarray, low: int, high: int) -> tuple[int, int]:
-        """Least edits of the whole item against a passage on diagonals low..high; its end."""
-        width = high - low + 1
-        lanes = np.arange(width)
+    def align(item: np.ndarray, body: np.ndarray, k: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, edits) of the passages within ``k`` edits of the whole item, on the diagonals of
+        the runs of bands low..high. Passing from one run to the next costs every byte between."""
+        first = np.maximum(low * (k + 1) - k, -len(item))
+        last = np.minimum((high + 2) * (k + 1) + k, len(body))
+        apart = np.concatenate([[True], first[1:] > np.maximum.accumulate(last)[:-1]])
+        heads = np.flatnonzero(apart)
+        first, last = first[heads], np.maximum.reduceat(last, heads)
+        real = last >= first
+        first, last = first[real], last[real]
+        start = expanded(first, last - first + 1) if len(first) else np.zeros(0, np.int64)
+        next_to = np.diff(start) == 1
         inf = len(item) + 1
-        start = low + lanes  # row 0: a passage may begin anywhere on the band
-        row = np.where((start >= 0) & (start <= len(body)), 0, inf)
+        row = np.where((start >= 0) & (start <= len(body)), 0, inf)  # a passage may begin anywhere on a band
+        padded = np.concatenate([body, np.zeros(1, np.uint8)])
         for r in range(1, len(item) + 1):
-            col = r + low + lanes  # bytes of the text consumed
+            col = r + start  # bytes of the text consumed
             inside = (col >= 1) & (col <= len(body))
-            wrong = np.ones(width, dtype=np.int64)
-            wrong[inside] = body[col[inside] - 1] != item[r - 1]
-            new = np.where(inside, row + wrong, inf)
-            new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+            new = np.where(inside, row + (padded[np.clip(col - 1, 0, len(body))] != item[r - 1]), inf)
+            new[:-1] = np.where(next_to, np.minimum(new[:-1], row[1:] + 1), new[:-1])
             new = np.where((col >= 0) & (col <= len(body)), new, inf)
-            row = np.minimum(np.minimum.accumulate(new - lanes) + lanes, inf)
-        at = int(np.argmin(row))
-        return int(row[at]), len(item) + low + at
+            row = np.minimum(np.minimum.accumulate(new - start) + start, inf)
+            row[(col < 0) | (col > len(body))] = inf
+        near = row <= k
+        return (start + len(item))[near], row[near]
 
 
 def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
@@ -142,10 +225,8 @@ def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
         yield BenchmarkIndex(block, edits)
 
 
-def passages_column(index: BenchmarkIndex, text: Column, spark) -> Column:
-    shared = spark.sparkContext.broadcast(index)
-
-    @F.pandas_udf("array<struct<item_id:bigint,end:int,edits:int>>")
+def passages_column(shared, text: Column, id_type: str) -> Column:
+    @F.pandas_udf(f"array<struct<item_id:{id_type},end:int,edits:int>>")
     def passages(texts: pd.Series) -> pd.Series:
         search = shared.value.search
         return pd.Series([[dict(zip(("item_id", "end", "edits"), p)) for p in search(t)] for t in texts], dtype=object)
@@ -157,17 +238,30 @@ def find_passages(df: DataFrame, benchmark: DataFrame, out_col: str, text_col: s
                   edits: float = EDITS) -> DataFrame:
     """``df`` and the benchmark passages of each row's text: array of (item_id, end, edits).
 
-    Null and empty texts and an empty benchmark give empty arrays; no row is lost.
+    Null and empty texts and an empty benchmark give empty arrays; no row is lost, repeated rows
+    have the same passages, texts of any length are searched whole; equal items are found each.
+    Item ids may be of any type. Between blocks of the benchmark the rows are written, so one
+    block's broadcast is alive at a time.
     """
-    empty = F.array().cast("array<struct<item_id:bigint,end:int,edits:int>>")
-    found = empty
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    out, before, shared = df.withColumn(out_col, F.array().cast(f"array<struct<item_id:{kind},end:int,edits:int>>")), None, None
     for index in index_blocks(benchmark, edits=edits):
-        found = F.concat(found, passages_column(index, F.col(f"`{text_col}`"), df.sparkSession))
-    return df.withColumn(out_col, found)
+        if shared is not None:
+            out = written(out, "passages")
+            shared.unpersist()
+            if before is not None:
+                discard(before)
+            before = out
+        shared = df.sparkSession.sparkContext.broadcast(index)
+        out = out.withColumn(out_col, F.concat(F.col(f"`{out_col}`"), passages_column(shared, F.col(f"`{text_col}`"), kind)))
+    return out
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, contaminated, item_ids (sorted), least edits, n_passages."""
+    """One row per input row: doc_id, contaminated, item_ids (sorted), least edits, n_passages.
+
+    As ``find_passages``; a row without passages has null edits. Extra columns are ignored.
+    """
     rows = find_passages(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")),
                          benchmark, "passages")
     return rows.select(

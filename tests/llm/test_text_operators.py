@@ -51,7 +51,7 @@ def test_contamination_equals_brute_force(docs_of, spark):
         for k, item in items:
             p = decontam.normal_bytes(item)
             if len(p) >= decontam.Q:
-                most = min(int(len(p) * decontam.EDITS), (len(p) - decontam.Q) // decontam.Q)
+                most = int(len(p) * decontam.EDITS)
                 if (p in data) or (len(data) < 2000 and data and edits(p, data) <= most):
                     want.append(k)
             elif p and f" {p.decode()} " in f" {data.decode()} ":
@@ -61,6 +61,72 @@ def test_contamination_equals_brute_force(docs_of, spark):
     assert not any(r.contaminated for r in decontam.contamination(docs_of(rows), bench.limit(0)).collect())
 
 
+def last_row(item, data):
+    """Least edits of the item to a passage that ends at each byte."""
+    row = [0] * (len(data) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(data, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row
+
+
+@pytest.mark.parametrize("window, repeats", [(1 << 18, 8), (60, 8), (60, 0), (1 << 18, 0)])
+def test_short_items_and_runs_equal_the_full_table(monkeypatch, window, repeats):
+    monkeypatch.setattr(decontam, "WINDOW", window)
+    monkeypatch.setattr(decontam, "REPEATS", repeats)
+    monkeypatch.setattr(decontam, "HITS", 50)
+    rng = random.Random(window + repeats)
+    items = [(m, "".join(rng.choice("abc") for _ in range(m))) for m in range(8, 41)] + [(50, "a" * 12), (51, "ab" * 10), (52, "name ____________________ date"), (53, "-" * 35)]
+    index = decontam.BenchmarkIndex(items)
+    for t in range(60):
+        text = "".join(rng.choice("abc") for _ in range(rng.randrange(200)))
+        for _ in range(rng.randrange(3)):
+            w = list(rng.choice(items)[1])
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(w))
+                w[at:at + 1] = rng.choice([[], ["x"], [w[at], "y"]])
+            text += "".join(w) + rng.choice(["", "b", " c "])
+        text += rng.choice(["", "_" * 150, "a" * 200, "-" * 90 + "x" + "-" * 90])
+        data = decontam.normal_bytes(text)
+        want = []
+        for i, item in items:
+            p = decontam.normal_bytes(item)
+            k = int(len(p) * decontam.EDITS)
+            row = last_row(p, data)
+            ends = [e for e, x in enumerate(row) if x <= k]
+            groups = []
+            for e in ends:
+                if groups and e - groups[-1][-1] <= max(1, k):
+                    groups[-1].append(e)
+                else:
+                    groups.append([e])
+            want += [(i, min(g, key=lambda e: (row[e], e)), min(row[e] for e in g)) for g in groups]
+        assert sorted(index.search(text)) == sorted(want), (t, text)
+
+
+def test_long_runs_and_many_quotes_end_soon():
+    import time
+    index = decontam.BenchmarkIndex([(1, "fill in ________________________ here please"), (2, "z" * 300), (3, "the quick brown fox jumps over the lazy dog again")])
+    began = time.time()
+    assert index.search("_" * 1_000_000) == []
+    assert {p[0] for p in index.search("z" * 1_000_000)} == {2}
+    assert len(index.search("the quick brown fox jumps over the lazy dog again, and " * 20_000)) == 20_000
+    assert time.time() - began < 60
+
+
+def test_blocks_of_the_benchmark(spark, docs_of, monkeypatch):
+    rng = random.Random(9)
+    items = [(f"item {i}", prose(rng, 12)) for i in range(9)]
+    rows = [(i, prose(rng, 5) + " " + items[i % 9][1] + " end") for i in range(20)] + [(30, None), (31, "clean")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    whole = sorted(map(str, decontam.contamination(docs_of(rows), bench).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 150)
+    assert sorted(map(str, decontam.contamination(docs_of(rows), bench).collect())) == whole
+    assert all(f"item {i % 9}" in r for i, r in zip(range(20), sorted(whole, key=lambda r: int(r.split("=")[1].split(",")[0]))))
+
+
 def near_rows(rng):
     rows = [(i, prose(rng, rng.randint(1, 60))) for i in range(40)]
     n = 100
