@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import temp_name, written
+from .common import discard, temp_name, written
 from .components import connected_components
 
 #: Counters of the frequency sketch (a broadcast of 2 MB, whatever the corpus).
@@ -149,11 +149,15 @@ def _arrays(texts: DataFrame, keys: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame({"node": frame["node"], "n": [len(s) for s in sets],
                                 "grams": [s.tobytes() for s in sets], "bits": [bitmap(s).tobytes() for s in sets]})
 
-    wanted = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    return (texts.join(wanted, "key").select("node", "text")
+    return (texts.join(_few(keys), "key").select("node", "text")
             .mapInPandas(arrays, "node long, n long, grams binary, bits binary").dropDuplicates(["node"]))
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """The table as the smaller side of a join: broadcast only if its counted rows are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _reaching(pairs: DataFrame, sides: DataFrame, what: str, test) -> DataFrame:
     """The pairs (a, b) that pass ``test`` on column ``what`` of their two nodes."""
     side = lambda name: sides.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col(what).alias(f"x{name}"))
@@ -187,7 +191,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
     may_reach, reaches = _tests(percent)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     arrays = written(_arrays(texts, nodes.join(ends, "node").select("key", "node"), width), "arrays")
-    return _reaching(written(_reaching(pairs, arrays, "bits", may_reach), "candidates"), arrays, "grams", reaches), arrays
+    candidates = written(_reaching(pairs, arrays, "bits", may_reach), "candidates")
+    found = written(_reaching(candidates, arrays, "grams", reaches), "links")
+    discard(candidates)
+    return found, arrays
 
 
 def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -259,7 +266,6 @@ def _link_counts(comps: DataFrame, nodes: DataFrame, arrays: DataFrame, percent:
 
     ``arrays`` has each node of ``comps`` once at least.
     """
-    few = lambda table: F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
     at = written(comps.join(nodes.select("node", "n", "copies"), "node"), "classes")
     # components of several blocks: how many sets of each size, and the weight before them
     weight = F.greatest("n", F.lit(LEAST))
@@ -269,15 +275,15 @@ def _link_counts(comps: DataFrame, nodes: DataFrame, arrays: DataFrame, percent:
                          (F.sum(F.col("many") * weight).over(each.orderBy("n")) - F.col("many") * weight).alias("before"))
     cells = written(cells.where(F.col("total") > BLOCK).drop("total"), "cells")
     place = F.floor((F.col("before") + F.pmod(F.xxhash64("node"), F.col("many")) * weight) / BLOCK)
-    placed = written(at.join(few(cells), ["comp", "n"], "left").select("node", "comp", "n", "copies", place.alias("mine")), "placed")
+    placed = written(at.join(_few(cells), ["comp", "n"], "left").select("node", "comp", "n", "copies", place.alias("mine")), "placed")
     blocks = written(placed.where("mine is not null").groupBy("comp", "mine").agg(
         F.min("n").alias("low"), F.max("n").alias("high")), "blocks")
     pairs = (blocks.select("comp", F.col("mine").alias("block"), "high")
              .join(blocks.select("comp", F.col("mine").alias("other"), "low"), "comp")
              .where((F.col("block") <= F.col("other")) & (100 * F.col("high") >= percent * F.col("low"))))
     pairs = written(pairs.select("comp", "block", "other", F.explode(F.array_distinct(F.array("block", "other"))).alias("mine")), "dealt")
-    dealt = placed.join(few(pairs), ["comp", "mine"], "left").na.fill(0, ["block", "other", "mine"])
-    dealt = few(written(dealt, "members")).join(arrays.select("node", "grams"), "node")
+    dealt = placed.join(_few(pairs), ["comp", "mine"], "left").na.fill(0, ["block", "other", "mine"])
+    dealt = _few(written(dealt, "members")).join(arrays.select("node", "grams"), "node")
 
     def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []  # held: (node, copies, whether of the first of two blocks, grams)
@@ -317,27 +323,31 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     texts = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"),
                       F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("key"))
-    rows = written(_features(texts, width, percent, frequency_sketch(texts, width)), "features")
-    nodes = written(rows.where("n > 0").groupBy("node").agg(
+    features = written(_features(texts, width, percent, frequency_sketch(texts, width)), "features")
+    rows = written(features.select("id", "key", "n", "node"), "rows")
+    nodes = written(features.where("n > 0").groupBy("node").agg(
         F.min("n").alias("n"), F.min("key").alias("key"), F.min("mini").alias("mini"), F.count("*").alias("copies")), "nodes")
     # tiles that hold two different nodes at least
     most = F.col("n") - F.floor((2 * percent * F.col("n") + (99 + percent)) / (100 + percent)) + 1
     by_tile = Window.partitionBy("h")
-    tiles = rows.where("n > 0").select("node", "n", F.posexplode("prefix").alias("pos", "h"))
+    tiles = features.where("n > 0").select("node", "n", F.posexplode("prefix").alias("pos", "h"))
     tiles = tiles.select("h", "node", "n", (F.col("pos") < most).alias("short"),
                          F.min("node").over(by_tile).alias("low"), F.max("node").over(by_tile).alias("high"))
     tiles = written(tiles.where("low <> high").select("h", "node", "n", "short").distinct(), "tiles")
+    discard(features)
     # members with a partner in their size band, the smaller one by its short prefix
     order = Window.partitionBy("h").orderBy("n", "node")
     before = F.max(F.when(F.col("short"), F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.when(F.col("short"), F.lead("n").over(order))
-    tiles = written(tiles.select("*", before.alias("before"), after.alias("after"))
-                    .where((100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after")))
-                    .drop("before", "after"), "banded")
+    banded = written(tiles.select("*", before.alias("before"), after.alias("after"))
+                     .where((100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after")))
+                     .drop("before", "after"), "banded")
+    discard(tiles)
     # one tile for each distinct set of members
-    sign = tiles.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node", "short")).alias("x"),
+    sign = banded.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node", "short")).alias("x"),
                                   F.bit_xor(F.xxhash64("node", "short", F.lit(1))).alias("y"))
-    members = written(tiles.join(sign.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h"), "h", "left_semi"), "members")
+    members = written(banded.join(sign.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h"), "h", "left_semi"), "members")
+    discard(banded)
     # first, neighbours in the size order of a tile, if they aren't in one component already
     may_reach, _ = _tests(percent)
     tried = links = comps = arrays = None
@@ -351,7 +361,6 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(_reaching(pairs, nodes, "mini", may_reach), "pairs")
         found, made = _verified(pairs, nodes, texts, width, percent)
-        found = written(found, "links")
         tried, links, arrays = ((pairs, found, made) if tried is None else
                                 (tried.unionByName(pairs), links.unionByName(found), arrays.unionByName(made)))
         comps = connected_components(links)
@@ -361,6 +370,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                    .select("node", "bits"), "bits")
     more = _tile_pairs(left.join(full, "node").select("h", "node", "n", "comp", "short", "bits"), percent).distinct()
     more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+    discard(full, left)
     found, made = _verified(more, nodes, texts, width, percent)
     comps = connected_components(links.unionByName(found))
     if count_links:
