@@ -36,8 +36,9 @@ from .common import written
 
 #: Longest context in bytes (at most 7: a gram is one 64-bit number).
 DEPTH = 6
-#: Rows of an input file that make one block, at most.
-BLOCK_ROWS = 16_384
+#: Bytes of text that make one block, about: a block is a range of rows of an input file, as many
+#: as hold this much at the largest mean length of a file.
+BLOCK_BYTES = 24_000_000
 #: Bytes of text coded at a time inside a task, for counting and for scoring.
 CHUNK, SCORE_CHUNK = 4_000_000, 2_000_000
 PACKED = "kind string, part int, block string, keys binary, counts binary"
@@ -137,7 +138,10 @@ def _blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         df.select("_metadata.row_index").schema  # noqa: B018
     except Exception:  # not read from files yet
         df = written(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), "texts")
-    block = F.concat_ws("#", "_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS))
+    size = F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) + 8
+    mean = df.groupBy("_metadata.file_path").agg(F.avg(size).alias("mean")).agg(F.max("mean")).first()[0]
+    block_rows = max(1, int(BLOCK_BYTES / (mean or BLOCK_BYTES)))
+    block = F.concat_ws("#", "_metadata.file_path", F.floor(F.col("_metadata.row_index") / block_rows))
     return df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"),
                      (~held_out(F.col(f"`{id_col}`"))).alias("training"), block.alias("block"))
 
@@ -320,12 +324,22 @@ def top_table(nodes: pd.DataFrame) -> np.ndarray:
 class Lookup:
     """Numbers → values in a bucketed table; every number asked for is in it."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(max(8, 64 - max(1, len(keys) * 2).bit_length()))
-        h = self.bucket(keys)
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        """``parts`` of (numbers, values) are emptied: a block's numbers are held once more at most."""
+        size = sum(len(k) for k, _ in parts)
+        self.shift = np.uint64(max(8, 64 - max(1, size * 2).bit_length()))
+        keys, values, at = np.empty(size, np.uint64), np.empty(size, np.float32), 0
+        while parts:
+            k, v = parts.pop()
+            keys[at:at + len(k)], values[at:at + len(k)], at = k, v, at + len(k)
+        h = self.bucket(keys).astype(np.uint32) if self.shift >= 32 else self.bucket(keys)
         order = np.argsort(h, kind="stable")
-        self.keys, self.values = keys[order], values[order]
-        self.start = np.searchsorted(h[order], np.arange(1 << (64 - int(self.shift))))
+        counts = np.bincount(h, minlength=1 << (64 - int(self.shift)))
+        del h
+        self.start = np.cumsum(counts, dtype=np.int64) - counts
+        self.keys = keys[order]
+        del keys
+        self.values = values[order]
 
     def bucket(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -373,8 +387,7 @@ def _score(n: int, v: int, ends: int):
                     words.update(zip(zlib.decompress(keys).split(b" "), logs))
                 else:
                     if lookup is None:
-                        lookup = Lookup(np.concatenate([k for k, _ in grams]), np.concatenate([x for _, x in grams]))
-                        grams = []
+                        lookup = Lookup(grams)
                     pending.append((i, training, words_of(text)))
                     size += len(text or "")
                     if size > SCORE_CHUNK:
@@ -422,7 +435,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     texts = rows.select("block", F.lit("~text").alias("kind"), null("binary").alias("keys"), null("binary").alias("vals"),
                         "id", "text", "training")
     kind = df.schema[id_col].dataType
-    return (answers.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+    return (answers.unionByName(texts).repartition(parts, "block").sortWithinPartitions("block", "kind")
             .mapInPandas(_score(n, v, ends), "id string, held_out boolean, n_tokens long, n_known long, "
                                              "train_tokens long, base_score double, score double")
             .select(F.col("id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens",

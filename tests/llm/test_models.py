@@ -153,4 +153,4 @@ def test_packing_round_trip():
         keys = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         assert (ctw.unpack(ctw.pack(keys)) == keys).all()
     keys = np.unique(rng.integers(0, 1 << 62, 5000).astype(np.uint64))
-    assert (ctw.Lookup(keys, np.arange(len(keys)))(keys) == np.arange(len(keys))).all()
+    assert (ctw.Lookup([(keys, np.arange(len(keys)))])(keys) == np.arange(len(keys))).all()
