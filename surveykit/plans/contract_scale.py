@@ -1,15 +1,22 @@
 """Contract queries on wide, long and changing inputs (registered with those of ``contract``)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import cooccurrence as O
+from ..operators import decide as D
+from ..operators import metrics as M
+from ..operators import silhouette_index
 from ..operators import baskets as B
 from ..operators import classify as C
 from ..operators.model_store import table_fingerprint
 from ..sources.fixture import FIXED_TREE, WIDE_FLAGS, event_baskets, order_lines, wide_flags, with_gaps
 from ..spec import DEFAULT_SPEC as SPEC
-from .contract import S, query
+from ..session import scratch_path
+from ..sources.sinks import PublishedSet
+from .contract import FEATS, S, _fixed, _scored, query
 
 # ---- co-occurrence of long baskets --------------------------------------------------------
 
@@ -128,3 +135,27 @@ def q_fingerprint_variants(spark, sf):
     own = table_fingerprint(df, cols)
     rows = [(name, v.count(), table_fingerprint(v, cols) == own) for name, v in variants.items()]
     return spark.createDataFrame(rows, "variant string, n_rows bigint, same boolean")
+
+
+@query("silhouette_euclid", rows_only=True)
+def q_silhouette_euclid(spark, sf):
+    """Euclidean silhouette of the fixed clusters by the reference index, with its error."""
+    return silhouette_index.silhouette_euclid_mean(_fixed(spark, sf), FEATS)
+
+
+@query("published_report")
+def q_published_report(spark, sf):
+    """The report published twice, and what a reader of the current set finds in it: the cells of
+    its tables of price points, rule figures and segment prices."""
+    store = PublishedSet(spark, scratch_path(spark, f"published-{uuid.uuid4().hex}"))
+    tables = D.report_tables(S(spark, sf), _scored(spark, sf))
+    store.publish({k: v.limit(0) for k, v in tables.items()})
+    store.publish(tables)
+    cells = None
+    for table, key in (("price_points", F.col("point")), ("rule_kpis", F.lit("")), ("segment_prices", F.col("Segment"))):
+        df = store.read(table)
+        numbers = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "bigint", "int")]
+        own = df.select(F.lit(table).alias("table"), key.alias("key"), F.explode(F.array(*[
+            F.struct(F.lit(c).alias("cell"), F.col(c).cast("double").alias("value")) for c in numbers])).alias("c"))
+        cells = own if cells is None else cells.unionByName(own)
+    return cells.select("table", "key", "c.cell", "c.value")

@@ -598,6 +598,7 @@ SELECT Segment, Q2_Vehicle_Brand, n FROM (
   FROM gaps WHERE Segment IS NOT NULL AND Q2_Vehicle_Brand IS NOT NULL GROUP BY Segment, Q2_Vehicle_Brand) t WHERE rk = 1""")
 
 
-from .contract_sql_scale import SQL as _SCALE  # noqa: E402
+from .contract_sql_scale import SQL as _SCALE, published_report  # noqa: E402
 
 SQL.update(_SCALE)
+SQL["published_report"] = published_report(SQL, PRICES)

@@ -103,3 +103,14 @@ SQL["fingerprint_variants"] = with_survey("""
 SELECT variant, CAST(count(*) + more AS BIGINT) AS n_rows, same FROM survey, (VALUES ('as it is', 0, true), ('other order', 0, true),
   ('one cell changed', 0, false), ('one row less', -1, false), ('one row twice', 1, false)) v(variant, more, same)
 GROUP BY variant, more, same""")
+
+
+def published_report(sql: dict[str, str], prices: list[str]) -> str:
+    """The published cells, from the twins of the queries that make the report's tables."""
+    parts = [f"SELECT 'price_points' AS \"table\", point AS key, c.cell, c.value FROM ({sql['vw_points']}) q, "
+             "LATERAL (VALUES ('grid_idx', CAST(grid_idx AS DOUBLE)), ('price', price)) c(cell, value)",
+             f"SELECT 'rule_kpis', '', c.cell, c.value FROM ({sql['rule_kpis']}) q, LATERAL (VALUES ('n_rules', CAST(n_rules AS DOUBLE)), "
+             "('max_lift', max_lift), ('mean_confidence', mean_confidence)) c(cell, value)",
+             f"SELECT 'segment_prices', Segment, c.cell, c.value FROM ({sql['price_by_segment']}) q, LATERAL (VALUES "
+             + ", ".join(f"('{c}', {c})" for c in prices) + ") c(cell, value)"]
+    return " UNION ALL ".join(parts)
