@@ -58,6 +58,14 @@ def expanded(first: np.ndarray, times: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
 
 
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """The distinct numbers, sorted."""
+    numbers = np.sort(numbers)
+    keep = np.ones(len(numbers), dtype=bool)
+    np.not_equal(numbers[1:], numbers[:-1], out=keep[1:])
+    return numbers[keep]
+
+
 class GramTable:
     """Sorted q-grams of some items with their (item, offset) postings, and the repeated ones apart."""
 
@@ -76,6 +84,7 @@ class GramTable:
         self.dense = self.table(flat[head[often]], item[head[often]], offset[head[often]], offset[last[often]])
         some = np.repeat(~often, many)
         self.rare = self.table(flat[some], item[some], offset[some], offset[some])
+        self.least = int(bound[items].min()) if items else 1
         self.reach = int(offset.max()) + 1 if len(offset) else 1
         self.maybe = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.maybe[(flat * _MIX) >> np.uint64(64 - _FILTER_BITS)] = True
@@ -118,12 +127,17 @@ class GramTable:
         for p, item, offset, _ in self.hits(self.rare, code, pos):
             band = (p - offset) // (self.edits[item] + 1)
             keys = (np.concatenate([item, item]) * size + np.concatenate([band, band - 1]) - base) * self.reach + np.tile(offset, 2)
-            seen.append(np.unique(keys))
+            seen.append(distinct(keys))
         if seen:
-            of, count = np.unique(np.unique(np.concatenate(seen)) // self.reach, return_counts=True)
+            of = (seen[0] if len(seen) == 1 else distinct(np.concatenate(seen))) // self.reach
+            head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            count, of = np.diff(np.append(head, len(of))), of[head]
+            enough = count >= self.least
+            of, count = of[enough], count[enough]
             item, band = of // size, of % size + base
             enough = count >= self.bound[item]
-            runs.append((item[enough], band[enough], band[enough]))
+            if enough.any():
+                runs.append((item[enough], band[enough], band[enough]))
         if not runs:
             return
         item, low, high = (np.concatenate(x) for x in zip(*runs))
@@ -197,15 +211,21 @@ class BenchmarkIndex:
         next_to = np.diff(start) == 1
         inf = len(item) + 1
         row = np.where((start >= 0) & (start <= len(body)), 0, inf)  # a passage may begin anywhere on a band
-        padded = np.concatenate([body, np.zeros(1, np.uint8)])
-        for r in range(1, len(item) + 1):
-            col = r + start  # bytes of the text consumed
-            inside = (col >= 1) & (col <= len(body))
-            new = np.where(inside, row + (padded[np.clip(col - 1, 0, len(body))] != item[r - 1]), inf)
+        if not len(start):
+            return start, row
+        m = len(item)
+        padded = np.concatenate([np.zeros(m, np.uint8), body, np.zeros(m, np.uint8)])
+        edge = start[0] < 1 or start[-1] + m > len(body)
+        for r in range(1, m + 1):  # r + start bytes of the text are consumed
+            new = row + (padded[start + (m + r - 1)] != item[r - 1])
+            if edge:
+                new[(start < 1 - r) | (start > len(body) - r)] = inf
             new[:-1] = np.where(next_to, np.minimum(new[:-1], row[1:] + 1), new[:-1])
-            new = np.where((col >= 0) & (col <= len(body)), new, inf)
+            if edge:
+                new[(start < -r) | (start > len(body) - r)] = inf
             row = np.minimum(np.minimum.accumulate(new - start) + start, inf)
-            row[(col < 0) | (col > len(body))] = inf
+            if edge:
+                row[(start < -r) | (start > len(body) - r)] = inf
         near = row <= k
         return (start + len(item))[near], row[near]
 
