@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_code
 from .common import written
 
 SAMPLE_PAGES = 300
@@ -36,8 +38,8 @@ TREES, TREE_DEPTH = 20, 4
 BATCH = 200
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|select)\b(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^<>]*\Z", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^<>]*)>"
+    r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^<>]*\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 _SPACE = re.compile(r"\s+")
@@ -46,7 +48,11 @@ BLOCKS = frozenset("""html body article main section div p h1 h2 h3 h4 h5 h6 ul
 form fieldset table thead tbody tfoot tr td th caption pre blockquote figure figcaption address details summary dialog
 center hgroup search menu""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title".split())
+#: Elements left out up to their closing tag. Without one, code goes on to the end of the page; of
+#: the others only the tag is left out.
+CODE = frozenset("script style".split())
+SKIPPED = CODE | frozenset("title noscript template svg iframe select textarea".split())
+_CLOSING = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in SKIPPED}
 #: What an opening tag closes, up to the nearest container of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -65,30 +71,52 @@ GROUPS = {
     "more": "share sharing social related recommended recommendations tags meta byline trending popular",
 }
 MAIN = frozenset("article main content post entry story text body".split())
+#: Tokens that say where or how, not what: "comment-list" is comments, "contact-history" is history.
+STRUCTURE = frozenset("""wrapper wrap container box block area section inner outer list item items slot unit panel row
+col column group holder region zone module bar links left right top main body content text""".split())
 _GROUP_OF = {t: g for g, ts in GROUPS.items() for t in ts.split()}
 _TAG_GROUP = {"nav": "nav", "header": "head", "footer": "foot", "aside": "side", "form": "form", "fieldset": "form",
               "dialog": "notice", "search": "form", "menu": "nav"}
 _GROUP_NAMES = [*GROUPS]
 _TAGS = ["html", "body", "article", "main", "section", "div", "p", "h", "ul", "li", "nav", "header", "footer", "aside", "form", "table", "td"]
 _TAG_NO = {t: i for i, t in enumerate(_TAGS)} | {f"h{i}": 7 for i in range(1, 7)} | {"ol": 8, "dl": 8, "dt": 9, "dd": 9, "th": 16, "tr": 15}
-FEATURES = 14 + len(_TAGS) + 2 * len(_GROUP_NAMES) + 3
+FEATURES = 14 + len(_TAGS) + 2 * len(_GROUP_NAMES) + 5
+
+
+def group_of(names: str) -> tuple[str | None, bool]:
+    """What a class, id or role says of its element, and whether some name mentions a group's word.
+
+    A name's last token that isn't structure names the thing.
+    """
+    found, mentions = None, False
+    for name in names.split():
+        tokens = [w for w in (t.lower() for t in _WORD.findall(name)) if not w.isdigit()]
+        mentions = mentions or any(t in _GROUP_OF for t in tokens)
+        while len(tokens) > 1 and tokens[-1] in STRUCTURE:
+            tokens.pop()
+        if found is None and tokens:
+            found = _GROUP_OF.get(tokens[-1])
+    return found, mentions
 
 
 class Node:
-    __slots__ = ("chars", "children", "group", "keep", "links", "main", "paragraph", "parent", "pieces", "points", "runs", "start", "tag", "tags", "words")
+    __slots__ = ("chars", "children", "group", "keep", "links", "main", "mentions", "paragraph", "parent", "pieces", "points", "runs", "start", "tag", "tags", "words")
 
     def __init__(self, tag, parent, attrs=""):
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.words = self.links = self.points = self.paragraph = self.tags = self.start = 0
         self.runs, self.pieces, self.keep = 0, None, None
-        self.group, self.main = _TAG_GROUP.get(tag), tag in ("article", "main")
+        self.group, self.main, self.mentions = _TAG_GROUP.get(tag), tag in ("article", "main"), False
         if attrs:
             for name, *values in _ATTR.findall(attrs):
                 name = name.lower()
-                if name in ("class", "id", "role"):
-                    tokens = {w.lower() for w in _WORD.findall(html.unescape("".join(values)))}
-                    self.group = next((_GROUP_OF[t] for t in sorted(tokens) if t in _GROUP_OF), self.group)
-                    self.main = self.main or bool(tokens & MAIN)
+                if name in ("class", "id", "role") and tag not in ("html", "body"):
+                    value = html.unescape("".join(values))
+                    group, mentions = group_of(value)
+                    if tag not in ("article", "main"):
+                        self.group = group or self.group
+                    self.mentions = self.mentions or mentions
+                    self.main = self.main or any(w.lower() in MAIN for w in _WORD.findall(value))
                 elif name == "data-keep":
                     self.keep = "".join(values) == "1"
         if self.group:
@@ -100,12 +128,13 @@ def parse(page: str | None) -> list[Node]:
     root = Node("html", None)
     nodes, stack = [root], [root]
     inline: list[str] = []  # open inline elements, for link text
-    hidden = 0
     run = None
+    unclosed = set()  # skipped elements that no closing tag follows any more
+    page = page or ""
 
     def text(raw: str):
         nonlocal run
-        if not raw or hidden:
+        if not raw:
             return
         if run is None:
             if not raw.strip():
@@ -126,23 +155,28 @@ def parse(page: str | None) -> list[Node]:
         inline.clear()
 
     at = 0
-    for m in _TOKEN.finditer(page or ""):
+    while m := _TOKEN.search(page, at):
         text(page[at:m.start()])
         at = m.end()
-        end, tag, attrs = m[2], m[3], m[4]
+        end, tag, attrs = m[1], m[2], m[3]
         if tag is None:
-            if m[1] and run:
-                run.pieces.append(" ")
             continue
         tag = tag.lower()
-        if tag in HIDDEN:
-            if end:
-                hidden = max(0, hidden - 1) if tag == "title" else 0
-            else:
-                hidden += 1
+        if tag in SKIPPED:
+            closing = None
+            if not end and tag not in unclosed and not (tag == "svg" and attrs.endswith("/")):
+                closing = _CLOSING[tag].search(page, at)
+                if closing is None:
+                    unclosed.add(tag)
+            if closing:
+                at = closing.end()
+            elif tag in CODE and not end:
+                at = len(page)
+            if run:
+                run.pieces.append(" ")
+        elif tag == "head":
+            run = None
         elif tag in BLOCKS:
-            if tag == "body":
-                hidden = 0
             if tag in ("html", "body") and (end or stack[-1] is root and tag == "html"):
                 run = None
                 continue
@@ -178,7 +212,7 @@ def parse(page: str | None) -> list[Node]:
                     del inline[len(inline) - 1 - inline[::-1].index(tag):]
             else:
                 inline.append(tag)
-    text((page or "")[at:])
+    text(page[at:])
     return nodes
 
 
@@ -211,7 +245,7 @@ def describe(nodes: list[Node]) -> np.ndarray:
     place = {}
     tags, own, above = 14, 14 + len(_TAGS), 14 + len(_TAGS) + len(_GROUP_NAMES)
     log = np.log1p
-    depth, inside, groups, holds = {}, {}, {}, {}
+    depth, inside, groups, holds, named = {}, {}, {}, {}, {}
     for v in reversed(nodes):
         holds[id(v)] = v.main or any(holds[id(c)] for c in v.children)
     for v in nodes:
@@ -222,6 +256,7 @@ def describe(nodes: list[Node]) -> np.ndarray:
         depth[me] = depth[id(u)] + 1 if u else 0
         inside[me] = v.main or (u is not None and inside[id(u)])
         groups[me] = (groups[id(u)] if u else frozenset()) | ({v.group} if v.group else set())
+        named[me] = v.mentions or (u is not None and named[id(u)])
         row = x[r]
         row[0], row[1], row[2], row[3] = v.pieces is not None, depth[me], v.chars, v.words
         row[4] = v.links / v.chars if v.chars else 0
@@ -242,6 +277,7 @@ def describe(nodes: list[Node]) -> np.ndarray:
             row[own + _GROUP_NAMES.index(element.group)] = 1
         for g in groups[me]:
             row[above + _GROUP_NAMES.index(g)] = 1
+        row[-5], row[-4] = element.mentions, named[me]
         row[-3], row[-2] = inside[me], holds[me]
         row[-1] = v.paragraph / v.chars if v.chars else 0
     for c in (2, 3, 5, 6, 8, 9):
@@ -321,6 +357,8 @@ def retold(nodes: list[Node], seed: int) -> str:
     main = [(v.parent.tag, say(v)) for v, y in zip(nodes, label) if v.pieces is not None and y]
     other = [say(v) for v, y in zip(nodes, label) if v.pieces is not None and not y] or ["..."]
     words = " ".join(s for _, s in main).split()
+    if rng.random() < 0.3:  # a short page
+        main = [(t, " ".join(s.split()[:rng.randint(1, 15)])) for t, s in main[:rng.randint(1, 3)]]
 
     def some(low, high):
         n = rng.randint(low, high)
@@ -332,6 +370,8 @@ def retold(nodes: list[Node], seed: int) -> str:
 
     def mark(group):
         token = rng.choice(GROUPS[group].split())
+        if rng.random() < 0.2:
+            return f'class="{token}-{rng.choice(["wrapper", "box", "list", "content", "text", "inner", "stories", "policy"])}"'
         return f'{rng.choice(["class", "class", "id"])}="{rng.choice(["", "site-", "page-"])}{token}"'
 
     def box(group, body, tag="div"):
@@ -349,17 +389,55 @@ def retold(nodes: list[Node], seed: int) -> str:
         "form": lambda: rng.choice([f'<form data-keep="0"><label>{some(1, 4)}</label><p>{some(4, 20)}</p><input name="q"></form>',
                                     box("form", f"<p>{some(4, 20)}</p><input>")]),
         "more": lambda: box("more", links(rng.randint(2, 6))),
-        "nav": lambda: rng.choice([f'<nav data-keep="0">{links(rng.randint(3, 8))}</nav>', box("nav", links(rng.randint(3, 8)))]),
+        "nav": lambda: rng.choice([f'<nav data-keep="0">{links(rng.randint(1, 8))}</nav>', box("nav", links(rng.randint(1, 8))),
+                                   f'<div data-keep="0">{links(rng.randint(1, 8))}</div>']),
     }
+    def chunks(s, most):
+        """The words of ``s`` in runs of 1 to ``most`` words."""
+        left, out = s.split(), []
+        while left:
+            n = rng.randint(1, most)
+            out.append(" ".join(left[:n]))
+            left = left[n:]
+        return out
+
+    def odd():
+        """A class that mentions a group's word without being of the group."""
+        word = rng.choice(rng.choice([*GROUPS.values()]).split())
+        return f'class="{word}-{rng.choice(["history", "enabled", "story", "study", "guide", "open"])}"'
+
+    def block(tag, s):
+        """One block of the article: mostly as it was, else in another of HTML's shapes."""
+        tag = tag if tag in BLOCKS and tag not in ("body", "html") else "p"
+        shape = rng.choice(["p"] * 9 + ["list", "table", "quote", "pre", "figure", "dl", "heading", "letter", "bare", "odd", "short"])
+        if shape == "list":
+            t = rng.choice(["ul", "ol"])
+            return f"<{t}>" + "".join(f"<li>{c}</li>" for c in chunks(s, 8)) + f"</{t}>"
+        if shape == "table":
+            cells = chunks(s, 3)
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in cells[i:i + 3]) + "</tr>" for i in range(0, len(cells), 3)) + "</table>"
+        if shape == "quote":
+            return f"<blockquote>{rng.choice([s, f'<p>{s}</p>'])}</blockquote>"
+        if shape == "figure":
+            return f'<figure><img src="a.png"><figcaption>{" ".join(s.split()[:12])}</figcaption></figure><p>{s}</p>'
+        if shape == "dl":
+            return "<dl>" + "".join(f"<{'dd' if i % 2 else 'dt'}>{c}</{'dd' if i % 2 else 'dt'}>" for i, c in enumerate(chunks(s, 6))) + "</dl>"
+        if shape in ("heading", "letter"):
+            h = rng.choice(["h1", "h2", "h3"])
+            return f"<{h}>{s[:1] if shape == 'letter' else ' '.join(s.split()[:3])}</{h}><p>{s}</p>"
+        if shape == "short":
+            return "".join(f"<p>{c}</p>" for c in chunks(s, 6))
+        return {"pre": f"<pre>{s}</pre>", "bare": f"<div>{s}</div>", "odd": f"<div {odd()}><p>{s}</p></div>"}.get(shape, f"<{tag}>{s}</{tag}>")
+
     body = []
     for tag, s in main:
-        body.append(f"<{tag if tag in BLOCKS else 'p'}>{s}</{tag if tag in BLOCKS else 'p'}>")
+        body.append(block(tag, s))
         if rng.random() < 0.12:
             body.append(extras[rng.choice(["ad", "ad", "side", "form", "more", "notice"])]())
     if rng.random() < 0.3:
         body.append(comments())
     open_, close = rng.choice([("article", "article"), ("main", "main"), ('div class="content"', "div"), ('div id="main-content"', "div"),
-                               ('section class="post"', "section"), ("div", "div"), ('div class="story-body"', "div")])
+                               ('section class="post"', "section"), ("div", "div"), (f"article {odd()}", "article"), ('div class="story-body"', "div")])
     inner = "".join(body)
     if rng.random() < 0.3:
         inner = f"<div>{inner}</div>"
@@ -369,16 +447,18 @@ def retold(nodes: list[Node], seed: int) -> str:
     end += [extras[k]() for k in ("side", "more", "form", "ad") if rng.random() < 0.5]
     end.append(rng.choice([f'<footer data-keep="0">{rng.choice(other)}</footer>', box("foot", f"<p>{some(3, 20)}</p>")]))
     rng.shuffle(end)
-    return f'<html><body>{"".join(top)}<{open_} data-keep="1">{inner}</{close}>{"".join(end)}</body></html>'
+    whole = rng.choice(["body", "body", f"body {odd()}"])
+    return f'<html><{whole}>{"".join(top)}<{open_} data-keep="1">{inner}</{close}>{"".join(end)}</body></html>'
 
 
 def training_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
                    sample: int = SAMPLE_PAGES, templates: int = TEMPLATES) -> DataFrame:
-    """features, label of the nodes of at most ``sample`` pages and their retold versions."""
+    """features, label of the nodes of at most ``sample`` pages and their retold versions; ids of any type."""
+    ship_code(pages.sparkSession)
     page = F.col(f"`{html_col}`")
-    ids = (pages.where(F.length(page).between(1, SAMPLE_CHARS)).select(F.col(f"`{id_col}`").alias("id")).distinct()
+    ids = (pages.where(F.length(page).between(1, SAMPLE_CHARS)).select(F.col(f"`{id_col}`").cast("string").alias("id")).distinct()
            .orderBy(F.xxhash64("id"), "id").limit(sample))
-    rows = (pages.select(F.col(f"`{id_col}`").alias("id"), page.alias("page")).where(F.length("page").between(1, SAMPLE_CHARS))
+    rows = (pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), page.alias("page")).where(F.length("page").between(1, SAMPLE_CHARS))
             .join(F.broadcast(ids), "id", "left_semi").orderBy(F.xxhash64("id"), "id", F.xxhash64("page")).limit(sample))
 
     def nodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -387,7 +467,7 @@ def training_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
                 tree = parse(source)
                 if labels_of(tree) is None:
                     continue
-                pages = [tree] + [parse(retold(tree, hash((int(i) if i == i and i is not None else 0, k)))) for k in range(templates)]
+                pages = [tree] + [parse(retold(tree, zlib.crc32(f"{i}|{k}".encode()))) for k in range(templates)]
                 for p in pages:
                     y = labels_of(p)
                     if y is not None:
@@ -402,9 +482,10 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     if len(rows.select("label").distinct().limit(2).collect()) < 2:
         return None
     vectors = rows.select(array_to_vector("x").alias("features"), "label").cache()
-    model = GBTClassifier(maxIter=TREES, maxDepth=TREE_DEPTH, stepSize=0.3, seed=7).fit(vectors)
-    vectors.unpersist()
-    return Trees(model)
+    try:
+        return Trees(GBTClassifier(maxIter=TREES, maxDepth=TREE_DEPTH, stepSize=0.3, seed=7).fit(vectors))
+    finally:
+        vectors.unpersist()
 
 
 def main_text(pages: list[str | None], trees: Trees | None) -> list[str]:
@@ -421,6 +502,7 @@ def main_text(pages: list[str | None], trees: Trees | None) -> list[str]:
 
 
 def text_column(trees: Trees | None, page: Column, spark) -> Column:
+    ship_code(spark)
     shared = spark.sparkContext.broadcast(trees)
 
     @F.pandas_udf("string")
@@ -434,7 +516,12 @@ def text_column(trees: Trees | None, page: Column, spark) -> Column:
 
 def extract(pages: DataFrame, trees: Trees | None, id_col: str = "page_id", url_col: str = "url",
             html_col: str = "html") -> DataFrame:
-    """One row per input row: page_id, url, text, n_chars (code points)."""
+    """One row per input row: page_id, url, text, n_chars (code points).
+
+    Null, empty and text-free pages give an empty text, repeated rows a row each, an empty table
+    none; ids and urls may be of any type and null; other columns are left out. A page is read
+    whole, however long, in one task. Without trees every run of text is kept.
+    """
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"),
                         text_column(trees, F.col(f"`{html_col}`"), pages.sparkSession).alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))
