@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 JUMPS = 3
+#: Vertices (two longs each) up to which a round's table of parents is broadcast; beyond, it is shuffled.
+BROADCAST_VERTICES = 200_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,16 +25,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = written(both.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("v"), F.least("a", "m").alias("p")), "parents")
+        near = F.broadcast if parent.count() <= BROADCAST_VERTICES else lambda table: table
         for _ in range(JUMPS):
-            up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            up = near(parent.select(F.col("v").alias("p"), F.col("p").alias("pp")))
             parent = parent.join(up, "p").select("v", F.col("pp").alias("p"))
         parent = written(parent, "parents")
         if labels is None:
             labels = parent.select(F.col("v").alias("node"), F.col("p").alias("comp"))
         else:
             new = parent.select(F.col("v").alias("comp"), "p")
-            labels = written(labels.join(new, "comp", "left").select(
+            labels = written(labels.join(near(new), "comp", "left").select(
                 "node", F.coalesce("p", "comp").alias("comp")), "labels")
         pa, pb = parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        e = written(e.join(pa, "a").join(pb, "b").where("pa <> pb").select(*link("pa", "pb")).distinct(), "edges")
+        e = written(e.join(near(pa), "a").join(near(pb), "b").where("pa <> pb").select(*link("pa", "pb")).distinct(), "edges")
     return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
