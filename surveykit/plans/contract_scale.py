@@ -15,6 +15,7 @@ from ..operators.model_store import table_fingerprint
 from ..sources.fixture import FIXED_TREE, WIDE_FLAGS, event_baskets, order_lines, wide_flags, with_gaps
 from ..spec import DEFAULT_SPEC as SPEC
 from ..session import scratch_path
+from ..sources.quarantine import read_survey_checked
 from ..sources.sinks import PublishedSet
 from .contract import FEATS, S, _fixed, _scored, query
 
@@ -159,3 +160,24 @@ def q_published_report(spark, sf):
             F.struct(F.lit(c).alias("cell"), F.col(c).cast("double").alias("value")) for c in numbers])).alias("c"))
         cells = own if cells is None else cells.unionByName(own)
     return cells.select("table", "key", "c.cell", "c.value")
+
+
+# ---- rejected lines of a file ---------------------------------------------------------------
+@query("csv_quarantine")
+def q_csv_quarantine(spark, sf):
+    """Four survey files with damaged lines, read back: every accepted row (its cells) and every
+    rejected line, by reason."""
+    names = ["respondent_id", "Segment", "Q1_Vehicle_Year", "Q5_Rattle_Severity_Scale"]
+    header, whole = ",".join(names), F.concat_ws(",", *names)
+    kind = F.col("respondent_id") % 50
+    line = (F.when(kind == 1, F.concat_ws(",", *names[:3])).when(kind == 2, F.concat(whole, F.lit(",more")))
+            .when(kind == 3, F.concat_ws(",", "respondent_id", F.concat(F.lit('"'), F.col("Segment")), *names[2:]))
+            .when(kind == 4, header).when(kind == 5, "").otherwise(whole))
+    lines = S(spark, sf).select((F.col("respondent_id") % 4).alias("part"), F.lit(1).alias("after"), line.alias("line"))
+    heads = lines.select("part").distinct().select("part", F.lit(0).alias("after"), F.lit(header).alias("line"))
+    path = scratch_path(spark, f"lines-{uuid.uuid4().hex}")
+    (lines.unionByName(heads).repartition("part").sortWithinPartitions("part", "after")
+     .select("part", "line").write.partitionBy("part").text(path))
+    accepted, rejected = read_survey_checked(spark, path)
+    return (accepted.select(F.lit("accepted").alias("reason"), F.concat_ws("|", *names).alias("text"))
+            .unionByName(rejected.select("reason", "text")))

@@ -104,6 +104,15 @@ SELECT variant, CAST(count(*) + more AS BIGINT) AS n_rows, same FROM survey, (VA
   ('one cell changed', 0, false), ('one row less', -1, false), ('one row twice', 1, false)) v(variant, more, same)
 GROUP BY variant, more, same""")
 
+SQL["csv_quarantine"] = with_survey("""
+SELECT CASE respondent_id % 50 WHEN 1 THEN 'too few cells' WHEN 2 THEN 'too many cells' WHEN 3 THEN 'open quote'
+    WHEN 4 THEN 'repeated header' WHEN 5 THEN 'blank line' ELSE 'accepted' END AS reason,
+  CASE respondent_id % 50 WHEN 1 THEN concat_ws(',', respondent_id, Segment, Q1_Vehicle_Year)
+    WHEN 2 THEN concat_ws(',', respondent_id, Segment, Q1_Vehicle_Year, Q5_Rattle_Severity_Scale, 'more')
+    WHEN 3 THEN concat_ws(',', respondent_id, '"' || Segment, Q1_Vehicle_Year, Q5_Rattle_Severity_Scale)
+    WHEN 4 THEN 'respondent_id,Segment,Q1_Vehicle_Year,Q5_Rattle_Severity_Scale' WHEN 5 THEN ''
+    ELSE concat_ws('|', respondent_id, Segment, Q1_Vehicle_Year, Q5_Rattle_Severity_Scale) END AS text FROM survey""")
+
 
 def published_report(sql: dict[str, str], prices: list[str]) -> str:
     """The published cells, from the twins of the queries that make the report's tables."""

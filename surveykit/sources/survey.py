@@ -48,7 +48,11 @@ def read_survey(spark: SparkSession, path: str, fmt: str = "csv", key: Sequence[
     hash; equal rows are numbered, so the id does not depend on how the file is split.
     Missing survey columns are reported by ``validate_survey``, not here.
     """
-    raw = _raw(spark, path, fmt)
+    return typed_survey(_raw(spark, path, fmt), key)
+
+
+def typed_survey(raw: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """Columns of text as ``read_survey`` types them."""
     schema = {f.name: f.dataType for f in survey_schema().fields}
     df = raw.select(*[_typed(F.col(f"`{c}`"), schema[c]).alias(c) if c in schema else F.col(f"`{c}`")
                       for c in raw.columns])
