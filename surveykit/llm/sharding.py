@@ -57,7 +57,8 @@ def assign_shards(df: DataFrame, shards: Sequence[str], key: Column | str,
 
     No shuffle: one broadcast lookup per row. Rows of one key share a shard; a null key
     falls back to ``fallback`` (else the empty key), so that a third of rows with a null
-    key still spread. Existing columns of the two names are replaced; no row is lost.
+    key still spread. Existing columns of the two names, in any case, are replaced; no row is
+    lost, repeated ones neither; an empty table gives an empty one.
     """
     table = lookup_table(shards, slots)
     text = F.coalesce(F.col(key) if isinstance(key, str) else key).cast("string")
@@ -68,7 +69,7 @@ def assign_shards(df: DataFrame, shards: Sequence[str], key: Column | str,
     lookup = (df.sparkSession.range(1)
               .select(F.posexplode(F.lit(table)).alias(at, name))
               .select(at, F.element_at(F.lit(list(shards)), F.col(name) + 1).alias(name)))
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in (shard_col, slot_col)]
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (shard_col.lower(), slot_col.lower())]
     placed = df.withColumn(slot, F.pmod(md5_number(text), F.lit(len(table))).cast("int"))
     return (placed.join(F.broadcast(lookup), F.col(slot) == F.col(at), "left")
             .select(*keep, F.col(slot).alias(slot_col), F.col(name).alias(shard_col)))

@@ -84,3 +84,11 @@ def test_block_beats_allow_of_the_same_text_and_longer_wins():
     assert trie.match("a.com", "/x1") == ("a.com/x", "block")
     assert trie.match("b.a.com", "/x/y") == ("a.com/x/y", "allow")
     assert trie.match("b.com", "") == ("com", "block") and trie.match("b.net", "/") is None
+
+
+def test_shards_replace_columns_of_their_names_in_any_case(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "x", 9), (1, "a", "x", 9), (None, None, "y", 8)], "doc_id long, text string, Shard string, SLOT int")
+    out = sharding.assign_shards(df, ["p", "q"], "doc_id")
+    assert out.columns == ["doc_id", "text", "slot", "shard"] and sharding.assign_shards(df.limit(0), ["p", "q"], "doc_id").count() == 0
+    out.write.parquet(str(tmp_path / "out"))
+    assert {r.shard for r in spark.read.parquet(str(tmp_path / "out")).collect()} <= {"p", "q"} and out.count() == 3
