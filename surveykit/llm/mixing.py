@@ -232,16 +232,26 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                    weights=(3, 1, 2), total: float = 1.5, cap: float = 2.0, seed: int = 0) -> DataFrame:
-    """``df``'s rows as often as the mix takes them, all columns kept.
+                    weights=(3, 1, 2), total: float = 1.5, cap: float = 2.0, shards: int = 16, seed: int = 0,
+                    runs: int = 16) -> DataFrame:
+    """``df``'s rows as often as the mix takes them, all columns kept, laid out as drawn.
 
     Whole documents only: one that a pass cuts goes to the nearer side, so a source is off
-    its target by half a document at most. Documents without words are not taken.
+    its target by half a document at most. Documents without words are not taken. A copy
+    stands where its first piece of that pass was drawn: rows are spread by shard and one of
+    ``runs`` parts of it, and lie in the order of the local shuffle there. Repeated rows
+    share their draws. A null source is a source; an empty table gives an empty one.
     """
-    taken, _ = mix_sources(df, id_col, text_col, source_col, weights, total, cap, seed=seed)
+    taken, pieces = mix_sources(df, id_col, text_col, source_col, weights, total, cap, shards, seed)
     copies = (taken.where("size > 0").groupBy("place").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies"))
               .where("copies > 0"))
-    at, n, each = (temp_name(df, x) for x in ("place", "copies", "each"))
+    start = pieces.groupBy("place", "pass").agg(F.min(F.struct("first", "word", "shard", "rank")).alias("start"))
+    homes = start.groupBy("place").agg(F.sort_array(F.collect_list(  # one for each pass
+        F.struct("pass", "start.shard", "start.rank"))).alias("homes"))
+    at, n, home = (temp_name(df, x) for x in ("place", "homes", "home"))
+    plan = copies.join(homes, "place").select(F.col("place").alias(at), F.slice("homes", 1, F.col("copies")).alias(n))
     rows = df.withColumn(at, place(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed))
-    rows = rows.join(copies.select(F.col("place").alias(at), F.col("copies").alias(n)), at)
-    return rows.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = rows.join(plan, at).withColumn(home, F.explode(n))
+    part, rank = F.col(home)["shard"], F.col(home)["rank"]
+    rows = rows.repartition(part, F.pmod(rank, F.lit(runs))).sortWithinPartitions(part, rank)
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -111,3 +111,41 @@ def test_mixed_documents_and_empty(docs_of):
     assert documents.count() == 0 and pieces.count() == 0
     with pytest.raises(ValueError):
         mixing.mix_sources(df, shards=3)
+
+
+def test_mixed_documents_lie_as_drawn(docs_of):
+    """Every copy stands in its drawn shard, in the order of the local shuffle."""
+    df = docs_of([(i, "w " * (i % 23 + 1) + str(i), f"s{i % 3}") for i in range(300)])
+
+    def layout(**how):
+        out = mixing.mixed_documents(df, **how).withColumn("part", F.spark_partition_id()).collect()
+        parts = defaultdict(list)
+        for r in out:
+            parts[r.part].append(r.doc_id)
+        return parts
+
+    _, pieces = mixing.mix_sources(df, shards=4, seed=3)
+    starts = {}
+    for r in pieces.collect():
+        at = (r.id, r["pass"])
+        starts[at] = min(starts.get(at, (math.inf,)), (r.first, r.word, r.shard, r.rank))
+    found = layout(shards=4, seed=3)
+    copies = Counter(i for ids in found.values() for i in ids)
+    passes = defaultdict(list)
+    for (i, p), start in sorted(starts.items()):
+        passes[i].append(start[2:])
+    homes = {}
+    for i, n in copies.items():
+        assert n <= len(passes[i])
+        for shard, rank in passes[i][:n]:
+            homes[shard, rank] = i
+    assert len(homes) == sum(copies.values())
+    for ids in found.values():
+        mine = sorted(at for at, i in homes.items() if i in ids)
+        order = [homes[at] for at in mine]
+        rest = iter(order)
+        assert all(i in rest for i in ids)  # a partition's rows follow shard and rank
+    flat = lambda parts: [parts[k] for k in sorted(parts)]
+    assert flat(layout(shards=4, seed=3)) == flat(found)
+    assert flat(layout(shards=8, seed=3)) != flat(found)
+    assert flat(layout(shards=4, seed=4)) != flat(found)
