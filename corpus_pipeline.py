@@ -17,11 +17,19 @@ from surveykit.session import scratch_path, ship_code
 
 #: Near duplicates share words in fives, at a similarity of 0.8 or more.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
+#: Whole texts go to Python workers in batches of so many bytes at most (or one long text).
+BATCH_BYTES = 8 << 20
+
+
+def _ready(spark: SparkSession) -> None:
+    """The session as the Python stages need it: code shipped, batches bounded by bytes."""
+    ship_code(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores under one half stay (a null text does)."""
-    ship_code(spark)
+    _ready(spark)
     model = toxicity.fit(toxicity.training_sample(docs, table(spark, sf_dir, "labels")))
     score = temp_name(docs, "score")
     return (docs.withColumn(score, toxicity.score_column(model, F.col("text")))
@@ -34,13 +42,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without a word have no group and all stay; of repeated rows with the group's
     smallest id one stays, as of groups without any id.
     """
-    ship_code(spark)
+    _ready(spark)
     return ngram_join.one_of_each(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    ship_code(spark)
+    _ready(spark)
     found = temp_name(docs, "passages")
     return (decontam.find_passages(docs, table(spark, sf_dir, "benchmark"), found)
             .where(F.size(found) == 0).drop(found))
