@@ -8,8 +8,10 @@ group's raw rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import membership_class, recode, strip_prefix
@@ -210,8 +212,8 @@ def class_balance(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC,
 
 
 # ---- validation and profiling --------------------------------------------------------
-def validate_survey(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame:
-    """(column, rule, n_bad) in one pass. A missing column reports n_bad = -1."""
+def _validation(df: DataFrame, spec: SurveySpec) -> tuple[list[Column], list[Column]]:
+    """S2 as aggregates over ``df`` and as the report's entries over their one row."""
     checks: list[tuple[str, str, Column]] = []
     flags = [*spec.friction_cols, *spec.module_cols, spec.target_col]
     for c in flags:
@@ -230,17 +232,15 @@ def validate_survey(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame
     ok = [(c, r, e) for c, r, e in checks if c in present]
     missing = [(c, "present") for c in required if c not in present]
     aggs = [F.count_if(F.coalesce(e, F.lit(False))).alias(f"c{i}") for i, (_, _, e) in enumerate(ok)]
-    wide = df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("_n"))
     entries = [F.struct(F.lit(c).alias("column_name"), F.lit(r).alias("rule"),
                         F.col(f"c{i}").cast("bigint").alias("n_bad")) for i, (c, r, _) in enumerate(ok)]
     entries += [F.struct(F.lit(c).alias("column_name"), F.lit(r).alias("rule"),
                          F.lit(-1).cast("bigint").alias("n_bad")) for c, r in missing]
-    return wide.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
+    return aggs, entries
 
 
-def profile_survey(df: DataFrame, numeric_cols: Sequence[str] | None = None) -> DataFrame:
-    """S3: per numeric column n, missing, min, max, mean, sample std and sample-adjusted
-    skewness, one aggregation, long form."""
+def _profile(df: DataFrame, numeric_cols: Sequence[str] | None) -> tuple[list[Column], list[Column]]:
+    """S3 as aggregates over ``df`` and as the profile's entries over their one row."""
     if numeric_cols is None:
         numeric_cols = [f.name for f in df.schema.fields
                         if f.dataType.typeName() in ("integer", "long", "double", "float", "short")]
@@ -250,7 +250,6 @@ def profile_survey(df: DataFrame, numeric_cols: Sequence[str] | None = None) ->
         aggs += [F.count(x).alias(f"n{i}"), F.count_if(x.isNull()).alias(f"m{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"mu{i}"),
                  F.stddev_samp(x).alias(f"sd{i}"), F.skewness(x).alias(f"sk{i}")]
-    wide = df.agg(*aggs)
     entries = []
     for i, c in enumerate(numeric_cols):
         n = F.col(f"n{i}").cast("double")
@@ -261,42 +260,135 @@ def profile_survey(df: DataFrame, numeric_cols: Sequence[str] | None = None) ->
             F.col(f"n{i}").cast("bigint").alias("n"), F.col(f"m{i}").cast("bigint").alias("n_missing"),
             F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.col(f"mu{i}").alias("mean"),
             F.col(f"sd{i}").alias("stddev"), adj.alias("skewness")))
+    return aggs, entries
+
+
+def _report(wide: DataFrame, entries: list[Column]) -> DataFrame:
     return wide.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list:
-    """Exact interpolated quantiles (the ``percentile`` / ``quantile_cont``
-    definition) without holding a column in one buffer.
+def validate_survey(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame:
+    """(column, rule, n_bad) in one pass. A missing column reports n_bad = -1."""
+    aggs, entries = _validation(df, spec)
+    return _report(df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("_n")), entries)
+
+
+def profile_survey(df: DataFrame, numeric_cols: Sequence[str] | None = None) -> DataFrame:
+    """S3: per numeric column n, missing, min, max, mean, sample std and sample-adjusted
+    skewness, one aggregation, long form."""
+    aggs, entries = _profile(df, numeric_cols)
+    return _report(df.agg(*aggs), entries)
+
+
+def write_checked(df: DataFrame, path: str, spec: SurveySpec = DEFAULT_SPEC,
+                  numeric_cols: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """S2 and S3 in the same pass as the write: (validation, profile) of the rows written.
 
-    Distinct values are counted (partial aggregation), their running counts come from
-    the distributed prefix sum, and only the ≤ 2·len(probs) histogram rows that
-    hold the needed ranks reach the driver.
+    The checks are metrics observed while ``df`` is written as Parquet to ``path``, so
+    reading, checking, profiling and writing cost one scan; what reaches the driver is one
+    number per check. An existing path is an error.
+    """
+    checks, rules = _validation(df, spec)
+    numbers, columns = _profile(df, numeric_cols)
+    parts = [(aggs, entries) for aggs, entries in ((checks, rules), (numbers, columns)) if entries]
+    seen = [Observation() for _ in parts]
+    watched = df
+    for observation, (aggs, _) in zip(seen, parts):
+        watched = watched.observe(observation, *(aggs or [F.count(F.lit(1)).alias("_n")]))
+    watched.write.parquet(path)
+    reports = []
+    for observation, (aggs, entries) in zip(seen, parts):
+        schema = df.agg(*(aggs or [F.count(F.lit(1)).alias("_n")])).schema
+        got = observation.get
+        reports.append(_report(df.sparkSession.createDataFrame([tuple(got[f.name] for f in schema)], schema), entries))
+    if len(reports) == 1:  # no numeric column
+        reports.append(None)
+    return reports[0], reports[1]
+
+
+#: Rows between a rank's two bounds that are counted value by value.
+BRACKET_ROWS = 100_000
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], error: float = 0.001,
+                    bracket_rows: int = BRACKET_ROWS) -> list:
+    """Exact interpolated quantiles (the ``percentile`` / ``quantile_cont`` definition).
+
+    A mergeable quantile sketch (rank error ``error``) bounds the value of each rank from
+    both sides; one aggregation counts the rows before and inside all bounds, which proves
+    them right or sends that rank back to the whole range. Bounds with up to ``bracket_rows``
+    rows inside are resolved by counting their values, wider ones are sketched again over
+    their own rows. Nulls are left out, NaN is the greatest value, an empty column gives
+    nulls. Nothing is shuffled but partial sketches, counts and the values inside the bounds.
     """
-    from ..session import written
-    from .metrics import running_totals
     x = F.col(col).cast("double")
-    hist = written(df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c")), "histogram")
-    n = hist.agg(F.sum("c")).first()[0]
+    rows = df.select(x.alias("v")).where(F.col("v").isNotNull())
+    real = rows.where(~F.isnan("v"))
+    n, m, low, high = rows.agg(F.count("*"), F.count_if(~F.isnan("v")), F.min("v"),
+                               F.max(F.when(~F.isnan("v"), F.col("v")))).first()
     if not n:
         return [None for _ in probs]
-    cum = running_totals(hist, "v", ["c"])
-    ranks = set()
-    pos = []
-    for p in probs:
-        q = p * (n - 1)
-        lo, hi = int(q // 1), int(-(-q // 1))
-        pos.append((q, lo, hi))
-        ranks.update((lo, hi))
-    cond = None
-    for r in sorted(ranks):   # rank r (0-based) lives in the row with c_cum - c <= r < c_cum
-        e = (F.col("c_cum") - F.col("c") <= r) & (F.col("c_cum") > r)
-        cond = e if cond is None else cond | e
-    rows = cum.where(cond).select("v", "c", "c_cum").collect()
-
-    def at(r):
-        return next(row["v"] for row in rows if row["c_cum"] - row["c"] <= r < row["c_cum"])
+    places = [(p * (n - 1), int(p * (n - 1) // 1), int(-(-(p * (n - 1)) // 1))) for p in probs]
+    wanted = sorted({r for _, lo, hi in places for r in (lo, hi)})
+    value = {r: float("nan") for r in wanted if r >= m}
+    # rank -> bounds, rows before the lower one, rows inside
+    open_ranks = {r: (low, high, 0, m) for r in wanted if r < m}
+    while open_ranks:
+        for r, (lo, hi, _, _) in list(open_ranks.items()):
+            if lo == hi:
+                value[r] = lo
+                del open_ranks[r]
+        few = {r: b for r, b in open_ranks.items() if b[3] <= bracket_rows}
+        if few:
+            spans = sorted({(b[0], b[1]) for b in few.values()})
+            inside = real.where(reduce(or_, [F.col("v").between(lo, hi) for lo, hi in spans]))
+            counts = inside.groupBy("v").agg(F.count("*").alias("c")).collect()
+            for r, (lo, hi, before, _) in few.items():
+                for v, c in sorted((row["v"], row["c"]) for row in counts if lo <= row["v"] <= hi):
+                    before += c
+                    if before > r:
+                        value[r] = v
+                        break
+                del open_ranks[r]
+        if not open_ranks:
+            break
+        narrower = {}
+        by_span: dict = {}
+        for r, bounds in open_ranks.items():
+            by_span.setdefault(bounds, []).append(r)
+        for (lo, hi, before, size), ranks in by_span.items():
+            at = [min(max((r - before) / size + side * 2 * error, 0.0), 1.0) for r in ranks for side in (-1, 1)]
+            found = real.where(F.col("v").between(lo, hi)).approxQuantile("v", at, error)
+            narrower.update({r: (found[2 * i], found[2 * i + 1]) for i, r in enumerate(ranks)})
+        order = list(narrower)
+        sums = real.agg(*[F.count_if(F.col("v") < narrower[r][0]) for r in order],
+                        *[F.count_if(F.col("v") <= narrower[r][1]) for r in order]).first()
+        for i, r in enumerate(order):
+            before, upto = sums[i], sums[len(order) + i]
+            old = open_ranks[r]
+            if not before <= r < upto or upto - before >= old[3]:
+                # the sketch missed, or one value fills the bounds: halve the range instead
+                narrower[r] = _halved(real, r, old)
+                continue
+            narrower[r] = (*narrower[r], before, upto - before)
+        open_ranks = narrower
     out = []
-    for q, lo, hi in pos:
-        a, b = at(lo), at(hi)
+    for q, lo, hi in places:
+        a, b = value[lo], value[hi]
         out.append(a if lo == hi else (hi - q) * a + (q - lo) * b)
     return out
+
+
+def _halved(real: DataFrame, rank: int, bounds: tuple) -> tuple:
+    """The side of the middle of ``bounds`` that holds ``rank``; both ends become values that occur."""
+    lo, hi, _, _ = bounds
+    middle = lo / 2 + hi / 2
+    if not lo <= middle < hi:  # neighbouring numbers
+        middle = lo
+    v = F.col("v")
+    left, before, upto, left_high, right_low = real.agg(
+        F.count_if(v <= middle), F.count_if(v < lo), F.count_if(v <= hi),
+        F.max(F.when(v.between(lo, middle), v)), F.min(F.when((v > middle) & (v <= hi), v))).first()
+    if rank < left:
+        return lo, left_high, before, left - before
+    return right_low, hi, left, upto - left

@@ -67,6 +67,12 @@ def vw_curves(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, lo: float = GRID_L
     ``pct`` = share of *all* rows of the group (null prices count in the denominator
     only) meeting the series comparison at that grid price, ×100.
     """
+    return curves_of_histogram(price_histogram(df, spec, lo, hi, n, by), lo, hi, n, by)
+
+
+def price_histogram(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, lo: float = GRID_LO,
+                    hi: float = GRID_HI, n: int = GRID_N, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, series, key, cnt): the curves' state. Histograms of parts add up to that of the whole."""
     by = list(by)
     entries = []
     for name, attr, direction in SERIES:
@@ -78,11 +84,11 @@ def vw_curves(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, lo: float = GRID_L
         entries.append(f"named_struct('series', '{name}', 'key', {key})")
     long = df.select(*by, F.expr(f"explode(array({', '.join(entries)}))").alias("e")) \
         .select(*by, "e.series", "e.key")
-    hist = long.groupBy(*by, "series", "key").agg(F.count(F.lit(1)).alias("cnt"))
-    return _expand_histogram(hist, by, lo, hi, n)
+    return long.groupBy(*by, "series", "key").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _expand_histogram(hist: DataFrame, by: list, lo: float, hi: float, n: int) -> DataFrame:
+def curves_of_histogram(hist: DataFrame, lo: float = GRID_LO, hi: float = GRID_HI, n: int = GRID_N,
+                        by: Sequence[str] = ()) -> DataFrame:
     """Dense curves from the (small) histogram without joining back to it.
 
     "ge" series are mirrored (m = n-1-key) so every series becomes a prefix sum:

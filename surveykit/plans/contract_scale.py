@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cooccurrence as O
 from ..operators import decide as D
+from ..operators import describe as A
 from ..operators import metrics as M
 from ..operators import silhouette_index
 from ..operators import baskets as B
@@ -17,6 +18,7 @@ from ..spec import DEFAULT_SPEC as SPEC
 from ..session import scratch_path
 from ..sources.quarantine import read_survey_checked
 from ..sources.sinks import PublishedSet
+from ..streaming.curves import CurveState, maintain_curves
 from .contract import FEATS, S, _fixed, _scored, query
 
 # ---- co-occurrence of long baskets --------------------------------------------------------
@@ -181,3 +183,47 @@ def q_csv_quarantine(spark, sf):
     accepted, rejected = read_survey_checked(spark, path)
     return (accepted.select(F.lit("accepted").alias("reason"), F.concat_ws("|", *names).alias("text"))
             .unionByName(rejected.select("reason", "text")))
+
+
+# ---- checks in the pass of the write, curves that grow ---------------------------------------
+def _write_checked(spark, sf):
+    numbers = [SPEC.year_col, *SPEC.friction_cols, SPEC.score_col, *SPEC.module_cols, *SPEC.price_cols, SPEC.target_col]
+    return A.write_checked(with_gaps(S(spark, sf)), scratch_path(spark, f"checked-{uuid.uuid4().hex}"), numeric_cols=numbers)
+
+
+@query("validate_on_write")
+def q_validate_on_write(spark, sf):
+    """The checks of a survey with missing cells, counted while it is written."""
+    return _write_checked(spark, sf)[0]
+
+
+@query("profile_on_write")
+def q_profile_on_write(spark, sf):
+    """The profile of a survey with missing cells, made while it is written."""
+    return _write_checked(spark, sf)[1]
+
+
+class _Twice:
+    """A state whose every batch comes a second time, as after a restart between write and commit."""
+
+    def __init__(self, state: CurveState):
+        self.state = state
+
+    def update(self, batch, batch_id):
+        self.state.update(batch, batch_id)
+        self.state.update(batch, batch_id)
+
+
+@query("vw_curves_stream")
+def q_vw_curves_stream(spark, sf):
+    """The price curves by segment of answers that arrive as a stream of files, one a batch. Every
+    batch comes twice; the first two are folded together, and the first then comes once more."""
+    base = scratch_path(spark, f"answers-{uuid.uuid4().hex}")
+    S(spark, sf).withColumn("part", F.pmod("respondent_id", F.lit(3))).repartition(3, "part").write.partitionBy("part").parquet(f"{base}/in")
+    rows = spark.read.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    state = CurveState(spark, f"{base}/state", by=["Segment"])
+    maintain_curves(stream, _Twice(state), f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    state.compact(1)
+    state.update(rows, 0)
+    return state.curves().select("Segment", "series", "grid_idx", "hits", "n", "pct")

@@ -553,7 +553,12 @@ def _on_gaps(name):
 
 for _name in ("vw_curves", "kpis", "module_rates", "segment_freq"):
     SQL[f"{_name}_gaps"] = _on_gaps(_name)
-SQL["csv_survey"] = _on_gaps("profile_survey")
+SQL["csv_survey"] = SQL["profile_on_write"] = _on_gaps("profile_survey")
+SQL["validate_on_write"] = _on_gaps("validate_survey")
+SQL["vw_curves_stream"] = with_survey(f""", g AS ({grid_sql()}),
+c AS (SELECT Segment, g.grid_idx, {_CURVE_COUNTS} FROM g CROSS JOIN survey s GROUP BY ALL)
+""" + _union([f"SELECT Segment, {_q(x)} AS series, grid_idx, CAST({x} AS BIGINT) AS hits, CAST(n AS BIGINT) AS n, "
+              f"CAST({x} AS DOUBLE) / n * 100 AS pct FROM c" for x in _SERIES]))
 SQL["baskets_gaps"] = with_survey(_GAPS + "\n" + _union([
     f"SELECT respondent_id, {flag} AS null_as, concat_ws(' + ', "
     + ", ".join(f"CASE WHEN coalesce({c} <> 0, {flag}) THEN {_q(nm)} END" for nm, c in _ITEMS) + ") AS items_text FROM gaps"
