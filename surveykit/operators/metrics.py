@@ -7,8 +7,10 @@ all distinct scores of a large test set.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,9 +79,15 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], by: Sequenc
     by = list(by)
     df = written(df, "prefix")
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    run = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(order).cast("double"))) if cuts else F.lit(0)
-    r = df.withColumn("_run", -run if descending else run)
+    cuts = set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts)) if parts > 1 else ()
+    cuts = sorted(c for c in cuts if math.isfinite(c))
+    if cuts:  # a binary search per row; NaN, the greatest value, has a run of its own, nulls the first
+        r = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_x", outputCol="_at", handleInvalid="keep").transform(
+            df.withColumn("_x", F.col(order).cast("double")))
+        run = F.when(F.col("_x").isNull(), -1).otherwise(F.col("_at").cast("int"))
+        r = r.withColumn("_run", -run if descending else run).drop("_x", "_at")
+    else:
+        r = df.withColumn("_run", F.lit(0))
     key = F.col(order).desc() if descending else F.col(order).asc()
     tot = r.groupBy("_run", *by).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     w_off = Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
