@@ -12,8 +12,9 @@ from ..operators import metrics as M
 from ..operators import silhouette_index
 from ..operators import baskets as B
 from ..operators import classify as C
+from ..operators.heavy_modes import heavy_mode
 from ..operators.model_store import table_fingerprint
-from ..sources.fixture import FIXED_TREE, WIDE_FLAGS, event_baskets, order_lines, wide_flags, with_gaps
+from ..sources.fixture import FIXED_TREE, WIDE_FLAGS, event_baskets, order_lines, table, wide_flags, with_gaps
 from ..spec import DEFAULT_SPEC as SPEC
 from ..session import scratch_path
 from ..sources.quarantine import read_survey_checked
@@ -227,3 +228,22 @@ def q_vw_curves_stream(spark, sf):
     state.compact(1)
     state.update(rows, 0)
     return state.curves().select("Segment", "series", "grid_idx", "hits", "n", "pct")
+
+
+# ---- modes of very many values ----------------------------------------------------------------
+@query("customer_mode")
+def q_customer_mode(spark, sf):
+    """The customer with the most orders."""
+    return heavy_mode(table(spark, sf, "orders"), "o_custkey")
+
+
+@query("customer_mode_by_priority")
+def q_customer_mode_by_priority(spark, sf):
+    """The customer with the most orders of each priority."""
+    return heavy_mode(table(spark, sf, "orders"), "o_custkey", "o_orderpriority")
+
+
+@query("part_mode_by_ship_mode")
+def q_part_mode(spark, sf):
+    """The part that is shipped most often, by ship mode."""
+    return heavy_mode(table(spark, sf, "lineitem"), "l_partkey", "l_shipmode")

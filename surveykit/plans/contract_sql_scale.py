@@ -114,6 +114,19 @@ SELECT CASE respondent_id % 50 WHEN 1 THEN 'too few cells' WHEN 2 THEN 'too many
     ELSE concat_ws('|', respondent_id, Segment, Q1_Vehicle_Year, Q5_Rattle_Severity_Scale) END AS text FROM survey""")
 
 
+def _mode_of(table: str, col: str, by: str = "") -> str:
+    keys = f"{by}, " if by else ""
+    over = f"PARTITION BY {by} " if by else ""
+    return f"""SELECT {keys}{col}, CAST(n AS BIGINT) AS n FROM (
+  SELECT {keys}{col}, count(*) AS n FROM {table} WHERE {col} IS NOT NULL{f" AND {by} IS NOT NULL" if by else ""} GROUP BY {keys}{col}) c
+QUALIFY row_number() OVER ({over}ORDER BY n DESC, {col}) = 1"""
+
+
+SQL["customer_mode"] = _mode_of("orders", "o_custkey")
+SQL["customer_mode_by_priority"] = _mode_of("orders", "o_custkey", "o_orderpriority")
+SQL["part_mode_by_ship_mode"] = _mode_of("lineitem", "l_partkey", "l_shipmode")
+
+
 def published_report(sql: dict[str, str], prices: list[str]) -> str:
     """The published cells, from the twins of the queries that make the report's tables."""
     parts = [f"SELECT 'price_points' AS \"table\", point AS key, c.cell, c.value FROM ({sql['vw_points']}) q, "
