@@ -243,7 +243,7 @@ def q_customer_mode_by_priority(spark, sf):
     return heavy_mode(table(spark, sf, "orders"), "o_custkey", "o_orderpriority")
 
 
-@query("part_mode_by_ship_mode")
+@query("part_mode_by_return_flag")
 def q_part_mode(spark, sf):
-    """The part that is shipped most often, by ship mode."""
-    return heavy_mode(table(spark, sf, "lineitem"), "l_partkey", "l_shipmode")
+    """The part that is ordered most often, by return flag."""
+    return heavy_mode(table(spark, sf, "lineitem"), "l_partkey", "l_returnflag")

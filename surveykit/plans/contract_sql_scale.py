@@ -124,7 +124,7 @@ QUALIFY row_number() OVER ({over}ORDER BY n DESC, {col}) = 1"""
 
 SQL["customer_mode"] = _mode_of("orders", "o_custkey")
 SQL["customer_mode_by_priority"] = _mode_of("orders", "o_custkey", "o_orderpriority")
-SQL["part_mode_by_ship_mode"] = _mode_of("lineitem", "l_partkey", "l_shipmode")
+SQL["part_mode_by_return_flag"] = _mode_of("lineitem", "l_partkey", "l_returnflag")
 
 
 def published_report(sql: dict[str, str], prices: list[str]) -> str:
