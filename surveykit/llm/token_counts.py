@@ -14,6 +14,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_ID = 50256
 BLOCK_TOKENS = 1 << 16
+#: Token files over so many bytes are read by ranges (one binary value of Spark holds 2 GB).
+WHOLE_BYTES = 1 << 30
 BLOCKS = "stream string, block long, payload binary, ids array<long>"
 
 
@@ -78,15 +81,42 @@ def token_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInPandas(pack, BLOCKS)
 
 
-def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of the flat token files under ``path`` (each at most Spark's 2 GB for a binary value)."""
+def _open(path: str):
+    """A file of Spark's path column, open for reading at any place, through Arrow's file systems."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    system, name = fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else path)
+    return system.open_input_file(name)
+
+
+def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS,
+                     whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """Blocks of the flat token files under ``path``, of any size.
+
+    Files up to ``whole_bytes`` are read whole, through Spark's own file systems. Of larger ones
+    only name and length are listed; every block is a byte range that a task reads by itself,
+    spread by hash, through Arrow's file systems (local, HDFS, S3, GCS). The blocks are the same.
+    Empty files have none; an odd last byte is an error of the scan.
+    """
     files = spark.read.format("binaryFile").load(path).where("length > 0")
     step = 2 * block_tokens
-    blocks = files.select("path", "content", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))).alias("block"))
-    return blocks.select(F.col("path").alias("stream"), "block",
-                         F.expr(f"substring(content, int(block * {step} + 1), {step})").alias("payload"),
-                         F.lit(None).cast("array<long>").alias("ids"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))).alias("block")
+    small = files.where(F.col("length") <= whole_bytes).select("path", "content", block).select(
+        "path", "block", F.expr(f"substring(content, int(block * {step} + 1), {step})").alias("payload"))
+    ranges = files.where(F.col("length") > whole_bytes).select("path", block).repartition("path", "block")
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, blocks in frame.groupby("path")["block"]:
+                with _open(name) as file:
+                    for k in sorted(blocks):
+                        file.seek(int(k) * step)
+                        yield pd.DataFrame({"path": [name], "block": [k], "payload": [file.read(step)]})
+
+    large = ranges.mapInPandas(read, "path string, block long, payload binary")
+    return small.unionByName(large).select(F.col("path").alias("stream"), "block", "payload",
+                                           F.lit(None).cast("array<long>").alias("ids"))
 
 
 def scan_blocks(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:

@@ -234,10 +234,12 @@ def test_token_counts(docs_of, spark, tmp_path):
     assert token_counts.count_tokens(docs_of([])).count() == 0
     # real flat files, cut anywhere; the last one isn't closed
     files = {"a": [3, 5, token_counts.END_ID, token_counts.END_ID, 9], "b": [1] * 20 + [token_counts.END_ID], "c": []}
+    folder = tmp_path / "token files"
+    folder.mkdir()
     for name, tokens in files.items():
-        (tmp_path / name).write_bytes(np.array(tokens, dtype="<u2").tobytes())
-    for block in (1, 2, 4, 64):
-        scanned = token_counts.scan_blocks(token_counts.read_token_files(spark, str(tmp_path), block))
+        (folder / name).write_bytes(np.array(tokens, dtype="<u2").tobytes())
+    for block, whole in ((1, 1 << 30), (2, 0), (4, 1 << 30), (4, 0), (4, 20), (64, 0)):  # read whole, by ranges, either
+        scanned = token_counts.scan_blocks(token_counts.read_token_files(spark, str(folder), block, whole))
         got = sorted((r.stream[-1], r.ordinal, r.first, r.n_tokens, r.closed) for r in token_counts.document_counts(scanned).collect())
         assert got == [("a", 0, 0, 2, True), ("a", 1, 3, 0, True), ("a", 2, 4, 1, False), ("b", 0, 0, 20, True)]
 
