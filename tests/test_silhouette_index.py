@@ -66,3 +66,14 @@ def test_awkward_rows(spark):
             S.silhouette_euclid(df, ["a"])
         finally:
             S.MOST_NUMBERS = most
+
+
+def test_index_of_computed_columns_is_planned_without_them(spark):
+    from surveykit.operators import cluster as K
+    df = spark.range(60).select(*[(F.col("id") * (j + 1) % 7).cast("double").alias(f"c{j}") for j in range(6)])
+    cols = [f"c{j}" for j in range(6)]
+    rows = K.assign_clusters(K.standardize(df, cols), cols, [[0.5] * 6, [-0.5] * 6])
+    index = S.reference_index(rows, cols)
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "Range" not in plan
+    assert sum(r["size"] for r in index.collect()) == 60
