@@ -9,7 +9,8 @@ probability of class 1 is the leaf mean (averaged over trees); class = p > 0.5.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from ..spec import DEFAULT_SPEC, MODEL_FEATURE_LABELS, RULE_FEATURE_LABELS, SEED
 MAX_DEPTH = 30
 #: Memory of a task for the statistics of the nodes that one pass splits.
 PASS_MEMORY_MB = 1024
+#: Training rows that make a task of their own worth it, and those that a task gets at most.
+LEAST_TASK_ROWS, MOST_TASK_ROWS = 2_500, 100_000
 
 
 def hash_bucket(id_col: str | Column, salt: str, buckets: int = 100) -> Column:
@@ -107,6 +110,25 @@ def feature_vectors(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC) -> DataFrame
     return va.transform(df.withColumn("label", F.col(spec.target_col).cast("double")))
 
 
+@contextmanager
+def _dealt(train: DataFrame) -> Iterator[DataFrame]:
+    """The training vectors, held while a model is fitted, in no more tasks than the cores and
+    the rows call for.
+
+    In each pass over the rows a task sets up and hands out the statistics of all nodes that
+    the pass splits, with rows of them or without: nodes x tasks is what a fit costs. The rows
+    of a partition are in an order of their values, so a fit can be repeated.
+    """
+    vectors = train.select("features", "label")
+    n = vectors.count()
+    tasks = max(1, min(train.sparkSession.sparkContext.defaultParallelism, n // LEAST_TASK_ROWS), -(-n // MOST_TASK_ROWS))
+    held = vectors.repartition(tasks).sortWithinPartitions(F.xxhash64("features", "label")).persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def fit_forest(train: DataFrame, spec: SurveySpec = DEFAULT_SPEC, num_trees: int = 300,
                max_depth: int = MAX_DEPTH, seed: int = SEED, max_bins: int = 128,
                subsampling_rate: float = 1.0):
@@ -120,7 +142,8 @@ def fit_forest(train: DataFrame, spec: SurveySpec = DEFAULT_SPEC, num_trees: int
                                maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
                                maxBins=max_bins, subsamplingRate=subsampling_rate,
                                cacheNodeIds=True, maxMemoryInMB=PASS_MEMORY_MB)
-    return rf.fit(train)
+    with _dealt(train) as rows:
+        return rf.fit(rows)
 
 
 def fit_tree(train: DataFrame, max_depth: int = 4, min_leaf: int = 20, seed: int = SEED,
@@ -139,7 +162,8 @@ def fit_boosted(train: DataFrame, max_iter: int = 100, max_depth: int = 3, step:
     from pyspark.ml.classification import GBTClassifier
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter,
                         maxDepth=max_depth, stepSize=step, seed=seed, maxBins=max_bins)
-    return gbt.fit(train)
+    with _dealt(train) as rows:
+        return gbt.fit(rows)
 
 
 def score(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -307,7 +331,8 @@ def cross_validate(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = 5,
                    num_trees: int = 300, max_depth: int = MAX_DEPTH, seed: int = SEED,
                    parallelism: int | None = None) -> DataFrame:
     """K folds; each fold scored by a forest fitted on the others: (fold, auc).
-    The k fits are independent and run concurrently (like ``CrossValidator(parallelism)``)."""
+    The k fits are independent; two run at a time by default (one fills the cores but for the
+    ends of its passes, and the driver holds the trees of each fit under way)."""
     from concurrent.futures import ThreadPoolExecutor
 
     from .metrics import auc
@@ -318,8 +343,8 @@ def cross_validate(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = 5,
         model = fit_forest(data.where(F.col("fold") != f), spec, num_trees, max_depth, seed)
         return f, auc(score(model, data.where(F.col("fold") == f))).first()["auc"]
 
-    try:   # default: all folds at once (one wave)
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism or k, k))) as ex:
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism or 2, k))) as ex:
             rows = list(ex.map(one, range(k)))
     finally:
         data.unpersist()

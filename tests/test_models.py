@@ -78,3 +78,13 @@ def test_rules_for_class(spark, survey_small):
     rules = C.tree_rules(C.fit_tree(data), data)
     ones = C.rules_for_class(rules, 1).collect()
     assert all(r["prediction"] == 1 for r in ones)
+
+
+def test_forest_does_not_depend_on_how_its_rows_are_dealt(spark):
+    from pyspark.ml.functions import array_to_vector
+    rows = spark.range(600).select(F.array(*[(F.xxhash64(F.lit(j), "id") % 100).cast("double") for j in range(4)]).alias("x"), "id")
+    rows = rows.select(array_to_vector("x").alias("features"), (F.col("x")[0] + F.col("x")[1] > 0).cast("double").alias("label"))
+    with C._dealt(rows.repartition(40)) as held:
+        assert held.rdd.getNumPartitions() == 1 and held.count() == 600
+    a, b = (C.fit_forest(rows.repartition(n), num_trees=5, max_depth=6) for n in (3, 40))
+    assert a.featureImportances == b.featureImportances
