@@ -1,7 +1,7 @@
 """Many k-means fits in shared scans (M2, M3): every start of every k is one set of centres, and
 one aggregation over the rows moves all sets at once.
 
-The rows are vectors in one array column. A scan compares each batch of rows with the centres of
+The rows are vectors in one array column, packed once into blocks that all scans read. A scan compares each batch of rows with the centres of
 all sets that still move and hands out, per task, a count, a cost and a sum for each centre; Spark
 adds these up. What returns to the driver is sets x centres x dimensions, whatever the number of
 rows. Starts are chosen as in k-means||, all sets in the same scans; a row's random number is a
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Numbers held at a time while a task compares rows with centres; rounds and oversampling of the start.
 HELD, ROUNDS, OVERSAMPLING = 1 << 20, 2, 2
+#: Rows that make a task of their own worth it, and those that a task gets at most.
+LEAST_TASK_ROWS, MOST_TASK_ROWS = 2_000, 1_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -57,19 +59,42 @@ def distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+def packed(vectors: DataFrame) -> DataFrame:
+    """The vectors as blocks of numbers (d, block), dealt evenly to the cores: every scan reads
+    them as they are. Rows with a missing number are left out (they are in no cluster)."""
+    n = vectors.count()
+    tasks = max(1, min(vectors.sparkSession.sparkContext.defaultParallelism, n // LEAST_TASK_ROWS), -(-n // MOST_TASK_ROWS))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            if len(column) == column.null_count:
+                continue
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            rows = flat.reshape(len(column) - column.null_count, -1)
+            rows, step = rows[~np.isnan(rows).any(axis=1)], max(1, HELD // max(1, rows.shape[1]))
+            for low in range(0, len(rows), step):
+                yield pa.RecordBatch.from_arrays([pa.array([rows.shape[1]], pa.int32()), pa.array([rows[low:low + step].tobytes()], pa.binary())],
+                                                 names=["d", "block"])
+
+    return vectors.repartition(tasks).mapInArrow(pack, "d int, block binary")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
-    """The vectors of a task in blocks; rows with a missing number are left out (they are in no cluster)."""
+    """The vectors of a task, so many at a time as can be held with ``width`` numbers each."""
+    step = max(1, HELD // max(1, width))
     for batch in batches:
-        column = batch.column(0)
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        rows = flat.reshape(len(column) - column.null_count, -1) if len(column) > column.null_count else flat.reshape(0, 1)
-        rows = rows[~np.isnan(rows).any(axis=1)]
-        step = max(1, HELD // max(1, width))
-        for low in range(0, len(rows), step):
-            yield rows[low:low + step]
+        for d, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows = np.frombuffer(block.as_buffer(), dtype=np.float64).reshape(-1, d)
+            for low in range(0, len(rows), step):
+                yield rows[low:low + step]
+
 
+def _parts(sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["part"])
 
-def _scan(vectors: DataFrame, sets: Sequence[np.ndarray]) -> list[tuple]:
+
+def _scan(blocks: DataFrame, sets: Sequence[np.ndarray]) -> list[tuple]:
     """(set, centre, n, cost, sums): every set's rows per nearest centre (ties: the first)."""
     if not sets:
         return []
@@ -86,21 +111,26 @@ def _scan(vectors: DataFrame, sets: Sequence[np.ndarray]) -> list[tuple]:
                 n[low:high] += np.bincount(near, minlength=high - low)
                 cost[low:high] += np.bincount(near, part[np.arange(len(near)), near], minlength=high - low)
                 sums[low:high] += (near[None, :] == np.arange(high - low)[:, None]).astype(np.float64) @ rows
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(cost[at]), *(pa.array(sums[at, j]) for j in range(d))],
-                                         names=["at", "n", "cost", *[f"s{j}" for j in range(d)]])
-
-    schema = "at long, n long, cost double, " + ", ".join(f"s{j} double" for j in range(d))
-    summed = vectors.mapInArrow(run, schema).groupBy("at").agg(
-        F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
+        yield _parts(np.column_stack([n, cost, sums]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(every), d + 2))
+        for batch in batches:
+            for part in batch.column(0):
+                total += np.frombuffer(part.as_buffer(), dtype=np.float64).reshape(total.shape)
+        yield _parts(total)
+
+    # the tasks' sums, one small row each, are added up by one task as they come
+    parts = blocks.mapInArrow(run, "part binary").repartition(1).mapInArrow(add, "part binary")
+    total = np.frombuffer(parts.collect()[0]["part"], dtype=np.float64).reshape(len(every), d + 2)
     out = []
-    for r in summed.collect():  # one row per centre of all sets
-        i = int(np.searchsorted(ends, r["at"], side="right"))
-        out.append((i, r["at"] - int(starts[i]), r["n"], r["cost"], np.array([r[f"s{j}"] for j in range(d)])))
+    for at in np.flatnonzero(total[:, 0]).tolist():
+        i = int(np.searchsorted(ends, at, side="right"))
+        out.append((i, at - int(starts[i]), int(total[at, 0]), float(total[at, 1]), total[at, 2:].copy()))
     return out
 
 
-def _draw(vectors: DataFrame, found: Sequence[np.ndarray], cost: Sequence[float], keys: Sequence[tuple[int, int]], round_: int) -> list[list]:
+def _draw(blocks: DataFrame, found: Sequence[np.ndarray], cost: Sequence[float], keys: Sequence[tuple[int, int]], round_: int) -> list[list]:
     """Each set's rows that its random number picks, by their squared distance to what is found."""
     ends = np.cumsum([len(c) for c in found])
     starts, every = ends - [len(c) for c in found], np.concatenate(list(found))
@@ -120,7 +150,7 @@ def _draw(vectors: DataFrame, found: Sequence[np.ndarray], cost: Sequence[float]
             pa.array([x.tolist() for c in chosen for x in c], pa.list_(pa.float64()))], names=["at", "x"])
 
     out: list[list] = [[] for _ in keys]
-    for r in vectors.mapInArrow(run, "at long, x array<double>").distinct().collect():  # about 2k rows per set
+    for r in blocks.mapInArrow(run, "at long, x array<double>").distinct().collect():  # about 2k rows per set
         out[r["at"]].append(r["x"])
     return [sorted(x) for x in out]
 
@@ -145,8 +175,8 @@ def _weighted_start(points: np.ndarray, weights: np.ndarray, k: int, seed: int)
     return out
 
 
-def starts(vectors: DataFrame, ks: Sequence[int], seeds: Sequence[int]) -> list[CentreSet]:
-    """A start for each (k, seed), all from the same scans."""
+def starts(vectors: DataFrame, blocks: DataFrame, ks: Sequence[int], seeds: Sequence[int]) -> list[CentreSet]:
+    """A start for each (k, seed), all from the same scans of the ``blocks`` of ``vectors``."""
     keys = [(k, s) for k in ks for s in seeds]
     firsts = vectors.agg(*[F.min_by("x", F.xxhash64(F.lit(s), "x")).alias(f"f{i}") for i, s in enumerate(seeds)]).first()
     if firsts is None or firsts["f0"] is None:
@@ -154,13 +184,13 @@ def starts(vectors: DataFrame, ks: Sequence[int], seeds: Sequence[int]) -> list[
     found = [np.array([firsts[f"f{seeds.index(s)}"]], dtype=np.float64) for _, s in keys]
     for round_ in range(ROUNDS):
         cost = [0.0] * len(keys)
-        for i, _, _, c, _ in _scan(vectors, found):
+        for i, _, _, c, _ in _scan(blocks, found):
             cost[i] += c
-        for i, more in enumerate(_draw(vectors, found, cost, keys, round_)):
+        for i, more in enumerate(_draw(blocks, found, cost, keys, round_)):
             if more:
                 found[i] = np.unique(np.concatenate([found[i], np.array(more)]), axis=0)
     weights = [np.zeros(len(f)) for f in found]
-    for i, c, n, _, _ in _scan(vectors, found):
+    for i, c, n, _, _ in _scan(blocks, found):
         weights[i][c] = n
     return [CentreSet(k, s, _weighted_start(f, w, k, s)) for (k, s), f, w in zip(keys, found, weights)]
 
@@ -170,13 +200,22 @@ def fit_sets(vectors: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_it
     """All (k, seed) fits of the array column ``x``. A set moves until no centre moves by more than
     ``tol`` or ``max_iter`` scans are done; sets at rest leave the scans, and all get their final
     cost in one last scan. A centre without rows stays where it is."""
-    sets = starts(vectors, list(ks), list(seeds))
+    blocks = packed(vectors).persist()
+    try:
+        return _moved(vectors, blocks, ks, seeds, max_iter, tol, watch)
+    finally:
+        blocks.unpersist()
+
+
+def _moved(vectors: DataFrame, blocks: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_iter: int, tol: float,
+           watch: Callable[[list[CentreSet]], None] | None) -> list[CentreSet]:
+    sets = starts(vectors, blocks, list(ks), list(seeds))
     for _ in range(max_iter):
         live = [s for s in sets if s.moving]
         if not live:
             break
         moved = [s.centres.copy() for s in live]
-        for i, c, n, _, sums in _scan(vectors, [s.centres for s in live]):
+        for i, c, n, _, sums in _scan(blocks, [s.centres for s in live]):
             moved[i][c] = sums / n
         for s, m in zip(live, moved):
             s.moving = bool((((m - s.centres) ** 2).sum(1) > tol * tol).any())
@@ -185,7 +224,7 @@ def fit_sets(vectors: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_it
             watch(sets)
     for s in sets:
         s.cost = 0.0
-    for i, _, _, cost, _ in _scan(vectors, [s.centres for s in sets]):
+    for i, _, _, cost, _ in _scan(blocks, [s.centres for s in sets]):
         sets[i].cost += cost
     return sets
 

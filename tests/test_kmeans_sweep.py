@@ -59,3 +59,11 @@ def test_awkward_rows(spark):
     assert K.fit_kmeans_many(two.limit(0), cols, [2]) == {}
     with pytest.raises(ValueError):
         K.fit_kmeans_many(two, cols, [1])
+
+
+def test_vectors_are_packed_into_few_blocks(spark):
+    from surveykit.operators import kmeans_sweep as W
+    rows = [([float(i), float(i % 3)],) for i in range(500)] + [([None, 1.0],), (None,), ([float("nan"), 2.0],)]
+    blocks = W.packed(spark.createDataFrame(rows, "x array<double>").repartition(9)).collect()
+    found = [tuple(v) for b in blocks for v in np.frombuffer(b["block"]).reshape(-1, b["d"])]
+    assert len(blocks) == 1 and sorted(found) == [tuple(r[0]) for r in rows[:500]]
