@@ -18,7 +18,7 @@ from surveykit.session import scratch_path, ship_code
 #: Near duplicates share words in fives, at a similarity of 0.8 or more.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 #: Whole texts go to Python workers in batches of so many bytes at most (or one long text).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def _ready(spark: SparkSession) -> None:
