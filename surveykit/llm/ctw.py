@@ -32,15 +32,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import batches_of, written
 
 #: Longest context in bytes (at most 7: a gram is one 64-bit number).
 DEPTH = 6
 #: Bytes of text that make one block, about: a block is a range of rows of an input file, as many
 #: as hold this much at the largest mean length of a file.
 BLOCK_BYTES = 24_000_000
-#: Bytes of text coded at a time inside a task, for counting and for scoring.
-CHUNK, SCORE_CHUNK = 4_000_000, 2_000_000
+#: Bytes of text coded at a time inside a task, and of an Arrow batch: a worker holds these beside its block's
+#: distinct grams and words, not the block's text.
+CHUNK, BATCH_BYTES = 1_000_000, 2 << 20
 PACKED = "kind string, part int, block string, keys binary, counts binary"
 ANSWER = "block string, kind string, keys binary, vals binary"
 _U8 = np.uint64(8)
@@ -72,7 +73,11 @@ def gram_chunks(texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarr
     for low in range(0, len(windows), CHUNK):
         part = inside[low:low + CHUNK][:len(windows) - low]
         w = windows[low:low + CHUNK][part]
-        yield ((w << _U8) & ~drop) | (w >> np.uint64(56)), text[low:low + CHUNK][:len(part)][part]
+        codes = w << _U8
+        codes &= ~drop
+        w >>= np.uint64(56)
+        codes |= w
+        yield codes, text[low:low + CHUNK][:len(part)][part]
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -102,7 +107,7 @@ def deflate(numbers: np.ndarray) -> bytes:
 
 
 class GramCounts:
-    """Distinct grams with counts, merged whenever the buffer has doubled."""
+    """Distinct grams with counts; what was added is merged once it is half of them."""
 
     def __init__(self):
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -113,18 +118,19 @@ class GramCounts:
             keys, n = np.unique(grams, return_counts=True)
             self.parts.append((keys, n * weight))
             self.size += len(keys)
-            if self.size > max(2_000_000, len(self.keys)):
+            if self.size > max(500_000, len(self.keys) // 2):
                 self.merge()
 
     def merge(self):
-        keys = np.concatenate([self.keys, *(k for k, _ in self.parts)])
-        counts = np.concatenate([self.counts, *(n for _, n in self.parts)])
-        self.parts, self.size = [], 0
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        self.keys = keys[first]
-        self.counts = np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
+        parts, self.parts, self.size = [(self.keys, self.counts), *self.parts], [], 0
+        keys = np.concatenate([k for k, _ in parts])
+        keys.sort(kind="stable")  # of sorted runs
+        self.keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+        del keys
+        self.counts = np.zeros(len(self.keys), np.int64)
+        while parts:
+            k, n = parts.pop()
+            self.counts[np.searchsorted(self.keys, k)] += n
 
 
 def gram_part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -336,7 +342,9 @@ class Lookup:
         order = np.argsort(h, kind="stable")
         counts = np.bincount(h, minlength=1 << (64 - int(self.shift)))
         del h
-        self.start = np.cumsum(counts, dtype=np.int64) - counts
+        self.start = np.cumsum(counts, dtype=np.int64)
+        self.start -= counts
+        del counts
         self.keys = keys[order]
         del keys
         self.values = values[order]
@@ -390,7 +398,7 @@ def _score(n: int, v: int, ends: int):
                         lookup = Lookup(grams)
                     pending.append((i, training, words_of(text)))
                     size += len(text or "")
-                    if size > SCORE_CHUNK:
+                    if size > CHUNK:
                         settle()
                         size = 0
             settle()
@@ -409,7 +417,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     spark = df.sparkSession
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _blocks(df, id_col, text_col)
-    requests = written(rows.mapInPandas(_requests(parts), PACKED), "requests")
+    with batches_of(spark, BATCH_BYTES):
+        requests = written(rows.mapInPandas(_requests(parts), PACKED), "requests")
     word_answers = written(requests.where("kind = 'word'").groupBy("part").applyInPandas(_word_answers, ANSWER), "words")
     totals = [np.frombuffer(r[0], np.int64) for r in word_answers.where("kind = 'total'").select("vals").collect()]
     ends = sum(int(np.frombuffer(zlib.decompress(r[0]), np.int64)[0])
@@ -435,8 +444,10 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     texts = rows.select("block", F.lit("~text").alias("kind"), null("binary").alias("keys"), null("binary").alias("vals"),
                         "id", "text", "training")
     kind = df.schema[id_col].dataType
-    return (answers.unionByName(texts).repartition(parts, "block").sortWithinPartitions("block", "kind")
-            .mapInPandas(_score(n, v, ends), "id string, held_out boolean, n_tokens long, n_known long, "
-                                             "train_tokens long, base_score double, score double")
-            .select(F.col("id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens",
-                    "base_score", "score"))
+    scores = (answers.unionByName(texts).repartition(parts, "block").sortWithinPartitions("block", "kind")
+              .mapInPandas(_score(n, v, ends), "id string, held_out boolean, n_tokens long, n_known long, "
+                                               "train_tokens long, base_score double, score double")
+              .select(F.col("id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score"))
+    with batches_of(spark, BATCH_BYTES):  # so written here
+        return written(scores, "scores")

@@ -1,10 +1,13 @@
 """Toxicity and context-tree weighting: held-out accuracy and a naive context tree."""
 import math
 import random
+import tracemalloc
+import zlib
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from surveykit.llm import ctw, toxicity
@@ -154,3 +157,54 @@ def test_packing_round_trip():
         assert (ctw.unpack(ctw.pack(keys)) == keys).all()
     keys = np.unique(rng.integers(0, 1 << 62, 5000).astype(np.uint64))
     assert (ctw.Lookup([(keys, np.arange(len(keys)))])(keys) == np.arange(len(keys))).all()
+
+
+def test_texts_reach_workers_in_bounded_batches(docs_of, spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["the", "there", "on"]) + str(rng.randrange(50)) for _ in range(2000))) for i in range(500)]
+    longest = max(len(t) for _, t in rows)
+    most = (2 << 20) + 2 * longest
+    assert sum(len(t) for _, t in rows) > 2 * most
+
+    def bounded(real):
+        def make(*args):
+            inner = real(*args)
+
+            def run(frames):
+                def checked():
+                    for frame in frames:
+                        size = int(frame["text"].str.len().sum())
+                        if size > most:
+                            raise ValueError(f"a batch of {size} bytes of text")
+                        yield frame
+                yield from inner(checked())
+            return run
+        return make
+
+    monkeypatch.setattr(ctw, "_requests", bounded(ctw._requests))
+    monkeypatch.setattr(ctw, "_score", bounded(ctw._score))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    assert ctw.score_texts(docs_of(rows, extra=False).coalesce(1), parts=2).count() == len(rows)
+    assert spark.conf.get(key) == before
+
+
+def test_counting_holds_a_chunk_beside_its_grams():
+    rng = random.Random(10)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(1500)]
+    frame = pd.DataFrame({"text": texts, "training": True, "block": "b"})
+    tracemalloc.start()
+    try:
+        rows = pd.concat(ctw._requests(3)(iter([frame])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 90e6, peak  # 4 million bytes of text
+    want = Counter()
+    for codes, _ in ctw.gram_chunks([ctw.words_of(t) for t in texts]):
+        want.update(codes.tolist())
+    got = {}
+    for r in rows[rows["kind"] == "gram"].itertuples():
+        got.update(zip(ctw.unpack(r.keys).tolist(), np.frombuffer(zlib.decompress(r.counts), np.int64).tolist()))
+    assert got == dict(want)
