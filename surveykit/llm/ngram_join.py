@@ -110,9 +110,10 @@ def frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"counter": at, "n": total[at]})
 
-    rows = texts.select("text").mapInPandas(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    # as Arrow: a Python object for each counter would take the driver a hundred MB
+    rows = texts.select("text").mapInPandas(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    sketch[rows["counter"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    sketch[rows["counter"].to_numpy()] = rows["n"].to_numpy()
     return sketch
 
 

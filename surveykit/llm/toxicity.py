@@ -5,8 +5,9 @@ A document is toxic if one of its sentences is, or by a leak that stands for lab
 words of a sentence, each with the weights of the word itself and of its beginnings. Only document labels are used; the fitted sentence scores then locate the
 offending sentences.
 
-The model is fitted on the driver from at most ``SAMPLE_DOCS`` labelled documents of at
-most ``SAMPLE_CHARS`` characters each, picked by a hash of the id. Features are screened by
+The model is fitted in one task from at most ``SAMPLE_DOCS`` labelled documents of at
+most ``SAMPLE_CHARS`` characters each, picked by a hash of the id; the driver gets the
+weights, no text. Features are screened by
 their association with the label over distinct contexts, i.e. a word with its two
 neighbours (signed G², at least ``SCREEN``; what copies and near copies repeat counts
 once), then the noisy-or weights of the screened ones and the
@@ -16,7 +17,7 @@ document toxic. What is broadcast are those weights (at most ``MAX_FEATURES``).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -120,10 +121,21 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def fit(sample: DataFrame) -> ToxicityModel:
-    """Fit on a bounded sample (``training_sample``); repeatable, whatever order rows come in."""
+    """Fit on a bounded sample (``training_sample``) in one task; repeatable, whatever order rows come in."""
+    def fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = fit_rows((t or "", int(y)) for frame in frames for t, y in zip(frame["text"], frame["toxic"]))
+        yield pd.DataFrame({"feature": [None, *model.weights], "weight": [model.leak, *model.weights.values()]})
+
+    rows = sample.select("text", "toxic").coalesce(1).mapInPandas(fitted, "feature string, weight double").collect()
+    weights = {r["feature"]: r["weight"] for r in rows}  # the leak has no name
+    return ToxicityModel(weights, BIAS, weights.pop(None)) if rows else fit_rows([])
+
+
+def fit_rows(rows: Iterable[tuple[str, int]]) -> ToxicityModel:
+    """Fit on (text, label) rows that fit in memory."""
     vocabulary: dict[str, int] = {}
     number = lambda w: -1 if w in _STOPS else vocabulary.setdefault(w, len(vocabulary))
-    rows = sorted((r["text"] or "", int(r["toxic"])) for r in sample.select("text", "toxic").toLocalIterator())
+    rows = sorted(rows)
     docs = [(np.array([number(w) for w in _TOKEN.findall(t.lower())], dtype=np.int32), y) for t, y in rows]
     del rows
     label = np.array([y for _, y in docs], dtype=np.float64)
@@ -136,7 +148,11 @@ def fit(sample: DataFrame) -> ToxicityModel:
     for t in (0, 1):
         flat = np.concatenate([np.concatenate([[-1], words, [-1]]) for words, y in docs if y == t]).astype(np.int64) + 1
         near = np.int64((1 << 20) - 1)  # a neighbour counts by 20 bits of its number
-        word = np.unique((flat[1:-1] << 40) | ((flat[:-2] & near) << 20) | (flat[2:] & near)) >> 40
+        word = flat[1:-1] << 40
+        word |= (flat[:-2] & near) << 20
+        word |= flat[2:] & near
+        del flat
+        word = np.unique(word) >> 40
         contexts[t] = np.bincount(word[word > 0] - 1, minlength=len(vocabulary) + 1)
     n0, n1 = np.maximum(contexts.sum(1), 1)
     words = list(vocabulary)

@@ -59,6 +59,24 @@ def test_toxicity_on_given_labels(spark):
     assert hit > 0.97 and sum(r.predicted for r in scored if r.toxic == 0) <= 0.01 * len(scored)
 
 
+def test_toxicity_fit_leaves_the_texts_off_the_driver(docs_of, spark):
+    words = [f"w{i}x" for i in range(400)]
+    rows = [(i, ". ".join(words[(i + k) % 400] for k in range(1000)) + " scum." * (i % 4 == 0)) for i in range(300)]
+    table = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    sample = toxicity.training_sample(docs_of(rows), table).repartition(3)
+    kept = [(r[1], int(r[0] % 4 == 0)) for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    del rows
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(sample)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1e6, peak  # about 1.5 million bytes of text
+    assert model == toxicity.fit_rows(kept) and "scum" in model.weights
+    assert toxicity.fit(sample.where("false")) == toxicity.fit_rows([])
+
+
 class NaiveTree:
     """Context-tree weighting by the book, one dictionary entry per (context, bits)."""
 

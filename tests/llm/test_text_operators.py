@@ -2,8 +2,10 @@
 import html
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from surveykit.llm import decontam, html_extract, ngram_join, token_counts
@@ -297,3 +299,19 @@ def test_query_on_the_given_pages(spark):
         inside = pages[r.page_id].split("<article>", 1)[1].split("</article>")[0]
         want = " ".join(html.unescape(re.sub(r"<[^>]*(>|$)", " ", inside)).split())
         assert " ".join(r.text.split()) == want
+
+
+def test_frequency_sketch_takes_the_driver_no_object_a_counter(docs_of):
+    texts = [" ".join(f"{i}x{k}" for k in range(1000)) for i in range(200)]
+    want = np.zeros(1 << ngram_join.SKETCH_BITS, dtype=np.int64)
+    for t in texts:
+        np.add.at(want, (ngram_join.ngram_set(t, 3) >> np.uint64(64 - ngram_join.SKETCH_BITS)).astype(np.int64), 1)
+    df = docs_of([*enumerate(texts), (None, None), (-1, "")], extra=False)
+    tracemalloc.start()
+    try:
+        got = ngram_join.frequency_sketch(df, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (got == want).all() and peak < 8e6, peak
+    assert ngram_join.frequency_sketch(df.where("false"), 3).sum() == 0
