@@ -8,6 +8,7 @@ probability of class 1 is the leaf mean (averaged over trees); class = p > 0.5.
 """
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -17,12 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..spec import DEFAULT_SPEC, MODEL_FEATURE_LABELS, RULE_FEATURE_LABELS, SEED, SurveySpec
-
+from .forest import ForestModel, fit
 
 #: Trees grow as deep as Spark ML allows (the original grows them without a limit).
 MAX_DEPTH = 30
-#: Memory of a task for the statistics of the nodes that one pass splits.
-PASS_MEMORY_MB = 1024
 #: Training rows that make a task of their own worth it, and those that a task gets at most.
 LEAST_TASK_ROWS, MOST_TASK_ROWS = 2_500, 100_000
 
@@ -134,16 +133,10 @@ def fit_forest(train: DataFrame, spec: SurveySpec = DEFAULT_SPEC, num_trees: int
                subsampling_rate: float = 1.0):
     """Random forest (√features per split, bootstrap, full depth) on feature vectors.
 
-    Deep trees keep each row's node from level to level instead of walking every tree again
-    (its lineage is cut in the checkpoint folder), and split more nodes in one pass.
+    The trees are grown in tasks and stay in a table, see ``forest``.
     """
-    from pyspark.ml.regression import RandomForestRegressor
-    rf = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees,
-                               maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
-                               maxBins=max_bins, subsamplingRate=subsampling_rate,
-                               cacheNodeIds=True, maxMemoryInMB=PASS_MEMORY_MB)
     with _dealt(train) as rows:
-        return rf.fit(rows)
+        return fit(rows, num_trees, max_depth, math.ceil(math.sqrt(len(spec.model_features))), seed, max_bins, subsampling_rate)
 
 
 def fit_tree(train: DataFrame, max_depth: int = 4, min_leaf: int = 20, seed: int = SEED,
@@ -263,6 +256,8 @@ def leaf_counts(model, data: DataFrame) -> DataFrame:
     """(tree, leaf, n): rows of ``data`` that end in each leaf, by the model's own leaf numbers
     (a tree's leaves from left to right); leaves without rows are left out. For a single tree
     (tree 0) and for ensembles."""
+    if isinstance(model, ForestModel):
+        return model.leaf_counts(data)
     from pyspark.ml.functions import vector_to_array
     out = model.copy().setLeafCol("_leaf").transform(data.select("features"))
     if isinstance(out.schema["_leaf"].dataType, T.DoubleType):

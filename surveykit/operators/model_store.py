@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path
+from .forest import ForestModel
 
 #: Two independent hashes of a row; the second comes with a text before the row's columns.
 _SALTS = ("a", "b")
@@ -68,7 +69,7 @@ class ModelStore:
         """Save ``model`` under ``key`` in one step; False if another writer was first."""
         staging, fs = self._path(f".staging-{uuid.uuid4().hex}")
         target, _ = self._path(key)
-        model.write().save(staging.toString())
+        (model.save_trees if isinstance(model, ForestModel) else model.write().save)(staging.toString())
         # a rename onto a folder that exists would move the model inside it: look first, and
         # where another writer came between, take that nested copy away again
         won = not fs.exists(target) and fs.rename(staging, target)
@@ -80,7 +81,7 @@ class ModelStore:
         return won
 
     def load(self, key: str, reader):
-        """The model under ``key``, read by its class (``RandomForestRegressionModel``, ...)."""
+        """The model under ``key``, read by its class (``ForestModel``, ``DecisionTreeRegressionModel``, ...)."""
         return reader.load(f"{self.root}/{key}")
 
     def fit_or_load(self, train: DataFrame, kind: str, params: Mapping, cols: Sequence[str],
