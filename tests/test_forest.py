@@ -176,3 +176,14 @@ def test_folds_are_scored_by_forests_fitted_side_by_side(spark, survey_small):
     out = C.cross_validate(survey_small, k=2, num_trees=6, max_depth=6, parallelism=2).collect()
     assert sorted(r.fold for r in out) == [0, 1] and all(r.auc > 0.6 for r in out)
     assert spark.conf.get(key) == before
+
+
+def test_compared_forest_comes_from_the_store_as_a_table(spark, survey_small, monkeypatch):
+    from surveykit.plans import contract as Q
+    data = C.feature_vectors(C.stratified_split_exact(survey_small)).persist()
+    monkeypatch.setattr(C.fit_forest, "__defaults__", (*C.fit_forest.__defaults__[:1], 4, 5, *C.fit_forest.__defaults__[3:]))
+    a, b = (Q._model(spark, data, C.fit_forest) for _ in range(2))
+    assert isinstance(a, X.ForestModel) and a.trees.inputFiles() == b.trees.inputFiles() and a.trees.count() == 4
+    m = Q.M.model_metrics(C.score(a, data)).first()
+    assert 50 < m.test_accuracy <= 100 and 50 < m.roc_auc <= 100
+    data.unpersist()
