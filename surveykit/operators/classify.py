@@ -327,7 +327,7 @@ def cross_validate(df: DataFrame, spec: SurveySpec = DEFAULT_SPEC, k: int = 5,
                    parallelism: int | None = None) -> DataFrame:
     """K folds; each fold scored by a forest fitted on the others: (fold, auc).
     The k fits are independent; two run at a time by default (one fills the cores but for the
-    ends of its passes, and the driver holds the trees of each fit under way)."""
+    ends of its stages)."""
     from concurrent.futures import ThreadPoolExecutor
 
     from .metrics import auc
